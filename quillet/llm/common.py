@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -47,12 +48,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a cached or local checkpoint the copy outlives any executor. The folder goes
-    when the driver's process ends.
+    Unlike a cached or local checkpoint the copy outlives any executor. Once it stands, the
+    shuffle files it was made from are of no use and go; the folder itself goes when the
+    driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillet/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
