@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillet.llm import packing, sharding, substrings, tokens
+from quillet.llm import jaccard, packing, sharding, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_byte_balanced_sharding": sharding.op2,
+    "op3_ngram_jaccard_join": jaccard.op3,
     "op5_byte_level_bpe": tokens.op5,
     "op8_substring_dedup": substrings.op8,
 }
