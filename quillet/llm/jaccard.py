@@ -36,6 +36,8 @@ _BINS = 1 << 18
 _CHUNK = 2_000_000
 #: Columns whose counter has this binary logarithm are dealt to several tasks in the first round.
 _HOT = 12
+#: Further rounds with centres drawn by a hash.
+_TURNS = 2
 
 
 def shingles(data: bytes, words: int) -> np.ndarray:
@@ -185,18 +187,33 @@ def _with_end(batches):
     yield None
 
 
+def _suffix(n, percent: int):
+    """How many shingles of a set of ``n`` its prefix leaves out."""
+    least = -(-percent * n // 100)
+    return least - np.minimum(LEVEL, least)
+
+
 def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns: shingle, class, n, pos, component."""
-    _, cls, n, pos, comp = column.T
+    """Columns: shingle, class, n, pos, component, and in how many open columns the class is.
+
+    What two sets share outside their prefixes lies in the suffix of the one whose prefix ends
+    first, so ``need`` of the prefix shingles must be shared for the bound to be in reach.
+    """
+    _, cls, n, pos, comp, open_ = column.T
     if (comp == comp[0]).all():
         return
+    suffix = _suffix(n, percent)
     for at in range(0, len(column), 512):
         i = slice(at, at + 512)
         ok = (comp[i, None] != comp[None, :]) & (np.arange(len(column))[None, :] > np.arange(at, at + len(cls[i]))[:, None])
         ok &= _may_reach(n[i, None], n[None, :], pos[i, None], pos[None, :], percent)
+        need = -(-percent * (n[i, None] + n[None, :]) // (100 + percent)) - np.maximum(suffix[i, None], suffix[None, :])
+        ok &= np.minimum(open_[i, None], open_[None, :]) >= need
         x, y = np.nonzero(ok)
         a, b = cls[i][x], cls[y]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need[x, y])], names=["a", "b", "need"]
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,6 +278,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tried = _pairs(multi.unionByName(centres), percent)
 
     level = F.least(F.lit(LEVEL), F.ceil(F.col("n") * percent / 100))
+    multi = multi.select("shingle", "class", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     needed = multi.groupBy("class").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= level)
     wanted = kept.select("doc_id", "owner", "class").join(needed.select("class"), "class", "left_semi")
     texts_of = texts.withColumnRenamed("doc_id", "id").join(wanted, ["owner"]).where("id <=> doc_id")
@@ -268,19 +286,19 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     edges = written(_verified(tried, grams, percent))
     found = components(edges)
-    labelled = multi.select("shingle", "class", "n", "pos").join(
-        found.select(F.col("node").alias("class"), "root"), "class", "left"
-    ).select("shingle", "class", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.coalesce("root", "class").alias("comp"))
-    labelled = written(labelled)
-    open_ = labelled.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    rest = labelled.join(open_, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle")
-    cross = rest.mapInArrow(_cross(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("m"))
-    sizes = kept.select("class", "n")
-    cross = cross.where(f"m >= {LEVEL}").unionAll(
-        cross.where(f"m < {LEVEL}").join(sizes, cross["a"] == sizes["class"]).where(F.col("m") >= level).select("a", "b", "m")
-    )
-    more = _verified(cross.select("a", "b").join(tried, ["a", "b"], "left_anti"), grams, percent)
-    found = components(edges.unionAll(more))
+    for turn in range(_TURNS):  # other centres for what is still apart
+        rest = _open(multi, found)
+        by_turn = Window.partitionBy("shingle").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+        centred = rest.withColumn("centre", F.first(F.struct("class", "n", "pos", "comp")).over(by_turn))
+        more = _pairs(centred.where("comp <> centre.comp"), percent)
+        edges = written(edges.unionAll(_verified(more, grams, percent)))
+        found = components(edges)
+    rest = _open(multi, found)
+    rest = rest.join(rest.groupBy("class").agg(F.count("*").alias("open")), "class")
+    rest = rest.select("shingle", "class", "n", "pos", "comp", "open").repartition("shingle").sortWithinPartitions("shingle")
+    cross = rest.mapInArrow(_cross(percent), "a long, b long, need long")
+    cross = cross.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
+    found = components(edges.unionAll(_verified(cross, grams, percent)))
 
     rows = sized.where("kind = 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     ids = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -292,6 +310,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+def _open(multi: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of those columns that still hold different components, with ``comp``."""
+    labels = found.select(F.col("node").alias("class"), "root")
+    labelled = multi.join(labels, "class", "left").select("shingle", "class", "n", "pos", F.coalesce("root", "class").alias("comp"))
+    labelled = written(labelled)
+    apart = labelled.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
+    return written(labelled.join(apart, "shingle", "left_semi"))
+
+
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs of class and centre that share enough columns for a first try."""
     c = "centre"
