@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -16,11 +17,16 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, through Spark's own reader so that any file system works."""
+    """One input table, through Spark's own reader so that any file system works. The Python
+    workers get to know this package's folder, should it not be installed."""
+    known = spark.sparkContext.environment
+    if _ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), _ROOT]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _OWN_DIR: dict[str, str] = {}
 
 
