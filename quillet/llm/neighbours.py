@@ -22,7 +22,7 @@ from quillet.llm.common import table
 #: The rotation is learned on at most so many vectors (the first by a hash of vec_id).
 FIT_ROWS = 10_000
 #: Vectors in a block of the index, and queries in a block, about.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 1_024
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 8_192
 #: Codes have 64 bits in 8 substrings. All codes within RADIUS are found, so each table is
 #: probed within RADIUS // 8 bits.
 SUBSTRINGS = 8
@@ -110,7 +110,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, radius: int = RADIU
     def blocks(df: DataFrame, own: int, others: int, names: tuple[str, str]) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
         mine = F.pmod(F.xxhash64("vec_id"), F.lit(own)).alias(names[0])
-        return df.select("vec_id", "v", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("long").alias(names[1]))
+        return df.select("vec_id", "v", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(names[1]))
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
