@@ -37,7 +37,11 @@ _CHUNK = 2_000_000
 #: Columns whose counter has this binary logarithm are dealt to several tasks in the first round.
 _HOT = 12
 #: Further rounds with centres drawn by a hash.
-_TURNS = 2
+_TURNS = 1
+#: A pair of the last round must meet in so many of the first columns it can first meet in.
+_MEETINGS = 2
+#: 64-bit words of a set's bit map, which bounds from above what two sets share.
+_WORDS = 8
 
 
 def shingles(data: bytes, words: int) -> np.ndarray:
@@ -54,6 +58,14 @@ def _fingerprint(found: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed(found + np.uint64(len(found)))).astype(np.int64)) if len(found) else 0
 
 
+def _bit_map(found: np.ndarray) -> list[int]:
+    """A bit for each shingle, by hash. A bit that only one of two sets has stands for a shingle
+    at least that only that set has."""
+    bits = np.zeros(64 * _WORDS, dtype=np.uint8)
+    bits[(mixed(found ^ np.uint64(1)) % np.uint64(64 * _WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _bins(found: np.ndarray) -> np.ndarray:
     return (mixed(found) >> np.uint64(64 - 18)).astype(np.int64)
 
@@ -116,12 +128,12 @@ def _prefixes(words: int, percent: int, levels):
                 common = level[_bins(found)]
                 least = -(-percent * n // 100)
                 prefix = found[np.lexsort((found, common))][: n - least + min(LEVEL, least)]
-                rows.append((doc_id, owner, print_, n, int(1000 * (common > 0).mean()), prefix.view(np.int64), level[_bins(prefix)]))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8()))
+                rows.append((doc_id, owner, print_, n, int(1000 * (common > 0).mean()), prefix.view(np.int64), level[_bins(prefix)], _bit_map(found)))
+            cols = list(zip(*rows)) if rows else [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, types)],
-                names=["doc_id", "owner", "class", "n", "common", "prefix", "levels"],
+                names=["doc_id", "owner", "class", "n", "common", "prefix", "levels", "bits"],
             )
 
     return run
@@ -194,12 +206,15 @@ def _suffix(n, percent: int):
 
 
 def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns: shingle, class, n, pos, component, and in how many open columns the class is.
+    """Columns: shingle, class, n, pos, component, in how many open columns the class is and
+    the place of this one among them, and the bit map.
 
     What two sets share outside their prefixes lies in the suffix of the one whose prefix ends
-    first, so ``need`` of the prefix shingles must be shared for the bound to be in reach.
+    first, so ``need`` of the prefix shingles must be shared for the bound to be in reach. The
+    first of these have places that leave room for the others: only there a pair is named.
     """
-    _, cls, n, pos, comp, open_ = column.T
+    _, cls, n, pos, comp, open_, rank = column[:, :7].T
+    bits = np.ascontiguousarray(column[:, 7:]).view(np.uint64)
     if (comp == comp[0]).all():
         return
     suffix = _suffix(n, percent)
@@ -207,13 +222,19 @@ def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         i = slice(at, at + 512)
         ok = (comp[i, None] != comp[None, :]) & (np.arange(len(column))[None, :] > np.arange(at, at + len(cls[i]))[:, None])
         ok &= _may_reach(n[i, None], n[None, :], pos[i, None], pos[None, :], percent)
-        need = -(-percent * (n[i, None] + n[None, :]) // (100 + percent)) - np.maximum(suffix[i, None], suffix[None, :])
-        ok &= np.minimum(open_[i, None], open_[None, :]) >= need
         x, y = np.nonzero(ok)
-        a, b = cls[i][x], cls[y]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need[x, y])], names=["a", "b", "need"]
+        x += at
+        need = -(-percent * (n[x] + n[y]) // (100 + percent)) - np.maximum(suffix[x], suffix[y])
+        early = np.minimum(open_[x] - rank[x], open_[y] - rank[y]) >= need - np.minimum(_MEETINGS, need)
+        early &= np.minimum(rank[x], rank[y]) + np.minimum(open_[x] - rank[x], open_[y] - rank[y]) >= need
+        x, y, need = x[early], y[early], need[early]
+        shared = np.minimum(
+            n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64),
+            n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64),
         )
+        ok = (100 + percent) * shared >= percent * (n[x] + n[y])
+        a, b, need = cls[x][ok], cls[y][ok], np.minimum(_MEETINGS, need[ok])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +280,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         counters[row["doc_id"]] = row["n"]
     levels = spark.sparkContext.broadcast(np.ceil(np.log2(counters + 1)).astype(np.int8))
 
-    schema = "doc_id long, owner long, class long, n int, common int, prefix array<long>, levels array<byte>"
+    schema = "doc_id long, owner long, class long, n int, common int, prefix array<long>, levels array<byte>, bits array<long>"
     kept = written(texts.mapInArrow(_prefixes(words, percent, levels), schema).dropDuplicates(["class"]))
     column = kept.select("class", "n", "common", F.posexplode(F.arrays_zip("prefix", "levels")).alias("pos", "p")).select(
         F.col("p.prefix").alias("shingle"), "class", "n", "pos", "common",
@@ -294,8 +315,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         edges = written(edges.unionAll(_verified(more, grams, percent)))
         found = components(edges)
     rest = _open(multi, found)
-    rest = rest.join(rest.groupBy("class").agg(F.count("*").alias("open")), "class")
-    rest = rest.select("shingle", "class", "n", "pos", "comp", "open").repartition("shingle").sortWithinPartitions("shingle")
+    own = Window.partitionBy("class")
+    rest = rest.withColumn("open", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("pos")).cast("long"))
+    rest = rest.where(F.col("open") >= F.greatest(F.lit(1), level - 1))  # no pair needs fewer
+    rest = rest.join(kept.select("class", "bits"), "class")
+    rest = rest.select("shingle", "class", "n", "pos", "comp", "open", "rank", *(F.col("bits")[w].alias(f"bits{w}") for w in range(_WORDS)))
+    rest = rest.repartition("shingle").sortWithinPartitions("shingle")
     cross = rest.mapInArrow(_cross(percent), "a long, b long, need long")
     cross = cross.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
     found = components(edges.unionAll(_verified(cross, grams, percent)))
