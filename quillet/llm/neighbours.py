@@ -26,7 +26,7 @@ INDEX_BLOCK, QUERY_BLOCK = 16_384, 8_192
 #: Codes have 64 bits in 8 substrings. All codes within RADIUS are found, so each table is
 #: probed within RADIUS // 8 bits.
 SUBSTRINGS = 8
-RADIUS = 23
+RADIUS = 31
 
 
 def usable(rows: DataFrame) -> DataFrame:
