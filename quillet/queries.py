@@ -42,6 +42,7 @@ def _patched(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "a1_exact_groups": lambda s, d: dedup.groups(_docs(s, d).where(F.trim("text") != ""), F.col("text")),
     "exact_duplicates": lambda s, d: dedup.groups(_docs(s, d).where(F.trim("text") != ""), F.col("text")),
     "fuzzy_duplicates": lambda s, d: dedup.groups(_docs(s, d), T.normal(F.col("text"))),
     "dedup_stats": lambda s, d: dedup.totals(_docs(s, d), F.col("text")),
@@ -119,3 +120,4 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, text, len(starts) AS n_chunks, unnest(starts) AS pos FROM s)
         SELECT doc_id, (pos // 800)::BIGINT AS chunk, n_chunks, md5(substring(text, (pos + 1)::BIGINT, 1000)) AS digest FROM e""",
 }
+ORACLE_SQL["a1_exact_groups"] = ORACLE_SQL["exact_duplicates"]
