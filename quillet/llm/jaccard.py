@@ -39,9 +39,9 @@ _HOT = 12
 #: Further rounds with centres drawn by a hash.
 _TURNS = 1
 #: A pair of the last round must meet in so many of the first columns it can first meet in.
-_MEETINGS = 2
+_MEETINGS = 1
 #: 64-bit words of a set's bit map, which bounds from above what two sets share.
-_WORDS = 8
+_WORDS = 16
 
 
 def shingles(data: bytes, words: int) -> np.ndarray:
