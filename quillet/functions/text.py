@@ -53,3 +53,47 @@ def flags(text: Column) -> dict[str, Column]:
 def grade(score: Column) -> Column:
     """Letter for a score from 0 to 100."""
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+def language(text: Column) -> Column:
+    """Language by script: zh, ru, en, mixed or other, from the shares of CJK, Cyrillic and
+    unaccented Latin letters."""
+    known = F.coalesce(text, F.lit(""))
+    count = lambda letters: F.length(F.regexp_replace(known, f"[^{letters}]", ""))
+    cyrillic, latin, chinese = count("а-яА-ЯёЁ"), count("a-zA-Z"), count("一-鿿")
+    total = cyrillic + latin + chinese
+    return (
+        F.when(total == 0, "other").when(chinese > 0.3 * total, "zh").when(cyrillic > 0.5 * total, "ru").when(latin > 0.5 * total, "en")
+        .when((cyrillic > 0.2 * total) & (latin > 0.2 * total), "mixed").otherwise("other")
+    )
+
+
+#: Upper bounds of the length buckets and their names; longer ones are "1000+".
+BUCKETS = {10: "0-10", 25: "11-25", 50: "26-50", 100: "51-100", 200: "101-200", 500: "201-500", 1000: "501-1000"}
+
+
+def length_bucket(length: Column) -> Column:
+    """The bucket that a length falls in."""
+    out = F
+    for most, name in BUCKETS.items():
+        out = out.when(length <= most, name)
+    return out.otherwise("1000+")
+
+
+def format_of(columns: list[str]) -> str:
+    """The format that a table's columns show: conversation, instruction, prompt-completion, text or unknown."""
+    have = set(columns)
+    if have & {"conversation", "messages"}:
+        return "conversation"
+    for field, name in (("instruction", "instruction"), ("prompt", "prompt-completion"), ("text", "text"), ("content", "text")):
+        if field in have:
+            return name
+    return "unknown"
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """The template with each ``{{name}}`` replaced by its value; null values are empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as T
 from quillet.operators import algebra, dedup, export, stats
+from quillet.plans import curation
 
 FLAGSHIP = "exact_duplicates"
 
@@ -65,6 +66,7 @@ QUERIES = {
     "apply_patch": _patched,
     "to_qa_pairs": lambda s, d: export.qa_pairs(_turns(s, d)).select("conv_id", F.md5(F.col("question").cast("binary")).alias("question"), F.md5(F.col("answer").cast("binary")).alias("answer")),
     "chunk_documents": lambda s, d: export.chunks(_docs(s, d)).select("doc_id", "chunk", "n_chunks", F.md5(F.col("piece").cast("binary")).alias("digest")),
+    **curation.QUERIES,
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')"
@@ -120,4 +122,5 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, text, len(starts) AS n_chunks, unnest(starts) AS pos FROM s)
         SELECT doc_id, (pos // 800)::BIGINT AS chunk, n_chunks, md5(substring(text, (pos + 1)::BIGINT, 1000)) AS digest FROM e""",
 }
+ORACLE_SQL |= curation.ORACLE_SQL
 ORACLE_SQL["a1_exact_groups"] = ORACLE_SQL["exact_duplicates"]
