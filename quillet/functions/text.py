@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGES = ".,!?;:()[]{}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. Without this, a function over arrays
+    that names a computed array in its lambda computes it anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs between white space; a null text has none."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
@@ -27,9 +35,9 @@ def tokens(text: Column) -> Column:
 
 def ngrams(of: Column, n: int) -> Column:
     """Runs of ``n`` items joined by a blank; none if there are fewer."""
-    return F.when(
-        F.size(of) >= n, F.transform(F.sequence(F.lit(1), F.size(of) - n + 1), lambda i: F.array_join(F.slice(of, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    gram = lambda ws: lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")
+    return let(of, lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), gram(ws))).otherwise(none))
 
 
 def token_estimate(text: Column) -> Column:
@@ -60,12 +68,17 @@ def language(text: Column) -> Column:
     unaccented Latin letters."""
     known = F.coalesce(text, F.lit(""))
     count = lambda letters: F.length(F.regexp_replace(known, f"[^{letters}]", ""))
-    cyrillic, latin, chinese = count("а-яА-ЯёЁ"), count("a-zA-Z"), count("一-鿿")
-    total = cyrillic + latin + chinese
-    return (
-        F.when(total == 0, "other").when(chinese > 0.3 * total, "zh").when(cyrillic > 0.5 * total, "ru").when(latin > 0.5 * total, "en")
-        .when((cyrillic > 0.2 * total) & (latin > 0.2 * total), "mixed").otherwise("other")
-    )
+    counts = F.struct(count("а-яА-ЯёЁ").alias("cyrillic"), count("a-zA-Z").alias("latin"), count("一-鿿").alias("chinese"))
+
+    def named(found: Column) -> Column:
+        cyrillic, latin, chinese = found["cyrillic"], found["latin"], found["chinese"]
+        total = cyrillic + latin + chinese
+        return (
+            F.when(total == 0, "other").when(chinese > 0.3 * total, "zh").when(cyrillic > 0.5 * total, "ru").when(latin > 0.5 * total, "en")
+            .when((cyrillic > 0.2 * total) & (latin > 0.2 * total), "mixed").otherwise("other")
+        )
+
+    return let(counts, named)
 
 
 #: Upper bounds of the length buckets and their names; longer ones are "1000+".

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillet.functions import text as T
+
 #: The roles of each format. Roles that are not listed go, or stay for langchain.
 ROLES = {
     "openai": {"user": "user", "assistant": "assistant", "system": "system", "human": "user", "person": "user", "bot": "assistant", "ai": "assistant", "agent": "assistant"},
@@ -34,8 +36,8 @@ def turns_in(turns: DataFrame, dialect: str) -> DataFrame:
 def _joined(parts: Column) -> Column:
     """Texts in order of turn, a line each; empty ones before the first other go."""
     ordered = F.transform(F.array_sort(F.collect_list(parts)), lambda p: p["text"])
-    first = F.array_position(F.transform(ordered, lambda t: t != ""), True)
-    return F.when(first > 0, F.array_join(F.filter(ordered, lambda t, i: i >= first - 1), "\n")).otherwise("")
+    first = lambda texts: F.array_position(F.transform(texts, lambda t: t != ""), True)
+    return T.let(ordered, lambda ts: T.let(first(ts), lambda at: F.when(at > 0, F.array_join(F.filter(ts, lambda t, i: i >= at - 1), "\n")).otherwise("")))
 
 
 def alpaca(turns: DataFrame) -> DataFrame:
