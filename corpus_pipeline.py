@@ -43,11 +43,10 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048; texts of which nothing is left have no piece."""
+    """Token pieces in sequences of 2048; texts of which nothing is left are their end id alone."""
     import public_tokenizers
 
-    left = docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    return packing.pack(packing.pieces(left, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
