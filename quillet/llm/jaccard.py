@@ -71,8 +71,8 @@ def _bins(found: np.ndarray) -> np.ndarray:
 
 
 def _sizes(words: int):
-    """Rows (kind 0) of doc_id, set size and fingerprint, and (kind 1) of counter and count for
-    shingles that several documents of a chunk share."""
+    """Rows (kind 0) of doc_id, set size, fingerprint and the text's hash, and (kind 1) of counter
+    and count for shingles that several documents of a chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, seen = [], 0, set()
@@ -82,11 +82,12 @@ def _sizes(words: int):
             shared = n > 1
             total = np.bincount(_bins(values[shared]), weights=n[shared], minlength=_BINS)
             at = np.flatnonzero(total)
-            return _rows(np.ones(len(at), np.int8), at, total[at].astype(np.int64), np.zeros(len(at), np.int64))
+            none = np.zeros(len(at), np.int64)
+            return _rows(np.ones(len(at), np.int8), at, total[at].astype(np.int64), none, none)
 
         for batch in batches:
             n, prints = [], []
-            for data in batch.column(1):
+            for data in batch.column(2):
                 found = shingles(data.as_py(), words)
                 n.append(len(found))
                 prints.append(_fingerprint(found))
@@ -97,18 +98,18 @@ def _sizes(words: int):
                 if size > _CHUNK:
                     yield sketch()
                     chunk, size = [], 0
-            yield _rows(np.zeros(len(n), np.int8), batch.column(0), n, prints)
+            yield _rows(np.zeros(len(n), np.int8), batch.column(0), n, prints, batch.column(1))
         if chunk:
             yield sketch()
 
     return run
 
 
-def _rows(kind, doc_id, n, print_) -> pa.RecordBatch:
-    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64())
+def _rows(kind, doc_id, n, print_, owner) -> pa.RecordBatch:
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((kind, doc_id, n, print_), types)],
-        names=["kind", "doc_id", "n", "class"],
+        [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((kind, doc_id, n, print_, owner), types)],
+        names=["kind", "doc_id", "n", "class", "owner"],
     )
 
 
@@ -264,7 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, class (of equal sets; null for an
-    empty set) and component_id.
+    empty set), component_id, owner (the text's hash), and first (whether doc_id and owner are
+    the least of the component, null ids last; null for an empty set).
 
     Two documents link when their shingle sets have a Jaccard similarity of ``percent``
     hundredths or more; component_id is the least doc_id that links reach, its own included.
@@ -274,7 +276,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("owner"), text_bytes().alias("text"))
-    sized = written(texts.select("doc_id", "text").mapInArrow(_sizes(words), "kind byte, doc_id long, n long, class long"))
+    sized = written(texts.mapInArrow(_sizes(words), "kind byte, doc_id long, n long, class long, owner long"))
     counters = np.zeros(_BINS, dtype=np.float64)
     for row in sized.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():  # a row a counter at most
         counters[row["doc_id"]] = row["n"]
@@ -325,14 +327,17 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     cross = cross.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
     found = components(edges.unionAll(_verified(cross, grams, percent)))
 
-    rows = sized.where("kind = 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    ids = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    rows = sized.where("kind = 0").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"), "owner")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "owner")  # null ids last
+    ids = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(one).alias("least"))
     rooted = ids.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ends = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(ends, "root").select("class", "component_id")
+    ends = rooted.groupBy("root").agg(F.min("least").alias("end"))
+    by_class = rooted.join(ends, "root").select("class", F.col("end.doc_id").alias("component_id"), F.col("end.owner").alias("end"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("owner") == F.col("end"))
     return rows.join(by_class, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+        "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "owner", F.when(F.col("class").isNotNull(), is_first).alias("first"),
+    )
 
 
 def _open(multi: DataFrame, found: DataFrame) -> DataFrame:
@@ -361,12 +366,15 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the row with its least doc_id stays, with all its columns; of several
-    such rows, one. Of rows without a doc_id, one of each text stays."""
-    gone = classes(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    no_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return kept.withColumn("no_id__", no_id).dropDuplicates(["doc_id", "no_id__"]).drop("no_id__")
+    """Of each component one row stays, with all its columns: that with the least doc_id (null
+    ids last), and of several such rows that with the least hash of its text. Rows whose set is
+    empty link with nothing, so all of them stay. A doc_id may stand in several components."""
+    key = ["id__", "none__", "owner__"]
+    keyed = lambda df, owner: df.withColumns({"id__": F.coalesce("doc_id", F.lit(0)), "none__": F.col("doc_id").isNull(), "owner__": owner})
+    gone = keyed(classes(docs, words, percent).where("NOT first"), F.col("owner")).select(*key).distinct()
+    full = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # holds a word
+    kept = keyed(docs.where(full), F.xxhash64("text")).join(gone, key, "left_anti").dropDuplicates(key)
+    return kept.drop(*key).unionByName(docs.where(~full))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

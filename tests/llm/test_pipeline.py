@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from quillet.llm import substrings
+from quillet.llm import jaccard, substrings
 
 P = pytest.importorskip("public_tokenizers")
 SHARED = " ".join(f"w{i}" for i in range(60))
@@ -56,3 +56,31 @@ def test_toxicity_takes_what_is_predicted_only(spark):
     toxic = {r.doc_id for r in toxicity.op7(spark, sf_dir).collect() if r.predicted == 1}
     want = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect() if r.doc_id not in toxic]
     assert toxic and ordered(corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()) == ordered(want)
+
+
+def plain_keep_one(rows):
+    """Of each component (by the ids of rows numbered apart) the texts of its least doc_id."""
+    roots = [c for _, _, c in jaccard.brute_force(list(enumerate(t for _, t in rows)))]
+    sizes = [n for _, n, _ in jaccard.brute_force(rows)]
+    out = [[r] for r, n in zip(rows, sizes) if not n]
+    for root in {c for c, n in zip(roots, sizes) if n}:
+        group = [r for r, c in zip(rows, roots) if c == root]
+        least = min((i is None, i or 0) for i, _ in group)
+        out.append([r for r in group if (r[0] is None, r[0] or 0) == least])
+    return out
+
+
+def test_near_copies_keep_one_of_each_component(spark):
+    near = [SHARED.replace("w7 ", f"x{i} ") for i in range(4)]
+    other = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    rows = [
+        (1, near[0]), (9, near[1]), (9, other[0]), (5, other[1]), (5, other[2]), (5, other[2]), (None, other[3]), (None, other[3].replace("d7 ", "y ")),
+        (None, near[2]), (0, other[4]), (0, other[4].replace("e7 ", "z ")), (7, ""), (7, None), (7, None), (8, " \n"), (None, ""),
+    ]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table_of(spark, rows), "").collect()]
+    want = plain_keep_one(rows)
+    assert len(got) == len(want)
+    for choices in want:
+        assert any(c in got for c in choices)
+        got.remove(next(c for c in choices if c in got))
+    assert not got
