@@ -86,20 +86,23 @@ def parsed(turns: DataFrame, tools: dict) -> DataFrame:
 
 
 def _ranks(calls: DataFrame) -> DataFrame:
-    """Topological level of each call: 0 without needs, else one more than its needs'. Calls in
-    a circle, or after one, have none. Each round settles one level for all conversations."""
+    """Topological level and anchor of each call: level 0 and its own turn without needs, else one
+    more than its needs' levels, and its own turn or its needs' last anchor, whichever is later.
+    Calls in a circle, or after one, have none. Each round settles one level for all
+    conversations."""
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need"))
     known = calls.select(F.col("conv_id"), F.col("call_id").alias("need")).distinct()
     needs = written(needs.join(known, ["conv_id", "need"], "left_semi"))  # needs of calls that exist
-    todo = calls.select("conv_id", "call_id").distinct()
+    todo = calls.select("conv_id", "call_id", "turn")
     held = needs.select("conv_id", "call_id").distinct()
-    done = written(todo.join(held, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    done = written(todo.join(held, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.col("turn").alias("anchor")))
     n = -1
     while not needs.isEmpty() and n != (n := done.count()):
         met = needs.join(done.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
-        new = met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("top"))
-        new = new.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).alias("level"))
-        first = done.where("level = 0").select("conv_id", "call_id", "level")
+        new = met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("top"), F.max("anchor").alias("last"))
+        new = new.where("open = 0").join(todo, ["conv_id", "call_id"])
+        new = new.select("conv_id", "call_id", (F.col("top") + 1).alias("level"), F.greatest("turn", "last").alias("anchor"))
+        first = done.where("level = 0")
         done = written(first.unionByName(new))
     return done
 
@@ -113,7 +116,7 @@ def linked(turns: DataFrame, tools: dict | None = None) -> DataFrame:
     content. State: of calls ``linked`` or ``unanswered``, ``circular`` if its needs never end,
     ``repeated`` if the id was called before; of results ``linked``, ``orphan`` without a call,
     ``repeated`` after the first; of messages ``plain``. Messages keep their turn; calls stand
-    in their needs' order at their own turn or the turn of their last need, whichever is later;
+    in their needs' order at their own turn or the place of their last need, whichever is later;
     first results stand after their call. Null turns come first, equal ones in order of role and
     text. Null conversations are one conversation. Extra columns are dropped.
     """
@@ -126,14 +129,10 @@ def linked(turns: DataFrame, tools: dict | None = None) -> DataFrame:
     calls = written(rows.where("kind = 'call'").withColumn("nth", F.row_number().over(by_id)))
     results = rows.where("kind = 'result'").withColumn("nth", F.row_number().over(by_id))
     firsts = calls.where("nth = 1")
-    levels = _ranks(firsts.select(F.coalesce("conv_id", F.lit(-(2**63))).alias("conv_id"), "call_id", "after"))
     key = F.coalesce("conv_id", F.lit(-(2**63)))
     placed = firsts.select(key.alias("conv_id"), "call_id", "turn", "after")
-    last = placed.select("conv_id", F.col("call_id").alias("c"), F.explode("after").alias("call_id")).join(
-        placed.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]
-    ).groupBy("conv_id", F.col("c").alias("call_id")).agg(F.max("turn").alias("last"))
-    info = placed.select("conv_id", "call_id", "turn").join(levels, ["conv_id", "call_id"], "left").join(last, ["conv_id", "call_id"], "left")
-    info = info.select(F.col("conv_id").alias("k"), F.col("call_id").alias("id"), F.greatest("turn", "last").alias("anchor"), "level")
+    info = placed.select("conv_id", "call_id").join(_ranks(placed), ["conv_id", "call_id"], "left")
+    info = info.select(F.col("conv_id").alias("k"), F.col("call_id").alias("id"), F.lit(True).alias("called"), "anchor", "level")
     answered = results.select(key.alias("k"), F.col("call_id").alias("id")).distinct().withColumn("answered", F.lit(True))
     joined = calls.unionByName(results).withColumn("k", key).withColumn("id", F.col("call_id"))
     joined = joined.join(info, ["k", "id"], "left").join(answered, ["k", "id"], "left")
@@ -141,7 +140,7 @@ def linked(turns: DataFrame, tools: dict | None = None) -> DataFrame:
     circular = F.col("level").isNull()
     state = (
         F.when(~first, "repeated").when(call & circular, "circular").when(call & F.col("answered"), "linked").when(call, "unanswered")
-        .when(F.col("anchor").isNull() & circular, "orphan").otherwise("linked")
+        .when(F.col("called").isNull(), "orphan").otherwise("linked")
     )
     bound = first & F.col("level").isNotNull()
     shaped = joined.select(

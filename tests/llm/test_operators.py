@@ -123,3 +123,20 @@ def test_calls_stand_before_their_results(spark):
     got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "place").collect()
     assert [(r.conv_id, r.kind, r.state) for r in got] == [(1, "message", "plain"), (1, "call", "linked"), (1, "result", "linked"), (2, "result", "orphan"), (3, "message", "plain")]
     assert got[1].valid and got[1].json == '{"role":"assistant","tool_call":{"arguments":{"query":"x"},"id":"c1","name":"search"}}'
+
+
+def test_chains_of_calls_stand_in_their_needs_order(spark):
+    def call(name, *after):
+        return json.dumps({"tool_call": {"id": name, "name": "search", "arguments": {"query": "x"}, "after": list(after)}})
+
+    def result(name):
+        return json.dumps({"tool_result": {"id": name, "content": 1}})
+
+    rows = [(1, 10, "a", call("A")), (1, 2, "a", call("B", "A")), (1, 3, "a", call("C", "B")), (1, 4, "t", result("C")), (1, 1, "t", result("B")), (1, 5, "user", "hi"), (1, 0, "t", result("?"))]
+    rows += [(2, 1, "a", call("X", "Y")), (2, 2, "a", call("Y", "X")), (2, 3, "a", call("Z", "Y")), (2, 4, "t", result("X")), (3, None, "a", call("A")), (3, None, "a", call("B", "A")), (3, 1, "t", result("B"))]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "place").collect()
+    assert [(r.kind, r.call_id, r.state) for r in got if r.conv_id == 1] == [
+        ("result", "?", "orphan"), ("message", None, "plain"), ("call", "A", "unanswered"), ("call", "B", "linked"), ("result", "B", "linked"), ("call", "C", "linked"), ("result", "C", "linked"),
+    ]
+    assert [(r.call_id, r.state) for r in got if r.conv_id == 2] == [("X", "circular"), ("Y", "circular"), ("Z", "circular"), ("X", "linked")]
+    assert [(r.kind, r.call_id, r.state) for r in got if r.conv_id == 3] == [("call", "A", "unanswered"), ("call", "B", "linked"), ("result", "B", "linked")]
