@@ -2,7 +2,8 @@
 
 The file's normaliser works inside runs of other than white space and its split rule never
 crosses white space, so a text's ids are those of its runs, one after another. Most runs come
-again and again: their ids are kept, and only new ones are merged, many in one call.
+again and again: their ids are kept, and only new ones are merged, many in one call. The file's
+added tokens are cut out of the raw text before all that, as the library does it.
 """
 
 from __future__ import annotations
@@ -54,7 +55,13 @@ class WordTokens:
         )
         self.pairs = PairTable(left, right, np.arange(len(merges)), merged)
         self.find = regex.compile(split).findall
-        self.kept, self.known = kept, {}
+        added = spec["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are matched as they stand; this file has some that are not")
+        self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
+        # of several that start at one place the longest counts
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.kept, self.known = kept, dict(self.added)
 
     @classmethod
     def load(cls, path: str) -> WordTokens:
@@ -88,11 +95,17 @@ class WordTokens:
         for run, part in zip(new, parts):
             self.known[run] = ids[part] if isinstance(part, int) else b"".join([ids[p] for p in part])
 
+    def _runs(self, text: str) -> list[str]:
+        """The runs of a text, each added token a run of its own."""
+        if not any(mark in text for mark in self.added):
+            return runs_of(text)
+        return [run for part in self.marks.split(text) for run in ((part,) if part in self.added else runs_of(part))]
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned little-endian 32-bit numbers."""
-        runs = [runs_of(text) for text in texts]
+        runs = [self._runs(text) for text in texts]
         if len(self.known) > self.kept:
-            self.known.clear()
+            self.known = dict(self.added)
         new = set().union(*runs).difference(self.known)
         if new:
             self._learn(list(new))

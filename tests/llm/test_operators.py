@@ -140,3 +140,19 @@ def test_chains_of_calls_stand_in_their_needs_order(spark):
     ]
     assert [(r.call_id, r.state) for r in got if r.conv_id == 2] == [("X", "circular"), ("Y", "circular"), ("Z", "circular"), ("X", "linked")]
     assert [(r.kind, r.call_id, r.state) for r in got if r.conv_id == 3] == [("call", "A", "unanswered"), ("call", "B", "linked"), ("result", "B", "linked")]
+
+
+def test_word_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    from quillet.llm.wordtokens import WordTokens
+
+    path = P.path("word_bpe_49k.json")
+    texts = [t or "" for _, t in ROWS] + [
+        "hello <|endoftext|> world<|startoftext|>x", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "<|ENDOFTEXT|> <|endoftext |>", "x<|startoftext|>'s ΣΑΣ\u2028e\u0301<|end<|endoftext|>oftext|>", "it's 2024\x1c!",
+    ]
+    own = WordTokens(path, kept=3)
+    library = Tokenizer.from_file(path)
+    for _ in range(2):  # the second time what is known has been dropped
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.packed(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
