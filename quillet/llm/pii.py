@@ -5,11 +5,13 @@ by a keyed surrogate of its own type and format:
 
 * numbers (phones, cards, social security numbers, accounts) pass a keyed Feistel network over
   their digits, a permutation of the digit strings of one length, and keep their punctuation, so
-  the same number written in two ways stays the same number;
+  the same number written in two ways stays the same number; the letters of an account, but for
+  the country's, are shifted by a key that depends on its digits and the letters before;
 * addresses of the Internet protocol pass a keyed permutation of each byte that depends on the
   bytes before it;
 * e-mail addresses, secrets and names get keyed digests spelled in their own script: names a
-  given name of the same gender (as the title says) and a family name.
+  given name of the same gender (as the title says) and a family name. Where a text names a person
+  with a title, mentions of that name, or of its parts, without one are replaced too.
 
 Permutations keep different entities apart by construction; for digests the operator checks the
 corpus and spells those that meet out at greater length. Equal entities get equal surrogates
@@ -24,14 +26,24 @@ from pyspark.sql import functions as F
 from quillet.llm.common import table
 
 #: Types with their patterns; an entity has the first type that fits.
-_TITLES_M = r"Mr|Sir|Herr|Monsieur|Señor"
-_TITLES_F = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora"
+_TITLES_M = r"Mr|Sir|Herr|Monsieur|Señor|[Κκ]ύριος|[Κκ]ος|[Гг]осподин|г-н"
+_TITLES_F = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|[Κκ]υρία|[Κκ]α|[Гг]оспожа|г-жа"
+#: Countries whose account numbers have letters or digits, by the number's whole length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(
+    rf"(?:{countries})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{n // 4 - 1}}}" + (rf" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])"
+    for n, countries in _IBAN_LENGTHS.items()
+)
 TYPES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][0-9A-Za-z_-]{16,64}|gh[pousr]_[0-9A-Za-z]{36,64})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?(?![0-9A-Za-z]))",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{3})?(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?",
@@ -137,16 +149,34 @@ def _email(key: str, e: Column, n: Column) -> Column:
     )
 
 
-def _secret(key: str, e: Column) -> Column:
-    """Same prefix, same length; letters and digits from a keyed digest."""
+def _account(key: str, e: Column, numbers: Column) -> Column:
+    """``numbers`` (the account ``e`` with new digits) with its letters, the country's apart, shifted."""
+    tail = F.substring(numbers, F.lit(3), F.length(numbers))
+    letters = F.regexp_replace(tail, "[^A-Z]", "")
+
+    def at(i: Column) -> Column:
+        c = F.substring(tail, i, F.lit(1))
+        before = F.regexp_replace(F.substring(tail, F.lit(1), i - 1), "[^A-Z]", "")
+        shift = _number(key, "account", F.concat(F.substring(e, 1, 2), _digits_of(e), F.lit(":"), before))
+        moved = F.pmod(F.ascii(c) - 65 + shift, F.lit(26)).cast("int") + 1
+        return F.when(c.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), moved, F.lit(1))).otherwise(c)
+
+    shifted = F.concat(F.substring(numbers, 1, 2), F.array_join(F.transform(F.sequence(F.lit(1), F.length(tail)), at), ""))
+    return F.when(letters == "", numbers).otherwise(shifted)
+
+
+def _secret(key: str, e: Column, longer: int) -> Column:
+    """Same prefix, same length; letters and digits from a keyed digest, another one for each
+    value of ``longer``."""
     prefix = F.regexp_extract(e, r"\A(AKIA|ASIA|(?:sk|pk|rk)[-_]|gh[pousr]_)", 1)
-    body = F.concat(_digest(key, "secret", e), _digest(key, "secret2", e))
+    turn = f"+{longer}" if longer else ""
+    body = F.concat(_digest(key, f"secret{turn}", e), _digest(key, f"secret2{turn}", e))
     body = F.substring(body, F.lit(1), F.length(e) - F.length(prefix))
     return F.concat(prefix, F.when(prefix.rlike("^A"), F.upper(body)).otherwise(body))
 
 
 def _name(key: str, e: Column, n: Column) -> Column:
-    title = F.regexp_extract(e, r"\A(\p{L}+\.?) ", 1)
+    title = F.regexp_extract(e, r"\A([\p{L}-]+\.?) ", 1)
     rest = F.substring(e, F.length(title) + 2, F.length(e))
     script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     pick = _number(key, "given", rest)
@@ -175,7 +205,8 @@ def surrogates(key: str, found: Column, longer: int = 0) -> Column:
     return F.zip_with(
         typed, numbers,
         lambda x, number: F.when(x["type"] == "email", _email(key, x["value"], n))
-        .when(x["type"] == "secret", _secret(key, x["value"]))
+        .when(x["type"] == "secret", _secret(key, x["value"], longer))
+        .when(x["type"] == "iban", _account(key, x["value"], number))
         .when(x["type"] == "ip", _ip(key, x["value"]))
         .when(x["type"] == "name", _name(key, x["value"], n))
         .otherwise(number),
@@ -191,7 +222,7 @@ def found_in(text: Column) -> Column:
 def _canonical(e: Column) -> Column:
     """One spelling for each entity: digits of numbers, lower-case addresses."""
     kind = _type(e)
-    return F.when(kind.isin("email"), F.lower(e)).when(kind.isin("phone", "card", "ssn", "iban"), _digits_of(e)).otherwise(e)
+    return F.when(kind.isin("email"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), _digits_of(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -209,21 +240,44 @@ def meets(docs: DataFrame, key: str, longer: int = 0) -> DataFrame:
     )
 
 
+def _mentions(found: Column, new: Column) -> Column:
+    """Names that a text has with a title, and the parts of those of two words, each with what
+    stands for it in the surrogate; longer ones first."""
+    both = F.filter(F.arrays_zip(found.alias("old"), new.alias("new")), lambda x: x["old"].rlike(rf"\A(?:{TYPES['name']})\z"))
+    both = F.transform(both, lambda x: F.struct(*(F.regexp_replace(x[c], r"\A[\p{L}-]+\.? ", "").alias(c) for c in ("old", "new"))))
+    part = lambda n: F.transform(both, lambda x: F.struct(*(F.substring_index(x[c], " ", n).alias(c) for c in ("old", "new"))))
+    sized = F.transform(F.concat(both, part(-1), part(1)), lambda x: F.struct((-F.length(x["old"])).alias("n"), x["old"].alias("old"), x["new"].alias("new")))
+    return F.array_sort(F.array_distinct(sized))
+
+
+def _unnamed(text: Column, mentions: Column) -> Column:
+    """A text between entities with the mentions replaced."""
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(mentions, lambda m: F.concat(F.lit(r"\Q"), m["old"], F.lit(r"\E"))), "|"), F.lit(r")(?!\p{L})"))
+    new = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda e: F.get(F.filter(mentions, lambda m: m["old"] == e), 0)["new"])
+    replaced = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.size(mentions) > 0, replaced).otherwise(text)
+
+
 def replace_entities(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """``docs`` with each entity in ``text`` replaced, and n_entities.
 
     Null texts stay null, with no entities; text outside entities is untouched; other columns
-    are kept, an n_entities column is replaced. With ``check`` the corpus is searched for
-    surrogates that meet, and digests are lengthened until none do.
+    are kept, an n_entities column is replaced. Names without a title are replaced, and not
+    counted, in texts that have them with one. With ``check`` the corpus is searched for
+    surrogates that meet, and digests are lengthened until none do; where some still meet at
+    the greatest length, the job fails.
     """
     longer = 0
-    while check and longer < 40 and not meets(docs, key, longer).isEmpty():
+    while check and not (met := meets(docs, key, longer)).isEmpty():
+        if longer == 40:
+            raise ValueError(f"surrogates that stand for several entities: {[tuple(r) for r in met.limit(5).collect()]}")
         longer += 10
     with_found = docs.drop("n_entities").withColumn("found__", found_in(F.coalesce("text", F.lit(""))))
     with_new = with_found.withColumn("new__", F.when(F.size("found__") > 0, surrogates(key, F.col("found__"), longer)))
-    pieces = F.zip_with(F.split("text", PATTERN, -1), "new__", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    with_new = with_new.withColumn("names__", F.when(F.size("found__") > 0, _mentions(F.col("found__"), F.col("new__"))))
+    pieces = F.zip_with(F.split("text", PATTERN, -1), "new__", lambda a, b: F.concat(_unnamed(a, F.col("names__")), F.coalesce(b, F.lit(""))))
     replaced = F.when(F.col("new__").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))
-    return with_new.withColumns({"text": replaced, "n_entities": F.size("found__").cast("long")}).drop("found__", "new__")
+    return with_new.withColumns({"text": replaced, "n_entities": F.size("found__").cast("long")}).drop("found__", "new__", "names__")
 
 
 #: The pipeline's and the query's key; a deployment passes its own.

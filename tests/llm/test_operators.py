@@ -156,3 +156,25 @@ def test_word_tokens_are_those_of_the_library():
     for _ in range(2):  # the second time what is known has been dropped
         got = [np.frombuffer(x, "<u4").tolist() for x in own.packed(texts)]
         assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_accounts_with_letters_and_bare_names_get_surrogates(spark, monkeypatch):
+    accounts = ["GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "NL91ABNA0417164300", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00"]
+    rows = [(i, f"pay {a} NOW") for i, a in enumerate(accounts)]
+    rows += [(10, "Mr John Smith came. Later Smith left, John Smith said; Smithers stayed."), (11, "Smith alone"), (12, "Κύριος Παπαδόπουλος και ο Παπαδόπουλος"), (13, "г-жа Иванова. Иванова ушла")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_entities(df, "k").collect()}
+    for i, a in enumerate(accounts):
+        new = got[i].removeprefix("pay ").removesuffix(" NOW")
+        assert new != a and new[:2] == a[:2] and [(c.isdigit(), c.isalpha()) for c in new] == [(c.isdigit(), c.isalpha()) for c in a]
+        assert all(x not in new for x in ("NWBK", "ABNA", "MALT"))
+    assert got[0].replace(" ", "") == got[1].replace(" ", "")
+    words = got[10].split()
+    given, family = words[1], words[2]
+    assert got[10] == f"Mr {given} {family} came. Later {family} left, {given} {family} said; Smithers stayed." and family != "Smith"
+    assert got[11] == "Smith alone"
+    for i, old in ((12, "Παπαδόπουλος"), (13, "Иванова")):
+        assert old not in got[i] and got[i].replace(".", "").split()[1] in got[i].replace(".", "").split()[2:]
+    monkeypatch.setattr(pii, "meets", lambda docs, key, longer: df.limit(1))
+    with pytest.raises(ValueError, match="several entities"):
+        pii.replace_entities(df, "k")
