@@ -31,11 +31,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset
-    (tests on one machine), a temporary folder of this process."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder of this process, on a local master only: executors elsewhere would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="quillet-")

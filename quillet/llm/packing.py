@@ -6,8 +6,9 @@ piece goes to the fullest bin that it fits. If it fits none and all places are t
 fullest open bin closes.
 
 Every partition packs on its own, so nothing is gathered: pieces are dealt out by a hash of
-document and piece, sorted longest first inside the partition, and each partition leaves at
-most one bin a good deal emptier than the rest.
+document and piece and arrive in the order of another hash, so at every moment short ones are
+still to come for the gaps that long ones leave, however many there are. Of the next
+``LOOK_AHEAD`` pieces the longest is placed first; nothing else is known of what is to come.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import table, text_bytes
+from quillet.llm.common import table
 from quillet.llm.wordtokens import WordTokens, in_parts
 
 CAPACITY = 2048
 OPEN_BINS = 4096
+LOOK_AHEAD = 4096
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -94,24 +97,43 @@ class BestFit:
         return found, self.capacity - free
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """Add sequence_id and offset to rows of doc_id, piece, start, length, ids_crc32.
 
-    Lengths are from 1 to ``capacity``; other rows fail the job. Sorted on all columns, so a
-    task that runs again on another executor packs alike.
+    Lengths are from 1 to ``capacity``; other rows fail the job. Repeated rows and null ids are
+    pieces like others; an empty table has no sequences; columns that clash with the two added
+    ones are replaced, others dropped. Rows arrive in the order of a hash, ties by all columns,
+    so a task that runs again on another executor packs alike.
     """
 
+    def placed(rows: pa.Table, bins: BestFit, base: int) -> pa.RecordBatch:
+        lengths = rows.column("length").to_numpy()
+        places: list = [None] * len(lengths)
+        if not ((lengths >= 1) & (lengths <= bins.capacity)).all():
+            raise ValueError(f"a piece has from 1 to {bins.capacity} tokens")
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            places[i] = bins.place(int(lengths[i]))
+        added = [pa.array([base + s for s, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
+        whole = rows.combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*whole.columns, *added], names=[*whole.schema.names, "sequence_id", "offset"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+        ahead: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            places = [bins.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + s for s, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+            while n + len(batch) >= look_ahead:
+                first = batch.slice(0, look_ahead - n)
+                yield placed(pa.Table.from_batches([*ahead, first]), bins, base)
+                batch, ahead, n = batch.slice(len(first)), [], 0
+            if len(batch):
+                ahead.append(batch)
+                n += len(batch)
+        if ahead:
+            yield placed(pa.Table.from_batches(ahead), bins, base)
 
     dealt = items.select(*_NAMES).repartition("doc_id", "piece", "ids_crc32")
-    return dealt.sortWithinPartitions(F.desc("length"), *[c for c in _NAMES if c != "length"]).mapInArrow(run, _PACKED)
+    return dealt.sortWithinPartitions(F.xxhash64("ids_crc32", "piece", "doc_id"), *_NAMES).mapInArrow(run, _PACKED)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

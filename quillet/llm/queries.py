@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillet.llm import chat, jaccard, neighbours, packing, pii, quality, sharding, substrings, tokens, toxicity
+from quillet.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def pipeline(spark, sf_dir: str):
@@ -26,4 +27,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
