@@ -1,8 +1,13 @@
 """Byte-pair merging of many pieces at once in padded numpy matrices.
 
 Pieces of like length stand in one matrix, a row each. In every round each row merges its
-leftmost pair of least rank, closes the gap and looks up the two new neighbours; rows without
-a known pair leave. All rows that stay lose one symbol a round, so the matrix narrows with them.
+leftmost pair of least rank, and with it, from left to right, all places of the same pair that
+do not overlap; closes the gaps and looks up the new neighbours. Rows without a known pair leave.
+
+The other places may go in the same round since a merge uncovers no pair of lower rank: where
+each token of a vocabulary is what its own bytes merge to (``tests/llm`` checks that of the rank
+files), its bytes have become that token before one of greater rank stands beside its rest. So
+pieces of any length, also single words of a megabyte, take one path.
 """
 
 from __future__ import annotations
@@ -10,8 +15,6 @@ from __future__ import annotations
 import numpy as np
 
 _NONE = np.int32(2**31 - 1)
-#: Rows longer than this are merged alone, all places of a pair in one round.
-_LONG = 256
 
 
 class PairTable:
@@ -52,65 +55,60 @@ class PairTable:
         return at.reshape(shape)
 
 
+def _least_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's least rank: of places that overlap the leftmost, then the
+    next that does not."""
+    hit = rank == rank.min(axis=1, keepdims=True)
+    if (hit[:, 1:] & hit[:, :-1]).any():
+        columns = np.arange(hit.shape[1])[None, :]
+        in_run = columns - np.maximum.accumulate(np.where(hit, -1, columns), axis=1)
+        hit &= in_run % 2 == 1
+    return np.nonzero(hit)
+
+
 def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: list, ids: np.ndarray) -> None:
     """Merge the padded matrix ``rows``; put the ids of row ``i`` in ``out[ids[i]]``."""
-    width = rows.shape[1]
-    if width > 1:
-        at = pairs.places(rows[:, :-1], rows[:, 1:])
-        rank = pairs.rank[at]
-        rank[np.arange(width - 1)[None, :] >= lengths[:, None] - 1] = _NONE
+    if rows.shape[1] > 1:
+        rank = pairs.rank[pairs.places(rows[:, :-1], rows[:, 1:])]
+        rank[np.arange(rows.shape[1] - 1)[None, :] >= lengths[:, None] - 1] = _NONE
     while True:
-        if rows.shape[1] < 2:
-            live = np.zeros(len(rows), dtype=bool)
-        else:
-            best = rank.argmin(axis=1)
-            live = rank[np.arange(len(rows)), best] < _NONE
+        live = rank.min(axis=1) < _NONE if rows.shape[1] > 1 else np.zeros(len(rows), dtype=bool)
         done = np.flatnonzero(~live)
         for i, row, n in zip(ids[done].tolist(), rows[done], lengths[done].tolist()):
-            out[i] = row[:n]
+            out[i] = row[:n].copy()
         if not live.any():
             return
-        rows, rank, lengths, ids, best = rows[live], rank[live], lengths[live] - 1, ids[live], best[live]
-        line = np.arange(len(rows))
-        merged = pairs.merged[pairs.places(rows[line, best], rows[line, best + 1])]
-        width = rows.shape[1] - 1
-        shift = np.arange(width)[None, :]
-        rows = np.take_along_axis(rows, shift + (shift > best[:, None]), axis=1)
-        rows[line, best] = merged
-        if width < 2:
-            rank = np.empty((len(rows), 0), dtype=np.int32)
-            continue
-        shift = shift[:, :-1]
-        rank = np.take_along_axis(rank, np.minimum(shift + (shift >= best[:, None]), width - 1), axis=1)
-        for place, have in ((best - 1, best > 0), (best, best < lengths - 1)):
-            who = line[have]
-            rank[who, place[have]] = pairs.rank[pairs.places(rows[who, place[have]], rows[who, place[have] + 1])]
-
-
-def _merge_long(row: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """One long row. A merge makes only pairs of higher rank than its own, so all places of
-    the least pair, left to right and without overlap, can be merged in one round."""
-    while len(row) > 1:
-        at = pairs.places(row[:-1], row[1:])
-        rank = pairs.rank[at]
-        least = rank.min()
-        if least == _NONE:
-            break
-        where = np.flatnonzero(rank == least)
-        starts = np.flatnonzero(np.diff(where, prepend=-2) > 1)
-        turn = np.arange(len(where)) - np.repeat(starts, np.diff(starts, append=len(where)))
-        where = where[turn % 2 == 0]
-        row[where] = pairs.merged[at[where]]
-        row = np.delete(row, where + 1)
-    return row
+        if len(done):
+            rows, rank, lengths, ids = rows[live], rank[live], lengths[live], ids[live]
+        r, c = _least_places(rank)
+        rows[r, c] = pairs.merged[pairs.places(rows[r, c], rows[r, c + 1])]
+        keep = np.arange(rows.shape[1])[None, :] < lengths[:, None]
+        keep[r, c + 1] = False
+        place = np.cumsum(keep, axis=1, dtype=np.int32) - 1
+        lengths = place[:, -1] + 1
+        from_row, from_column = np.nonzero(keep)
+        to = place[from_row, from_column]
+        width = int(lengths.max())
+        closed = np.zeros((len(rows), width), dtype=np.int32)
+        closed[from_row, to] = rows[from_row, from_column]
+        ranks = np.full((len(rows), max(0, width - 1)), _NONE, dtype=np.int32)
+        inner = to < lengths[from_row] - 1
+        ranks[from_row[inner], to[inner]] = rank[from_row[inner], from_column[inner]]
+        at = place[r, c]
+        for who, where in ((r[at > 0], at[at > 0] - 1), (r[at < lengths[r] - 1], at[at < lengths[r] - 1])):
+            ranks[who, where] = pairs.rank[pairs.places(closed[who, where], closed[who, where + 1])]
+        rows, rank = closed, ranks
 
 
 def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
     """Merge pieces given end to end in ``symbols``; returns an id array for each."""
     out: list = [None] * len(lengths)
     starts = np.cumsum(lengths) - lengths
-    lower = 0
-    for upper in (4, 8, 12, 16, 24, 48, _LONG):
+    lower, longest = 0, int(lengths.max()) if len(lengths) else 0
+    bounds = [4, 8, 12, 16, 24, 48]
+    while bounds[-1] < longest:
+        bounds.append(2 * bounds[-1])
+    for upper in bounds:
         ids = np.flatnonzero((lengths > lower) & (lengths <= upper))
         lower = upper
         for part in np.array_split(ids, -(-len(ids) // max(1, 2**19 // upper))) if len(ids) else ():
@@ -119,8 +117,6 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> lis
             inside = columns < n[:, None]
             rows = symbols[np.where(inside, starts[part][:, None] + columns, 0)].astype(np.int32)
             _merge_rows(rows, n, pairs, out, part)
-    for i in np.flatnonzero(lengths > _LONG):
-        out[i] = _merge_long(symbols[starts[i] : starts[i] + lengths[i]].astype(np.int32), pairs)
     for i in np.flatnonzero(lengths == 0):
         out[i] = np.empty(0, dtype=np.int32)
     return out

@@ -6,12 +6,15 @@ by a keyed surrogate of its own type and format:
 * numbers (phones, cards, social security numbers, accounts) pass a keyed Feistel network over
   their digits, a permutation of the digit strings of one length, and keep their punctuation, so
   the same number written in two ways stays the same number; the letters of an account, but for
-  the country's, are shifted by a key that depends on its digits and the letters before;
-* addresses of the Internet protocol pass a keyed permutation of each byte that depends on the
-  bytes before it;
-* e-mail addresses, secrets and names get keyed digests spelled in their own script: names a
-  given name of the same gender (as the title says) and a family name. Where a text names a person
-  with a title, mentions of that name, or of its parts, without one are replaced too.
+  the country's, are shifted by a key that depends on its digits and the letters before; check
+  digits of cards and accounts are those of the new number where they were of the old;
+* addresses of the Internet protocol (both versions) pass a keyed permutation of each byte, or
+  group, that depends on those before it;
+* e-mail addresses, secrets and names get keyed digests spelled in their own script. Given and
+  family names are keyed apart, so a family keeps its name under any title; the given name has
+  the gender that its title says or, under titles without one, that the same given name mostly has
+  in the corpus. Where a text names a person with a title, mentions of that name, or of its parts,
+  without one are replaced too. Names that stand nowhere with a title are not found.
 
 Permutations keep different entities apart by construction; for digests the operator checks the
 corpus and spells those that meet out at greater length. Equal entities get equal surrogates
@@ -39,17 +42,20 @@ _IBAN = "|".join(
     for n, countries in _IBAN_LENGTHS.items()
 )
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][0-9A-Za-z_-]{16,64}|gh[pousr]_[0-9A-Za-z]{36,64})(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+)(?![0-9A-Za-z])|(?:sk|pk|rk)[-_][0-9A-Za-z_-]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]*+)",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?(?![0-9A-Za-z]))",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{3})?(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
 _NUMERIC = "|".join(f"(?:{TYPES[t]})" for t in ("ip", "ssn", "card", "phone"))
-PATTERN = "|".join(f"(?:{TYPES[t]})" for t in ("email", "secret", "iban")) + f"|(?=[+(0-9])(?:{_NUMERIC})|(?:{TYPES['name']})"
+PATTERN = "|".join(f"(?:{TYPES[t]})" for t in ("email", "secret", "iban")) + f"|(?=[0-9A-Fa-f:])(?:{TYPES['ip6']})|(?=[+(0-9])(?:{_NUMERIC})|(?:{TYPES['name']})"
+#: Two names after a title that says no gender.
+_UNGENDERED = r"(?<!\p{L})(?:Dr|Prof)\.? \p{Lu}[\p{L}'-]++ \p{Lu}[\p{L}'-]"
 
 #: Given names by gender, in Latin, Greek and Cyrillic script.
 _GIVEN = {
@@ -82,14 +88,37 @@ def _number(key: str, kind: str, value: Column) -> Column:
     return F.conv(_digest(key, kind, value, 12), 16, 10).cast("long")
 
 
+def _luhn(digits: Column) -> Column:
+    """The check digit of a card's other digits."""
+    each = F.transform(
+        F.reverse(F.split(digits, "")),
+        lambda d, i: F.when(i % 2 == 1, d.cast("int")).otherwise(2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)),
+    )
+    return F.pmod(-F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(10)).cast("int")
+
+
+def _mod_97(account: Column) -> Column:
+    """An account's number, the country's first four characters put last, modulo 97."""
+    plain = F.replace(account, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    of = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda n, c: F.pmod(n * F.when(c.rlike("[0-9]"), 10).otherwise(100) + of(c), F.lit(97)).cast("int"))
+
+
 def _permuted(key: str, items: Column) -> Column:
-    """Entities (structs with ``value`` and ``digits``) with their digits passed through four
-    rounds of a Feistel network, a stage each, so that no round is computed twice."""
+    """Entities (structs with ``value``, ``digits`` and ``type``) with their digits passed through
+    four rounds of a Feistel network, a stage each, so that no round is computed twice. The last
+    digit of a card is no part of it: it keeps its distance from the right check digit."""
+    same = ("value", "type", "n", "h0", "h1")
 
     def halves(x: Column) -> Column:
-        n = F.length(x["digits"])
+        whole = F.length(x["digits"])
+        n = whole - F.when(x["type"] == "card", 1).otherwise(0)
         u = F.floor(n / 2).cast("int")
-        return F.struct(x["value"].alias("value"), n.alias("n"), F.substring(x["digits"], F.lit(1), u).alias("h0"), F.substring(x["digits"], u + 1, n).alias("h1"))
+        off = F.when(x["type"] == "card", F.substring(x["digits"], whole, F.lit(1)).cast("int") - _luhn(F.substring(x["digits"], F.lit(1), n)))
+        return F.struct(
+            x["value"].alias("value"), x["type"].alias("type"), n.alias("n"), F.substring(x["digits"], F.lit(1), u).alias("h0"), F.substring(x["digits"], u + 1, n - u).alias("h1"), off.alias("off"),
+        )
 
     def turned(r: int):
         side, other = f"h{r % 2}", f"h{1 - r % 2}"
@@ -99,14 +128,18 @@ def _permuted(key: str, items: Column) -> Column:
             whole = F.rpad(F.lit("1"), F.length(x[side]) + 1, F.lit("0")).cast("decimal(20,0)")
             moved = F.pmod(x[side].cast("decimal(20,0)") + _number(key, f"digits{r}", salted), whole).cast("decimal(20,0)").cast("string")
             new = F.when(x[side] == "", x[side]).otherwise(F.lpad(moved, F.length(x[side]), F.lit("0")))
-            return F.struct(*(new.alias(c) if c == side else x[c].alias(c) for c in ("value", "n", "h0", "h1")))
+            return F.struct(*(new.alias(c) if c == side else x[c].alias(c) for c in same), x["off"].alias("off"))
 
         return turn
 
+    def last(x: Column) -> Column:
+        both = F.concat(x["h0"], x["h1"])
+        return F.when(x["type"] == "card", F.concat(both, F.pmod(_luhn(both) + x["off"], F.lit(10)).cast("string"))).otherwise(both)
+
     items = F.transform(items, halves)
     for r in range(4):
         items = F.transform(items, turned(r))
-    return F.transform(items, lambda x: _refilled(x["value"], F.concat(x["h0"], x["h1"])))
+    return F.transform(items, lambda x: F.when(x["n"] > 0, _refilled(x["value"], last(x))).otherwise(x["value"]))
 
 
 def _digits_of(e: Column) -> Column:
@@ -140,6 +173,19 @@ def _ip(key: str, e: Column) -> Column:
     )
 
 
+def _ip6(key: str, e: Column) -> Column:
+    """Each group shifted by a key that depends on the groups before, its length kept."""
+    parts = F.split(e, ":")
+
+    def group(g: Column, i: Column) -> Column:
+        shift = _number(key, "ip6", F.concat(F.length(g).cast("string"), F.lit(":"), F.lower(F.array_join(F.slice(parts, F.lit(1), i), ":"))))
+        whole = F.element_at(F.array(*(F.lit(16**n) for n in range(1, 5))), F.length(g))
+        moved = F.lower(F.conv(F.pmod(F.conv(g, 16, 10).cast("long") + shift, whole).cast("string"), 10, 16))
+        return F.when(g == "", g).otherwise(F.lpad(moved, F.length(g), F.lit("0")))
+
+    return F.array_join(F.transform(parts, group), ":")
+
+
 def _email(key: str, e: Column, n: Column) -> Column:
     low = F.lower(e)
     domain = F.substring_index(low, "@", -1)
@@ -162,67 +208,96 @@ def _account(key: str, e: Column, numbers: Column) -> Column:
         return F.when(c.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), moved, F.lit(1))).otherwise(c)
 
     shifted = F.concat(F.substring(numbers, 1, 2), F.array_join(F.transform(F.sequence(F.lit(1), F.length(tail)), at), ""))
-    return F.when(letters == "", numbers).otherwise(shifted)
+    new = F.when(letters == "", numbers).otherwise(shifted)
+    rest = F.substring(new, F.lit(5), F.length(new))
+    open_ = F.concat(F.substring(new, 1, 2), F.lit("00"), rest)
+    check = F.lpad((98 - _mod_97(open_)).cast("string"), 2, "0")
+    return F.when(_mod_97(e) == 1, F.concat(F.substring(new, 1, 2), check, rest)).otherwise(new)
 
 
 def _secret(key: str, e: Column, longer: int) -> Column:
-    """Same prefix, same length; letters and digits from a keyed digest, another one for each
-    value of ``longer``."""
-    prefix = F.regexp_extract(e, r"\A(AKIA|ASIA|(?:sk|pk|rk)[-_]|gh[pousr]_)", 1)
+    """Same prefix, same length, the dots of a token in place; all else from keyed digests, others
+    for each value of ``longer``."""
+    prefix = F.regexp_extract(e, r"\A(AKIA|ASIA|(?:sk|pk|rk)[-_]|gh[pousr]_|eyJ)", 1)
     turn = f"+{longer}" if longer else ""
-    body = F.concat(_digest(key, f"secret{turn}", e), _digest(key, f"secret2{turn}", e))
+    blocks = F.transform(F.array(_digest(key, f"secret{turn}", e)), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 64)), lambda i: F.sha2(F.concat(d, i.cast("string")), 256)), ""))
+    body = F.get(blocks, 0)
     body = F.substring(body, F.lit(1), F.length(e) - F.length(prefix))
-    return F.concat(prefix, F.when(prefix.rlike("^A"), F.upper(body)).otherwise(body))
+    ends = F.transform(F.split(F.substring(e, F.length(prefix) + 1, F.length(e)), r"\."), lambda p: F.length(p))
+    upto = lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, b: a + b)
+    dotted = F.array_join(F.transform(ends, lambda n, i: F.substring(body, upto(i) + 1, n)), ".")
+    return F.concat(prefix, F.when(prefix.rlike("^A"), F.upper(body)).when(prefix == "eyJ", dotted).otherwise(body))
 
 
-def _name(key: str, e: Column, n: Column) -> Column:
-    title = F.regexp_extract(e, r"\A([\p{L}-]+\.?) ", 1)
-    rest = F.substring(e, F.length(title) + 2, F.length(e))
-    script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    pick = _number(key, "given", rest)
-    female, male = title.rlike(rf"\A(?:{_TITLES_F})\.?\z"), title.rlike(rf"\A(?:{_TITLES_M})\.?\z")
-    # without a gendered title the key decides
-    gender = F.when(female, "f").when(male, "m").otherwise(F.when(F.pmod(pick, F.lit(2)) == 0, "f").otherwise("m"))
-    given = F.coalesce(
-        *(F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(pick / 2), F.lit(len(names))) + 1).cast("int"))) for (s, g), names in _GIVEN.items())
-    )
-    digest = F.substring(_digest(key, "family", rest), F.lit(1), n)
-    family = F.coalesce(
+def _title(e: Column) -> Column:
+    return F.regexp_extract(e, r"\A([\p{L}-]+\.?) ", 1)
+
+
+def _gender(title: Column) -> Column:
+    """f, m, or null where the title does not say."""
+    return F.when(title.rlike(rf"\A(?:{_TITLES_F})\.?\z"), "f").when(title.rlike(rf"\A(?:{_TITLES_M})\.?\z"), "m")
+
+
+def _spelled(digest: Column, script: Column) -> Column:
+    """A digest in syllables of a script."""
+    return F.coalesce(
         *(
             F.when(script == s, F.array_join(F.transform(F.split(digest, ""), lambda h: F.element_at(F.array(*map(F.lit, syllables)), F.conv(h, 16, 10).cast("int") + 1)), ""))
             for s, syllables in _SYLLABLES.items()
         )
     )
+
+
+def _name(key: str, e: Column, longer: int, genders: Column) -> Column:
+    """Title, given name (if there are two names) and family name, each name from its own key."""
+    title = _title(e)
+    rest = F.substring(e, F.length(title) + 2, F.length(e))
+    script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    first, last = F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
+    pick = _number(key, "given", first)
+    by_key = F.when(F.pmod(pick, F.lit(2)) == 0, "f").otherwise("m")
+    gender = F.coalesce(_gender(title), F.element_at(genders, first), by_key)
+    given = F.coalesce(
+        *(F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(pick / 2), F.lit(len(names))) + 1).cast("int"))) for (s, g), names in _GIVEN.items())
+    )
+    given = F.concat(given, _spelled(_digest(key, "first", first, 4 + longer), script))
+    family = _spelled(_digest(key, "family", last, 10 + longer), script)
     family = F.concat(F.upper(F.substring(family, 1, 1)), F.substring(family, F.lit(2), F.length(family)))
     return F.concat(title, F.lit(" "), F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
 
 
-def surrogates(key: str, found: Column, longer: int = 0) -> Column:
-    """The surrogates of an array of entities; ``longer`` lengthens those made from digests."""
-    n = F.lit(10 + longer)
-    typed = F.transform(found, lambda e: F.struct(e.alias("value"), _type(e).alias("type"), _digits_of(e).alias("digits")))
-    numbers = _permuted(key, typed)
+def _no_genders() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def surrogates(key: str, found: Column, longer: int = 0, genders: Column | None = None) -> Column:
+    """The surrogates of an array of entities; ``longer`` lengthens those made from digests.
+    ``genders``: f or m of given names, for titles that do not say."""
+    typed = F.transform(found, lambda e: F.struct(e.alias("value"), _type(e).alias("type")))
+    digits = lambda x: F.when(x["type"].isin("phone", "card", "ssn", "iban"), _digits_of(x["value"])).otherwise("")
+    numbers = _permuted(key, F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["type"].alias("type"), digits(x).alias("digits"))))
     return F.zip_with(
         typed, numbers,
-        lambda x, number: F.when(x["type"] == "email", _email(key, x["value"], n))
+        lambda x, number: F.when(x["type"] == "email", _email(key, x["value"], F.lit(10 + longer)))
         .when(x["type"] == "secret", _secret(key, x["value"], longer))
         .when(x["type"] == "iban", _account(key, x["value"], number))
         .when(x["type"] == "ip", _ip(key, x["value"]))
-        .when(x["type"] == "name", _name(key, x["value"], n))
+        .when(x["type"] == "ip6", _ip6(key, x["value"]))
+        .when(x["type"] == "name", _name(key, x["value"], longer, genders if genders is not None else _no_genders()))
         .otherwise(number),
     )
 
 
 def found_in(text: Column) -> Column:
     """All entities of a text, in order. Texts that hold nothing an entity needs are passed by."""
-    any_ = F.rlike(text, F.lit("[0-9@]")) | F.rlike(text, F.lit(r"(?:AKIA|ASIA|[spr]k[-_]|gh[pousr]_)[0-9A-Za-z_-]{16}|[a-f]{32}")) | F.rlike(text, F.lit(TYPES["name"]))
+    any_ = F.rlike(text, F.lit("[0-9@]")) | F.rlike(text, F.lit(r"(?:AKIA|ASIA|[spr]k[-_]|gh[pousr]_)[0-9A-Za-z_-]{16}|eyJ|[a-f]{32}")) | F.rlike(text, F.lit(TYPES["name"]))
     return F.when(any_, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _canonical(e: Column) -> Column:
     """One spelling for each entity: digits of numbers, lower-case addresses."""
     kind = _type(e)
-    return F.when(kind.isin("email"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), _digits_of(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
+    return F.when(kind.isin("email", "ip6"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), _digits_of(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -233,7 +308,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def meets(docs: DataFrame, key: str, longer: int = 0) -> DataFrame:
     """The collision check: surrogates that stand for more than one entity of the corpus."""
-    values = entities(docs).where("type IN ('email', 'secret', 'name')").select("type", "value").distinct()
+    values = entities(docs).where("type IN ('email', 'secret', 'name', 'iban')").select("type", "value").distinct()
     return (
         values.select("type", _canonical(F.col("value")).alias("entity"), F.get(surrogates(key, F.array("value"), longer), 0).alias("surrogate"))
         .groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1")
@@ -258,26 +333,52 @@ def _unnamed(text: Column, mentions: Column) -> Column:
     return F.when(F.size(mentions) > 0, replaced).otherwise(text)
 
 
+def genders(docs: DataFrame) -> DataFrame:
+    """``given`` and ``gender``, the one that a given name mostly has under titles that say one."""
+    named = docs.select(F.explode(found_in(F.coalesce("text", F.lit("")))).alias("e")).where(F.col("e").rlike(rf"\A(?:{_TITLES_M}|{_TITLES_F})\.? [^ ]+ "))
+    given = F.substring_index(F.regexp_replace("e", r"\A[\p{L}-]+\.? ", ""), " ", 1)
+    counts = named.select(given.alias("given"), F.when(_gender(_title(F.col("e"))) == "f", 1).otherwise(-1).alias("f")).groupBy("given").agg(F.sum("f").alias("f"))
+    return counts.where("f <> 0").select("given", F.when(F.col("f") > 0, "f").otherwise("m").alias("gender"))
+
+
+def _with_genders(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds ``genders__``: the genders that the corpus knows of given names under other titles."""
+    keyed = docs.withColumn("text__", F.md5(F.col("text").cast("binary")))
+    asked = F.transform(F.regexp_extract_all("text", F.lit(_UNGENDERED), F.lit(0)), lambda e: F.substring_index(F.regexp_replace(e, r"\A[\p{L}-]+\.? ", ""), " ", 1))
+    wanted = keyed.select("text__", F.explode(asked).alias("given")).distinct()
+    known = wanted.join(genders(corpus), "given").groupBy("text__").agg(F.map_from_entries(F.collect_list(F.struct("given", "gender"))).alias("genders__"))
+    return keyed.join(known, "text__", "left").drop("text__").withColumn("genders__", F.coalesce("genders__", _no_genders()))
+
+
+def _replaced(docs: DataFrame, key: str, longer: int) -> DataFrame:
+    with_found = docs.withColumn("found__", found_in(F.coalesce("text", F.lit(""))))
+    with_new = with_found.withColumn("new__", F.when(F.size("found__") > 0, surrogates(key, F.col("found__"), longer, F.col("genders__"))))
+    with_new = with_new.withColumn("names__", F.when(F.size("found__") > 0, _mentions(F.col("found__"), F.col("new__"))))
+    pieces = F.zip_with(F.split("text", PATTERN, -1), "new__", lambda a, b: F.concat(_unnamed(a, F.col("names__")), F.coalesce(b, F.lit(""))))
+    replaced = F.when(F.col("new__").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))
+    return with_new.withColumns({"text": replaced, "n_entities": F.size("found__").cast("long")}).drop("found__", "new__", "names__", "genders__")
+
+
 def replace_entities(docs: DataFrame, key: str, check: bool = True) -> DataFrame:
     """``docs`` with each entity in ``text`` replaced, and n_entities.
 
-    Null texts stay null, with no entities; text outside entities is untouched; other columns
-    are kept, an n_entities column is replaced. Names without a title are replaced, and not
-    counted, in texts that have them with one. With ``check`` the corpus is searched for
-    surrogates that meet, and digests are lengthened until none do; where some still meet at
-    the greatest length, the job fails.
+    Null texts stay null, with no entities; text outside entities is untouched; repeated rows are
+    replaced alike; other columns are kept, an n_entities column is replaced. Names without a
+    title are replaced, and not counted, in texts that have them with one. With ``check`` the
+    corpus is searched for surrogates that meet, and digests are lengthened until none do; where
+    some still meet at the greatest length, the job fails.
     """
     longer = 0
     while check and not (met := meets(docs, key, longer)).isEmpty():
         if longer == 40:
             raise ValueError(f"surrogates that stand for several entities: {[tuple(r) for r in met.limit(5).collect()]}")
         longer += 10
-    with_found = docs.drop("n_entities").withColumn("found__", found_in(F.coalesce("text", F.lit(""))))
-    with_new = with_found.withColumn("new__", F.when(F.size("found__") > 0, surrogates(key, F.col("found__"), longer)))
-    with_new = with_new.withColumn("names__", F.when(F.size("found__") > 0, _mentions(F.col("found__"), F.col("new__"))))
-    pieces = F.zip_with(F.split("text", PATTERN, -1), "new__", lambda a, b: F.concat(_unnamed(a, F.col("names__")), F.coalesce(b, F.lit(""))))
-    replaced = F.when(F.col("new__").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))
-    return with_new.withColumns({"text": replaced, "n_entities": F.size("found__").cast("long")}).drop("found__", "new__", "names__")
+    docs = docs.drop("n_entities")
+    unsaid = F.coalesce(F.col("text").rlike(_UNGENDERED), F.lit(False))
+    if docs.where(unsaid).isEmpty():
+        return _replaced(docs.withColumn("genders__", _no_genders()), key, longer)
+    said = docs.where(~unsaid).withColumn("genders__", _no_genders())
+    return _replaced(said, key, longer).unionByName(_replaced(_with_genders(docs.where(unsaid), docs), key, longer))
 
 
 #: The pipeline's and the query's key; a deployment passes its own.
