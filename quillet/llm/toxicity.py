@@ -2,9 +2,11 @@
 
 A lexicon trie is intersected with the Levenshtein automaton of each word: the product's states
 are sets of (trie node, edits so far), made when first met and kept, so a word costs one look-up
-a letter and most words die after two or three. What each spelling found, and whether it stands
-in a quoting context, says about the label is counted over all labelled learning rows. A
-document's score joins its spellings' evidence as independent causes (noisy-or).
+a letter and most words die after two or three. The lexicon is learned from the labels: words of
+which the toxic learning rows have many and the others hardly any. What a term says about the
+label, by how it was written (exactly, in lookalike characters, within some edits) and whether it
+stands in a quoting context, is counted over all labelled learning rows. A document's score joins
+the evidence of what it holds as independent causes (noisy-or).
 """
 
 from __future__ import annotations
@@ -29,26 +31,22 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“
 
 #: Learning rows from which the lexicon is induced, at most (the first by a hash of doc_id).
 LEXICON_ROWS = 20_000
-LEXICON_TERMS = 200
-#: A term stands in this share of the toxic learning rows, and this share of its rows is toxic.
-_MIN_SHARE, _MIN_PRECISION = 0.08, 0.9
-#: A stem begins two words or more in this share of the toxic learning rows.
-_STEM_LETTERS, _STEM_SHARE, _STEM_PRECISION = (4, 5, 6, 7), 0.015, 0.85
-#: What a spelling never met before says: exact, lookalike, one or two edits; then in a quotation.
-_PRIOR = {("exact", False): 0.95, ("lookalike", False): 0.9, ("edit", False): 0.72, ("exact", True): 0.4, ("lookalike", True): 0.3, ("edit", True): 0.2, ("stem", False): 0.3}
+#: A term stands in this share of the toxic texts learned from, in three at least, and this share
+#: of its texts is toxic. So there are 67 times as many terms at most as a toxic text has words.
+_MIN_SHARE, _MIN_TEXTS, _MIN_PRECISION = 0.015, 3, 0.9
+#: What a term says where it was never met that way before; _WEIGHT rows' worth.
+_PRIOR = {("exact", False): 0.75, ("lookalike", False): 0.75, ("edit", False): 0.5, ("exact", True): 0.3, ("lookalike", True): 0.3, ("edit", True): 0.2}
+_WEIGHT = 1.5
 THRESHOLD = 0.7
 
-_HITS = "doc_id long, hits array<struct<spelling: string, term: string, kind: string, quoted: boolean>>"
+_HITS = "doc_id long, hits array<struct<term: string, kind: string, quoted: boolean>>"
 
 
 class Automaton:
-    """All words within the allowed edits of a lexicon term, or beginning with a stem (a term
-    that ends in ``*``). Terms under 5 letters allow none,
+    """All words within the allowed edits of a lexicon term. Terms under 5 letters allow none,
     those of 9 or more two, others one; the first letter must be right."""
 
-    def __init__(self, lexicon: list[str]) -> None:
-        terms = [t for t in lexicon if not t.endswith("*")]
-        self.stems = frozenset(t[:-1] for t in lexicon if t.endswith("*"))
+    def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
         self.allowed: list[int] = [0]
@@ -120,9 +118,6 @@ class Automaton:
         """(term, kind) of a lower-cased token without marks at its edges."""
         if token in self.terms:
             return token, "exact"
-        for n in _STEM_LETTERS:
-            if token[:n] in self.stems:
-                return token[:n] + "*", "stem"
         if not token.isalpha():
             plain = token.translate(LOOKALIKES)
             plain = "".join(c for c in plain if c.isalpha())
@@ -150,8 +145,8 @@ def _quoted(tokens: list[str], at: int, reach: int = 8) -> bool:
 
 
 def hits(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and the distinct spellings found in each row's whole text. Null and empty texts
-    have none; every row counts; other columns are ignored."""
+    """doc_id and what is found in each row's whole text: each term, how it is written and whether
+    it is quoted. Null and empty texts have none; every row counts; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms)
@@ -163,24 +158,18 @@ def hits(docs: DataFrame, terms: list[str]) -> DataFrame:
                 tokens = [t.lower().split() for t in texts]
                 if len(known) > 500_000:
                     known.clear()
+                    found.clear()
                 for token in set().union(*tokens).difference(known):
                     known[token] = hit = automaton.find(token.strip(_EDGE))
                     if hit:
                         found[token] = hit
                 rows = []
                 for own in tokens:
-                    row, stems = set(), {}
+                    row = set()
                     if not found.keys().isdisjoint(own):
-                        for i, token in enumerate(own):
-                            if token in found:
-                                term, kind = found[token]
-                                if kind == "stem":
-                                    stems.setdefault(term, set()).add(token)
-                                    continue
-                                row.add((token.strip(_EDGE), term, kind, _quoted(own, i)))
-                    row.update((f"{term}{min(3, len(own_words))}", term, "stem", False) for term, own_words in stems.items())
-                    rows.append([dict(zip(("spelling", "term", "kind", "quoted"), r)) for r in sorted(row)])
-                kind = pa.list_(pa.struct([("spelling", pa.string()), ("term", pa.string()), ("kind", pa.string()), ("quoted", pa.bool_())]))
+                        row = {(*found[token], _quoted(own, i)) for i, token in enumerate(own) if token in found}
+                    rows.append([dict(zip(("term", "kind", "quoted"), r)) for r in sorted(row)])
+                kind = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.string()), ("quoted", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(texts)), pa.array(rows, kind)], names=["doc_id", "hits"])
                 at += len(texts)
 
@@ -193,26 +182,32 @@ def held_out():
 
 
 def lexicon(docs: DataFrame, learning: DataFrame) -> list[str]:
-    """Seed terms, and words that set apart the toxic of at most ``LEXICON_ROWS`` learning rows
-    (doc_id, toxic)."""
+    """Seed terms, and words that set apart the toxic texts of at most ``LEXICON_ROWS`` learning
+    rows (doc_id, toxic). Copies of a text count once."""
     sample = learning.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_ROWS)
     both = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # LEXICON_ROWS rows at most
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counts = both.select("toxic", F.explode(words).alias("word")).where("length(word) >= 4")
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    n_toxic = sample.agg(F.sum("toxic")).first()[0] or 0
-    terms = counts.where((F.col("toxic") >= max(5, _MIN_SHARE * n_toxic)) & (F.col("toxic") >= _MIN_PRECISION * F.col("n")))
-    found = terms.orderBy(F.desc("toxic"), "word").limit(LEXICON_TERMS).collect()
-    begun = both.select("doc_id", "toxic", F.explode(words).alias("word")).where("length(word) >= 5")
-    begun = begun.select("doc_id", "toxic", F.explode(F.array(*(F.substring("word", 1, n) for n in _STEM_LETTERS))).alias("stem"), "word")
-    begun = begun.groupBy("doc_id", "toxic", "stem").agg(F.count("*").alias("n")).where("n > 1 AND length(stem) > 3")
-    begun = begun.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    begun = begun.where((F.col("toxic") >= max(3, _STEM_SHARE * n_toxic)) & (F.col("toxic") >= _STEM_PRECISION * F.col("n")))
-    stems: list[str] = []
-    for row in sorted(begun.orderBy(F.desc("toxic"), "stem").limit(LEXICON_TERMS).collect(), key=lambda r: (len(r["stem"]), r["stem"])):
-        if not row["stem"].startswith(tuple(stems)):
-            stems.append(row["stem"])
-    return sorted({*SEEDS, *(r["word"] for r in found), *(f"{stem}*" for stem in stems)})
+    texts = both.where("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    words = texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) >= 4")
+    counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    enough = texts.agg(F.greatest(F.lit(_MIN_TEXTS), _MIN_SHARE * F.coalesce(F.sum("toxic"), F.lit(0))).alias("enough"))  # one row
+    found = counts.join(F.broadcast(enough)).where((F.col("toxic") >= F.col("enough")) & (F.col("toxic") >= _MIN_PRECISION * F.col("n")))
+    return sorted({*SEEDS, *(r["word"] for r in found.select("word").collect())})
+
+
+def evidence(found: DataFrame, learning: DataFrame) -> tuple[dict[tuple, float], float]:
+    """How likely each hit makes the label beyond its base rate, and the score of texts without
+    any. There are six rows a term at most, whatever the spellings."""
+    known = found.join(learning, "doc_id")
+    totals = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.count_if(F.size("hits") == 0).alias("bare"), F.sum(F.when(F.size("hits") == 0, F.col("toxic"))).alias("bare_toxic")).first()
+    base = ((totals["toxic"] or 0) + 0.1) / (totals["n"] + 1)
+    bare = min(0.5, ((totals["bare_toxic"] or 0) + 0.01) / (totals["bare"] + 1))
+    each = known.select("toxic", F.explode("hits").alias("hit")).groupBy("hit").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    beyond = lambda share: min(0.995, max(0.0, (share - base) / (1 - base)))
+    weights = {(None, *k): beyond(p) for k, p in _PRIOR.items()}
+    for row in each.collect():
+        prior = _PRIOR[row["hit"]["kind"], row["hit"]["quoted"]]
+        weights[tuple(row["hit"])] = beyond((row["toxic"] + _WEIGHT * prior) / (row["n"] + _WEIGHT))
+    return weights, bare
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,22 +215,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` has doc_id and toxic (0 or 1; rows with nulls are ignored, of several rows of one
     id the largest counts). Labels are learned only from rows that are not held out; rows
-    without a doc_id are scored but not learned from. Empty texts get the score of texts
-    without findings.
+    without a doc_id are scored but not learned from; without any label the seed terms and priors
+    decide. Null and empty texts get the score of texts without findings; repeated rows score
+    alike; other columns are ignored; an empty table gives no rows.
     """
     learning = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     learning = learning.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     found = written(hits(docs, lexicon(docs, learning)))
-    known = found.join(learning, "doc_id")
-    totals = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.count_if(F.size("hits") == 0).alias("bare"), F.sum(F.when(F.size("hits") == 0, F.col("toxic"))).alias("bare_toxic")).first()
-    each = known.select("toxic", F.explode("hits").alias("hit")).groupBy("hit").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    base = ((totals["toxic"] or 0) + 0.1) / (totals["n"] + 1)
-    bare = min(0.5, ((totals["bare_toxic"] or 0) + 0.01) / (totals["bare"] + 1))
-    weights: dict[tuple, float] = {}
-    for row in each.collect():  # spellings the automaton accepts: bounded by the lexicon
-        prior = _PRIOR[row["hit"]["kind"], row["hit"]["quoted"]]
-        share = (row["toxic"] + prior) / (row["n"] + 1)
-        weights[tuple(row["hit"])] = min(0.995, max(0.0, (share - base) / (1 - base)))
+    weights, bare = evidence(found, learning)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +230,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for own in batch.column("hits").to_pylist():
                 clear = 1 - bare
                 for h in own:
-                    clear *= 1 - weights.get((h["spelling"], h["term"], h["kind"], h["quoted"]), _PRIOR[h["kind"], h["quoted"]])
+                    how = (h["kind"], h["quoted"])
+                    clear *= 1 - weights.get((h["term"], *how), weights[None, *how])
                 scores.append(1 - clear)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
