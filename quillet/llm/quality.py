@@ -1,160 +1,168 @@
 """Operator 6, quality rules by divergence from language references. Built-in functions only.
 
-Each text has a histogram of character classes and one of common words. The references are the
-same histograms summed over all texts of each language. A text is kept if, for some language,
+Each text has a histogram of character classes and one of common words. Every language of which
+the corpus holds enough is a reference: its 16 most frequent words, their shares, and the shares
+of the character classes, all counted over all its texts. A text is kept if, for some language,
 the Jensen-Shannon distances of both histograms stay under their limits; a histogram of too
-little text is not judged.
+little text is not judged, nor is a text in a language without a reference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.llm.common import table, written
 
-#: Frequent words of each language.
-COMMON = {
-    "en": "the of and to in is it that for was on are as with by be".split(),
-    "fr": "de la le et les des en un une du que est pour qui dans par".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
-    "es": "de la que el en y a los se del las un por con una para".split(),
-}
+#: Words of a language that make its reference.
+COMMON = 16
+#: A language with fewer words, or a smaller share of all words, is no reference. So there are
+#: 1000 references at most, whatever stands in ``lang``.
+MIN_LANG_WORDS, MIN_LANG_SHARE = 1000, 0.001
 #: Histograms of fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Greatest distances (from 0 to 1) of a text that is kept.
-MAX_CHARS, MAX_WORDS = 0.18, 0.31
+MAX_CHARS, MAX_WORDS = 0.18, 0.26
 
-_CASED = sorted({v for words in COMMON.values() for w in words for v in (w, w.capitalize())})
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Counts of each row of ``docs``, all its columns kept: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, ``chars`` and ``common`` (arrays of counts). Null: no text."""
-    text = F.coalesce("text", F.lit(""))
-    blank = text
+def _words(text: Column) -> Column:
     for space in "\t\n\x0b\x0c\r":  # a single blank is what Java splits at fastest
-        blank = F.replace(blank, F.lit(space), F.lit(" "))
-    split = docs.withColumn("words__", F.array_remove(F.split(blank, " "), ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("words__")
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns), ``text`` and ``lang``: whatever the columns are called, none clashes."""
+    lang = F.lower("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """lang, word and share of the most frequent words of each reference language, as written."""
+    each = _packed(docs).where("lang IS NOT NULL").select("lang", F.explode(_words(F.col("text"))).alias("word"))
+    counts = written(each.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    whole = sizes.agg(F.sum("total").alias("whole"))  # one row
+    sizes = sizes.join(F.broadcast(whole)).where((F.col("total") >= MIN_LANG_WORDS) & (F.col("total") >= MIN_LANG_SHARE * F.col("whole")))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= COMMON)
+    return top.join(F.broadcast(sizes), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share"))  # 1000 languages at most
+
+
+def features(docs: DataFrame, common: list[str]) -> DataFrame:
+    """row, lang and the counts of each row of ``docs``: n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, ``chars`` (an array of counts) and ``found`` (words of ``common``, with how
+    often they stand in the text)."""
+    split = _packed(docs).withColumn("words", _words(F.col("text")))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    n = F.size("words")
 
     def gram(i: Column) -> Column:
-        return F.xxhash64(*(F.get("words__", i + k) for k in range(5)))
+        return F.xxhash64(*(F.get("words", i + k) for k in range(5)))
 
     counted = split.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("words__", "")).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "lines__": lines,
-            "grams__": F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), gram)),
-            "found__": F.transform(F.filter("words__", lambda w: w.isin(_CASED)), lambda w: F.lower(w)),
-            "upper__": F.regexp_count(text, F.lit(r"\p{Lu}")),
-            "stops__": F.regexp_count(text, F.lit(r"""[.,;:?!'"()-]""")),
-            "marks__": F.regexp_count(text, F.lit(r"""[^\p{L}\s.,;:?!'"()-]""")),
-            "size__": F.length(text),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long"),
+            "lines": lines,
+            "grams": F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), gram)),
+            "seen": F.sort_array(F.filter("words", lambda w: w.isin(common))) if common else F.array().cast("array<string>"),
+            "upper": F.regexp_count("text", F.lit(r"\p{Lu}")),
+            "stops": F.regexp_count("text", F.lit(r"""[.,;:?!'"()-]""")),
+            "marks": F.regexp_count("text", F.lit(r"""[^\p{L}\s.,;:?!'"()-]""")),
+            "size": F.length("text"),
         }
     )
     # windows found twice: the sorted (hash, place) with an equal neighbour; then the union of their words
-    placed = F.sort_array(F.transform("grams__", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.filter(
-        "placed__",
-        lambda x, k: (F.get("placed__", k - 1)["h"] == x["h"]) & (k > 0) | F.coalesce(F.get("placed__", k + 1)["h"] == x["h"], F.lit(False)),
+        "placed",
+        lambda x, k: (F.get("placed", k - 1)["h"] == x["h"]) & (k > 0) | F.coalesce(F.get("placed", k + 1)["h"] == x["h"], F.lit(False)),
     )
-    starts = F.sort_array(F.transform("twice__", lambda x: x["i"]))
+    starts = F.sort_array(F.transform("twice", lambda x: x["i"]))
     covered = F.aggregate(
-        F.transform("starts__", lambda s, k: F.coalesce(F.least(F.lit(5), F.get("starts__", k + 1) - s), F.lit(5))),
+        F.transform("starts", lambda s, k: F.coalesce(F.least(F.lit(5), F.get("starts", k + 1) - s), F.lit(5))),
         F.lit(0), lambda a, b: a + b,
     )
-    distinct = F.size(F.array_distinct("grams__")) == F.size("grams__")
-    counted = counted.withColumn("placed__", F.when(~distinct, placed)).withColumn("twice__", twice).withColumn("starts__", starts)
-    common = {w: F.size("found__") - F.size(F.array_remove("found__", w)) for w in dict.fromkeys(w for c in COMMON.values() for w in c)}
-    counted = counted.withColumns(
-        {
-            "n_dup_lines": (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "chars": F.array(
-                F.col("size__") - F.col("upper__") - F.col("stops__") - F.col("marks__") - (F.col("size__") - F.col("word_chars")),
-                F.col("upper__"), F.col("stops__"), F.col("marks__"), F.col("size__") - F.col("word_chars"),
-            ).cast("array<long>"),
-            "common": F.struct(*(F.array(*(common[w] for w in words)).cast("array<long>").alias(lang) for lang, words in COMMON.items())),
-        }
+    distinct = F.size(F.array_distinct("grams")) == F.size("grams")
+    counted = counted.withColumn("placed", F.when(~distinct, placed)).withColumn("twice", twice).withColumn("starts", starts)
+    # the sorted common words: a run of equal ones is a word with its count
+    runs = F.filter(F.transform("seen", lambda w, i: F.when((i == 0) | (F.get("seen", i - 1) != w), i)), lambda i: i.isNotNull())
+    counted = counted.withColumn("runs", runs)
+    found = F.transform("runs", lambda i, k: F.struct(F.get("seen", i).alias("word"), (F.coalesce(F.get("runs", k + 1), F.size("seen")) - i).alias("n")))
+    letters = F.col("size") - F.col("upper") - F.col("stops") - F.col("marks") - (F.col("size") - F.col("word_chars"))
+    return counted.select(
+        "row", "lang", "n_words", "word_chars", "n_symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.array(letters, "upper", "stops", "marks", F.col("size") - F.col("word_chars")).cast("array<long>").alias("chars"),
+        found.alias("found"),
     )
-    return counted.drop(*(c for c in counted.columns if c.endswith("__") and c not in docs.columns))
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
-def _shares(counts: Column, whole: Column) -> Column:
-    return F.transform(counts, lambda x: x / whole)
+def _part(a: Column, b: Column) -> Column:
+    return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2: from 0 to 1; null if either is."""
+def _distance(sum_: Column) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), sum_ / 2))
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
-    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), _total(terms) / 2))
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares, base 2: from 0 to 1; null if either is."""
+    return _distance(_total(F.zip_with(p, q, lambda a, b: _part(a, b) + _part(b, a))))
 
 
-def _word_shares(counts: Column, n_words: Column) -> Column:
-    """Shares of the common words, and of all others."""
-    shares = _shares(counts, n_words)
-    return F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - _total(shares))))
+def word_distance(found: Column, n_words: Column, shares: Column) -> Column:
+    """The same for the words of ``found`` and a map of shares, all other words being one class.
+    A word of the map that is not found adds its share, so only those found are looked at."""
+    own = F.filter(F.transform(found, lambda x: F.struct((x["n"] / n_words).alias("p"), F.element_at(shares, x["word"]).alias("q"))), lambda x: x["q"].isNotNull())
+    terms = F.transform(own, lambda x: _part(x["p"], x["q"]) + _part(x["q"], x["p"]) - x["q"])
+    whole = _total(F.map_values(shares))
+    p, q = 1 - _total(F.transform(own, lambda x: x["p"])), 1 - whole
+    return _distance(_total(terms) + whole + _part(p, q) + _part(q, p))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Adds to ``docs`` the counts of :func:`features`, base_failed and kept.
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Adds to ``docs`` n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
-    kept: not base_failed, and near to a language reference. References are summed over all
-    rows whose lang is one of ``COMMON``; with no such row nothing is judged, and only
-    base_failed decides. Null and empty texts fail. Columns with names of the counts are
-    replaced.
+    kept: not base_failed, and near to a language reference; where no language has enough text,
+    or the row's own lang has not, only base_failed decides, and rows without a lang (or a table
+    without that column) are compared with all references. Null and empty texts fail. Repeated
+    rows count as often as they stand. Columns with names of the added ones are replaced; an
+    empty table gives no rows. ``keep``: the columns of ``docs`` that are returned, by default all.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common", "base_failed", "kept"]
-    rows = features(docs.drop(*added))
-    return _judged(rows)
-
-
-def _judged(rows: DataFrame) -> DataFrame:
-    lang = F.lower("lang")
-    own = F.coalesce(*(F.when(lang == k, F.col("common")[k]) for k in COMMON))
-    sums = rows.where(lang.isin(*COMMON)).select(lang.alias("k"), "chars", "n_words", own.alias("own")).groupBy("k").agg(
-        F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"),
-        F.array(*(F.sum(F.col("own")[i]) for i in range(16))).alias("own"),
-        F.sum("n_words").alias("n_words"),
-    )
-    sums = sums.where("n_words > 0")
-    reference = sums.groupBy().agg(  # one row with an entry for each of the few languages
-        F.map_from_entries(
-            F.collect_list(F.struct("k", F.struct(_shares(F.col("chars"), _total(F.col("chars"))).alias("chars"), _word_shares(F.col("own"), F.col("n_words")).alias("words"))))
-        ).alias("reference__")
-    )
-    joined = rows.crossJoin(F.broadcast(reference))  # by one row
-    p = _shares(F.col("chars"), _total(F.col("chars")))
-    near = [
-        F.struct(
-            F.when(F.col("word_chars") >= MIN_CHARS, distance(p, F.col("reference__")[k]["chars"])).alias("chars"),
-            F.when(F.col("n_words") >= MIN_WORDS, distance(_word_shares(F.col("common")[k], F.col("n_words")), F.col("reference__")[k]["words"])).alias("words"),
-            F.lit(k).alias("k"),
-        )
-        for k in COMMON
-    ]
-    far = joined.withColumn("near__", F.filter(F.array(*near), lambda x: F.map_contains_key("reference__", x["k"])))
-    fits = (F.size("near__") == 0) | F.exists(
-        "near__", lambda x: (F.coalesce(x["chars"], F.lit(0.0)) <= MAX_CHARS) & (F.coalesce(x["words"], F.lit(0.0)) <= MAX_WORDS)
-    )
+    docs = docs.drop(*ADDED, "base_failed", "kept")
+    words = written(common_words(docs))
+    common = sorted({r["word"] for r in words.select("word").distinct().collect()})  # COMMON * 1000 words at most
+    rows = features(docs, common)
+    rows = written(rows if keep is None else rows.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in keep))))
+    sums = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"))
+    shares = words.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("words"))
+    each = shares.join(sums, "lang").select("lang", F.transform("chars", lambda x: x / _total(F.col("chars"))).alias("chars"), "words")
+    references = each.agg(F.collect_list(F.struct("lang", "chars", "words")).alias("references"))  # one row, 1000 entries at most
+    p = F.transform("chars", lambda x: x / _total(F.col("chars")))
+    judged_chars, judged_words = F.col("word_chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
+
+    def near(r: Column) -> Column:
+        return (~judged_chars | (distance(F.col("p"), r["chars"]) <= MAX_CHARS)) & (~judged_words | (word_distance(F.col("found"), F.col("n_words"), r["words"]) <= MAX_WORDS))
+
+    known = F.coalesce(F.exists("references", lambda r: r["lang"] == F.col("lang")), F.lit(True))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return far.withColumns({"base_failed": failed, "kept": ~failed & fits}).drop("near__", "reference__")
+    out = rows.withColumn("p", p).crossJoin(F.broadcast(references))  # by one row
+    fits = (F.size("references") == 0) | ~known | F.exists("references", near)
+    return out.select("row.*", *ADDED, failed.alias("base_failed"), (~failed & fits).alias("kept"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """All documents against references of their own corpus."""
-    rows = written(features(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text"))
-    return _judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    return rows.select("doc_id", *ADDED, "base_failed", "kept")
