@@ -1,32 +1,44 @@
 """Operator 4, nearest neighbours by multi-index hashing.
 
-Vectors get binary codes: centred, rotated by a learned rotation (iterative quantisation), signs
-taken. A code is cut into substrings, and each block of the index has a table of its vectors for
-every substring. Two codes within Hamming distance r agree, in some substring, up to r divided by
-the number of substrings; so probing every table within that radius finds every code within r.
-What is found is reranked by inner products of the original vectors in double precision.
-
-Queries and index meet in blocks: every block of queries probes every block of the index, and
-the best of each pair of blocks are merged. Every vector is indexed.
+Vectors get binary codes several times as long as they have dimensions: centred, turned by
+learned rotations (iterative quantisation, each from another start), signs taken. A code is cut
+into substrings of about log2(n / 50) bits, and each substring is an index of its own: a table
+keyed by (substring, value), the values of all substrings being joined at once. A query probes
+every value within one bit of its own, so by the pigeonhole principle it meets every code within
+``2 * tables - 1`` bits, and most codes somewhat further away. Of what it meets, codes within a
+learned Hamming radius stay, and these are reranked by inner products of the original vectors in
+double precision.
+
+Number of tables and radius are learned on a bounded sample: so that of the neighbours there, as
+many ranks deep as match the whole table's, the wanted share is met. Every vector is indexed.
+
+Equal vectors are one class, which keeps its ``k + 1`` smallest ids: no more of them can be among
+anyone's ``k`` nearest. So copies, however many, make no bucket large. Codes travel through the
+index, vectors do not: candidates are gathered by blocks of vectors, and a query's vector goes
+once to each block in which it has any.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import table
+from quillet.llm.common import table, written
 
-#: The rotation is learned on at most so many vectors (the first by a hash of vec_id).
-FIT_ROWS = 10_000
-#: Vectors in a block of the index, and queries in a block, about.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 8_192
-#: Codes have 64 bits in 8 substrings. All codes within RADIUS are found, so each table is
-#: probed within RADIUS // 8 bits.
-SUBSTRINGS = 8
-RADIUS = 31
+#: Rotations, tables and radius are learned on at most so many vectors, and so many of them as
+#: queries (the first by a hash of vec_id).
+FIT_ROWS, FIT_QUERIES = 10_000, 500
+#: Rows of one value in a table, about; and the most tables.
+BUCKET, MAX_TABLES = 50, 128
+#: The share of the sample's neighbours that the tables, and then the radius, must meet.
+WANTED = 0.975
+#: Vectors in a block of the rerank, about.
+BLOCK = 16_384
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -39,100 +51,178 @@ def usable(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(vectors: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and rotation to 64 dimensions by iterative quantisation; fewer dimensions are
-    first spread by a fixed random projection."""
-    centre = vectors.mean(axis=0)
-    rng = np.random.default_rng(7)
-    x = vectors - centre
-    dim = x.shape[1]
-    if dim >= 64:
-        base = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :64]
-    else:
-        base = np.linalg.qr(rng.standard_normal((64, dim)))[0].T
-    y = x @ base
-    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(y @ turn >= 0, 1.0, -1.0).T @ y)
-        turn = (u @ vt).T
-    return centre, base @ turn
-
-
-def codes(vectors: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """A row of 8 bytes, the substrings, for each vector."""
-    return np.packbits((vectors - centre) @ rotation >= 0, axis=1)
-
-
-_BITS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-
-
-class Tables:
-    """The substrings' tables of one block."""
-
-    def __init__(self, code: np.ndarray) -> None:
-        self.code = code
-        self.order = [np.argsort(code[:, s], kind="stable") for s in range(SUBSTRINGS)]
-        self.starts = [np.searchsorted(code[o, s], np.arange(257)) for s, o in enumerate(self.order)]
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` bits of a query's code."""
-        near = radius // SUBSTRINGS
-        hit = np.zeros(len(self.code), dtype=bool)
-        for s in range(SUBSTRINGS):
-            starts, order = self.starts[s], self.order[s]
-            for value in np.flatnonzero(_BITS[np.arange(256) ^ query[s]] <= near):
-                hit[order[starts[value] : starts[value + 1]]] = True
-        at = np.flatnonzero(hit)
-        return at[_BITS[self.code[at] ^ query].sum(axis=1) <= radius]
-
+class Codes:
+    """Learned rotations, number and width of the substrings, and the radius."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int) -> None:
+        rng = np.random.default_rng(7)
+        self.width = int(min(24, max(3, np.log2(max(1, n / BUCKET)))))
+        self.centre = sample.mean(axis=0)
+        x = sample - self.centre
+        dim = x.shape[1]
+        base = np.linalg.eigh(x.T @ x)[1]
+        y, turns = x @ base, []
+        for _ in range(-(-MAX_TABLES * self.width // dim)):
+            turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            for _ in range(5):
+                u, _, vt = np.linalg.svd(np.where(y @ turn >= 0, 1.0, -1.0).T @ y)
+                turn = (u @ vt).T
+            turns.append(base @ turn)
+        self.rotation = np.concatenate(turns, axis=1)[:, : MAX_TABLES * self.width]
+        self.tables, self.radius = MAX_TABLES, MAX_TABLES * self.width
+        self._learn(sample, max(1, round(k * len(sample) / max(1, n))))
+
+    def bits(self, vectors: np.ndarray) -> np.ndarray:
+        """A row of tables * width bits for each vector."""
+        return (vectors - self.centre) @ self.rotation[:, : self.tables * self.width] >= 0
+
+    def substrings(self, bits: np.ndarray) -> np.ndarray:
+        """The substrings' values."""
+        parts = bits.reshape(len(bits), -1, self.width)
+        return parts @ (1 << np.arange(self.width, dtype=np.int64))
+
+    def _learn(self, sample: np.ndarray, depth: int) -> None:
+        score = sample[:FIT_QUERIES] @ sample.T
+        score[np.arange(len(score)), np.arange(len(score))] = -np.inf
+        depth = min(depth, len(sample) - 1)
+        if depth < 1:
+            return
+        near = np.argpartition(-score, depth - 1, axis=1)[:, :depth].ravel()
+        bits = self.bits(sample)
+        apart = bits[np.repeat(np.arange(len(score)), depth)] ^ bits[near]
+        met = np.cumsum((apart.reshape(len(near), -1, self.width).sum(axis=2) <= 1), axis=1) > 0
+        share = met.mean(axis=0)
+        self.tables = int(min(MAX_TABLES, 8 * -(-(1 + int(np.argmax(share >= WANTED)) if share[-1] >= WANTED else MAX_TABLES) // 8)))
+        self.radius = int(np.ceil(np.quantile(apart[:, : self.tables * self.width].sum(axis=1), WANTED)))
+
+
+def _coded(rows: DataFrame, codes: Codes) -> DataFrame:
+    """c (the class), subs (values of the substrings) and the code as longs c0, c1, ..."""
+    n_words = -(-codes.tables * codes.width // 64)
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = batch.column("v")
+            bits = codes.bits(vectors.values.to_numpy(zero_copy_only=False)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()].reshape(len(batch), -1))
+            subs = codes.substrings(bits).astype(np.int32)
+            whole = np.zeros((len(bits), 64 * n_words), dtype=np.uint8)
+            whole[:, : bits.shape[1]] = bits
+            words = np.packbits(whole, axis=1).view(np.int64)
+            ends = np.arange(0, subs.size + 1, subs.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), pa.ListArray.from_arrays(ends, subs.ravel()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(n_words))],
+                names=["c", "subs", *(f"c{i}" for i in range(n_words))],
+            )
+
+    return rows.select("c", "v").mapInArrow(run, "c long, subs array<int>, " + ", ".join(f"c{i} long" for i in range(n_words)))
+
+
+def _reranked(k: int):
+    """Per block: the best ``k`` ids of each query, of its candidates there (null: of all)."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})]
+        if len(left) and len(right):
+            left = left.sort_values("c")
+            x, c, ids = np.stack(left["v"].to_numpy()), left["c"].to_numpy(), left["ids"].to_numpy()
+            first = np.array([i[0] for i in ids])
+            queries, names = np.stack(right["v"].to_numpy()), right["q"].to_numpy()
+            places = [np.arange(len(c)) if w is None else np.searchsorted(c, w) for w in right["wanted"]]
+            sizes = np.cumsum([len(p) for p in places])
+            start = 0
+            while start < len(places):  # about 2**16 inner products at a time
+                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + 2**16)))
+                at = np.concatenate(places[start:stop])
+                who = np.repeat(np.arange(start, stop), [len(p) for p in places[start:stop]])
+                score = (x[at] * queries[who]).sum(axis=1)
+                order = np.lexsort((first[at], -score, who))
+                at, who, score = at[order], who[order], score[order]
+                turn = np.arange(len(who)) - np.searchsorted(who, who)
+                at, who, score = at[turn < k], who[turn < k], score[turn < k]
+                n = np.array([len(ids[i]) for i in at], dtype=np.int64)
+                found = np.concatenate([ids[i] for i in at]) if len(at) else np.empty(0, dtype=np.int64)
+                who, score = np.repeat(who, n), np.repeat(score, n)
+                order = np.lexsort((found, -score, who))
+                who, score, found = who[order], score[order], found[order]
+                turn = np.arange(len(who)) - np.searchsorted(who, who)
+                best = turn < k
+                out.append(pd.DataFrame({"q": names[who[best]], "vec_id": found[best], "score": score[best]}))
+                start = stop
+        return pd.concat(out)
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, radius: int = RADIUS) -> DataFrame:
+    return run
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place")
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The search among usable vectors of one dimension: query_id, vec_id, score, the ``k`` best."""
+    same = ["h1", "h2"]
+    keyed = lambda df: df.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    least = Window.partitionBy(*same).orderBy("vec_id")
+    few = keyed(rows).withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1)
+    classes = few.groupBy(*same).agg(F.min("vec_id").alias("c"), F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = written(classes.select("c", "v", "ids"))
+    members = written(keyed(asked).select("vec_id", "v", *same))
+    queries = written(members.groupBy(*same).agg(F.min("vec_id").alias("c"), F.first("v").alias("v")))
+    n = classes.count()
+    sample = classes.orderBy(F.xxhash64("c"), "c").limit(FIT_ROWS).select("v").collect()  # FIT_ROWS at most
+    codes = Codes(np.array([r["v"] for r in sample]), n, k)
+    n_blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("c"), F.lit(n_blocks))
+
+    index, probes = _coded(classes, codes), _coded(queries, codes)
+    words = [c for c in index.columns if c not in ("c", "subs")]
+    key = lambda t, value: (t * F.lit(1 << codes.width) + value).cast("long")
+    index = index.select("c", *words, F.posexplode("subs").alias("t", "value")).select(key(F.col("t"), F.col("value")).alias("key"), "c", *words)
+    near = F.concat(F.array("value"), F.transform(F.sequence(F.lit(0), F.lit(codes.width - 1)), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i))))
+    probes = probes.select(F.col("c").alias("q"), *(F.col(w).alias(f"q{w}") for w in words), F.posexplode("subs").alias("t", "value"))
+    probes = probes.select("q", *(f"q{w}" for w in words), "t", F.explode(near).alias("value")).select(key(F.col("t"), F.col("value")).alias("key"), "q", *(f"q{w}" for w in words))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"q{w}"))) for w in words))
+    met = index.join(probes, "key").where(apart <= codes.radius).select("q", "c", block.alias("block"))
+    wanted = met.groupBy("block", "q").agg(F.collect_set("c").alias("wanted"))
+
+    vectors = queries.select(F.col("c").alias("q"), "v")
+    blocks = classes.withColumn("block", block)
+    schema = "q long, vec_id long, score double"
+    rerank = lambda asked: _first(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_reranked(k + 1), schema), k + 1)
+    found = written(rerank(wanted.join(vectors, "q").select("block", "q", "wanted", "v")))
+    # queries that met too few look at every block
+    enough = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k).select("q")
+    short = written(vectors.join(enough, "q", "left_anti"))
+    if not short.isEmpty():
+        rest = short.select("q", "v", F.lit(None).cast("array<long>").alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        rest = rest.select(F.col("block").cast("long").alias("block"), "q", "wanted", "v")
+        found = found.join(enough, "q", "left_semi").unionByName(rerank(rest))
+    each = members.join(queries.select(*same, F.col("c").alias("q")), same).select(F.col("vec_id").alias("query_id"), "q")
+    return each.join(found, "q").where("vec_id <> query_id").select("query_id", "vec_id", "score")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` nearest of ``rows`` to each of ``queries`` by inner product, of those found.
 
-    Both have vec_id and embedding. Returns query_id, rank (from 1), vec_id and score; ties go to
-    the smaller vec_id; a vector is no neighbour of rows with its own id. Unusable vectors take
-    no part, nor do those of other dimensions than the fitted ones; of rows with the same id and
-    vector, one counts. An empty table gives no rows. A query for which fewer than ``k`` are in
-    reach in a block looks at the whole block.
+    Both have vec_id and embedding; other columns are ignored. Returns query_id, rank (from 1),
+    vec_id and score; ties go to the smaller vec_id; a vector is no neighbour of rows with its own
+    id. Rows without an id, and vectors that are null, zero or hold other than finite components,
+    take no part. Vectors of different dimensions have no inner product: each dimension is
+    searched apart. Of rows with the same id and vector one counts; an id with several vectors is
+    a query, and a neighbour, by each of them, and counts once with its best. An empty table gives
+    no rows. A query that meets fewer than ``k`` others looks at all vectors.
     """
     rows, asked = usable(rows).distinct(), usable(queries).distinct()
-    spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()  # FIT_ROWS at most
-    schema = "query_id long, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    dim = len(sample[0]["v"])
-    centre, rotation = fit(np.array([r["v"] for r in sample if len(r["v"]) == dim]))
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    n_index = max(1, -(-rows.count() // INDEX_BLOCK))
-    n_query = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def blocks(df: DataFrame, own: int, others: int, names: tuple[str, str]) -> DataFrame:
-        """Each row in its own block, once for every block of the other side."""
-        mine = F.pmod(F.xxhash64("vec_id"), F.lit(own)).alias(names[0])
-        return df.select("vec_id", "v", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(names[1]))
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, tables = left["vec_id"].to_numpy(), Tables(codes(x, centre, rotation))
-        out = []
-        for query_id, vector, code in zip(right["vec_id"].tolist(), q, codes(q, centre, rotation)):
-            at = tables.within(code, radius)
-            at = at[ids[at] != query_id]
-            if len(at) < k:
-                at = np.flatnonzero(ids != query_id)
-            score = (x[at] * vector).sum(axis=1)
-            best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(out)
-
-    index = blocks(rows, n_index, n_query, ("i", "j")).groupBy("i", "j")
-    wanted = blocks(asked, n_query, n_index, ("j", "i")).groupBy("i", "j")
-    found = index.cogroup(wanted).applyInPandas(probe, schema)
+    dims = sorted(r["d"] for r in asked.select(F.size("v").alias("d")).distinct().collect())  # the dimensions in use
+    of = lambda df, d: df.where(F.size("v") == d)
+    parts = [_search(of(rows, d), of(asked, d), k) for d in dims if not of(rows, d).isEmpty()]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
