@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The contract's white space: blank and the five control characters from tab to carriage return.
@@ -72,6 +72,38 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with this share of the rows, or more, is hot; so there are 4096 hot keys at most.
+_HOT_SHARE = 4096
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of ``rows``, nulls left out: 4096 at most, so they may be broadcast. Keys of under 1000
+    rows are not hot."""
+    rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count("*").alias("n__"))
+    return written(counts.where(is_hot(F.col("n__"), rows.count())).select(key))
+
+
+def is_hot(n: Column, total: int) -> Column:
+    """Whether a key with ``n`` of ``total`` rows is hot."""
+    return (n >= 1000) & (n * _HOT_SHARE >= total)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """A join with a ``right`` side whose keys are unique, inner or left. Rows of hot keys stay
+    where they are and meet a broadcast of 4096 rows at most, and null keys meet nothing, so no
+    key brings more than its small share of rows to one task. ``hot``: these keys, if known."""
+    hot = hot_keys(left, key) if hot is None else hot
+    few = F.broadcast(hot)
+    known = F.broadcast(right.join(few, key, "left_semi"))
+    filled = left.where(F.col(key).isNotNull())
+    out = filled.join(few, key, "left_semi").join(known, key, how).unionByName(filled.join(few, key, "left_anti").join(right, key, how))
+    if how == "inner":
+        return out
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    return out.unionByName(left.where(F.col(key).isNull()).select("*", *more))
+
+
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes, null as no bytes."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import gram_hashes, mixed, table, text_bytes, word_hashes, written
+from quillet.llm.common import gram_hashes, is_hot, join_hot, mixed, table, text_bytes, word_hashes, written
 
 LEVEL = 4
 #: Size of the sketch that says which shingles many documents share. It is a fixed number of
@@ -40,6 +40,8 @@ _HOT = 12
 _TURNS = 1
 #: A pair of the last round must meet in so many of the first columns it can first meet in.
 _MEETINGS = 1
+#: Rows of a column that form a block in the last round.
+_BLOCK_ROWS = 2048
 #: 64-bit words of a set's bit map, which bounds from above what two sets share.
 _WORDS = 16
 
@@ -173,8 +175,8 @@ def _may_reach(n_a, n_b, pos_a, pos_b, percent: int):
 
 
 def _cross(percent: int):
-    """Blocks of one column's rows against all: pairs in different components. Rows come
-    sorted by shingle."""
+    """Pairs in different components of one column, or pair of its blocks. Rows come sorted by
+    shingle and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -184,7 +186,7 @@ def _cross(percent: int):
             if not rows:
                 continue
             rows = np.concatenate(rows)
-            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            starts = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
             ends = np.append(starts[1:], len(rows))
             if batch is not None:  # the last column may go on in the next batch
                 rest = [rows[starts[-1] :]]
@@ -207,21 +209,24 @@ def _suffix(n, percent: int):
 
 
 def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns: shingle, class, n, pos, component, in how many open columns the class is and
-    the place of this one among them, and the bit map.
+    """Columns: shingle, the two blocks met here and the row's own, class, n, pos, component, in how
+    many open columns the class is and the place of this one among them, and the bit map.
 
     What two sets share outside their prefixes lies in the suffix of the one whose prefix ends
     first, so ``need`` of the prefix shingles must be shared for the bound to be in reach. The
     first of these have places that leave room for the others: only there a pair is named.
     """
-    _, cls, n, pos, comp, open_, rank = column[:, :7].T
-    bits = np.ascontiguousarray(column[:, 7:]).view(np.uint64)
+    _, x_block, y_block, block, cls, n, pos, comp, open_, rank = column[:, :10].T
+    bits = np.ascontiguousarray(column[:, 10:]).view(np.uint64)
+    two = x_block[0] != y_block[0]  # pairs inside a block are met where it is met with itself
     if (comp == comp[0]).all():
         return
     suffix = _suffix(n, percent)
     for at in range(0, len(column), 512):
         i = slice(at, at + 512)
         ok = (comp[i, None] != comp[None, :]) & (np.arange(len(column))[None, :] > np.arange(at, at + len(cls[i]))[:, None])
+        if two:
+            ok &= block[i, None] != block[None, :]
         ok &= _may_reach(n[i, None], n[None, :], pos[i, None], pos[None, :], percent)
         x, y = np.nonzero(ok)
         x += at
@@ -242,17 +247,21 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for all nodes of edges ``a``, ``b``.
 
     Alternating large and small stars; each round is a sum by node and a join, and the edges
-    are written between rounds. Nothing but two totals comes to the driver.
+    are written between rounds. A node with a good share of all edges is looked up in a
+    broadcast. Nothing but two totals comes to the driver.
     """
     now = written(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct())
     total = None
     while True:
+        n = now.count()
         both = now.unionAll(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: the node, hi: its neighbour
-        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"))
-        large = both.join(least, "lo").where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        least = written(both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"), F.count("*").alias("n")))
+        hubs = least.where(is_hot(F.col("n"), 2 * n)).select("lo")
+        large = join_hot(both, least.drop("n"), "lo", hot=hubs).where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
         large = written(large)
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        hubs = least.where(is_hot(F.col("n"), n)).select("hi")
+        joined = join_hot(large, least.drop("n"), "hi", hot=hubs)
         small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionAll(joined.select(F.col("m").alias("lo"), "hi"))
         now = written(small.where("lo <> hi").distinct())
         last, total = total, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
@@ -304,7 +313,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     multi = multi.select("shingle", "class", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     needed = multi.groupBy("class").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= level)
     wanted = kept.select("doc_id", "owner", "class").join(needed.select("class"), "class", "left_semi")
-    texts_of = texts.withColumnRenamed("doc_id", "id").join(wanted, ["owner"]).where("id <=> doc_id")
+    wanted = wanted.select("class", F.col("owner").alias("own"), F.col("doc_id").alias("id"))
+    texts_of = texts.join(wanted, (F.col("owner") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")))
     grams = written(texts_of.select("class", "text").mapInArrow(_sets(words), "class long, grams binary").dropDuplicates(["class"]))
 
     edges = written(_verified(tried, grams, percent))
@@ -322,7 +332,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rest = rest.where(F.col("open") >= F.greatest(F.lit(1), level - 1))  # no pair needs fewer
     rest = rest.join(kept.select("class", "bits"), "class")
     rest = rest.select("shingle", "class", "n", "pos", "comp", "open", "rank", *(F.col("bits")[w].alias(f"bits{w}") for w in range(_WORDS)))
-    rest = rest.repartition("shingle").sortWithinPartitions("shingle")
+    rest = _in_blocks(rest)
     cross = rest.mapInArrow(_cross(percent), "a long, b long, need long")
     cross = cross.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
     found = components(edges.unionAll(_verified(cross, grams, percent)))
@@ -334,12 +344,25 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ends = rooted.groupBy("root").agg(F.min("least").alias("end"))
     by_class = rooted.join(ends, "root").select("class", F.col("end.doc_id").alias("component_id"), F.col("end.owner").alias("end"))
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("owner") == F.col("end"))
-    return rows.join(by_class, "class", "left").select(
+    return join_hot(rows, by_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"),
         "owner", F.when(F.col("class").isNotNull(), is_first).alias("first"),
     )
 
 
+def _in_blocks(rest: DataFrame) -> DataFrame:
+    """Rows of the columns, large columns dealt into blocks: a row goes to each pair (x, y) of
+    blocks that its own block is part of. So a column's pairs are spread over tasks, and a matrix
+    is never larger than two blocks."""
+    large = rest.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > _BLOCK_ROWS)
+    n = F.coalesce(F.ceil(F.col("m") / _BLOCK_ROWS), F.lit(1)).cast("long")
+    dealt = rest.join(large, "shingle", "left").withColumn("n_blocks", n).drop("m").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    dealt = dealt.select("shingle", "x", "y", "block", *(c for c in rest.columns if c != "shingle"))
+    return dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+
+
 def _open(multi: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of those columns that still hold different components, with ``comp``."""
     labels = found.select(F.col("node").alias("class"), "root")

@@ -1,16 +1,15 @@
 """Operator 8, removal of passages that also stand elsewhere.
 
-Relative Lempel-Ziv parsing against the whole corpus as reference. The reference is indexed by
-*anchors*: of every ``window`` consecutive words, the 8-word sequence with the least hash. Equal
-windows have equal anchors, so a window whose anchor stands nowhere else need not be looked up.
-Each document is then parsed greedily: a factor begins at the first word whose window the
-reference holds elsewhere and runs on as long as the next window is held too. As factors are
-unions of whole windows, those that cross from one factor to the next are checked like all
-others, and a factor is never shorter than a window.
-
-Both look-ups are sums by hash with partial sums in each task, so neither a passage that stands
+Windows are counted over the whole corpus, in place of a relative Lempel-Ziv parse (the README
+says why). A first count is of *anchors*: of every ``window`` consecutive words, the 8-word
+sequence with the least hash. Equal windows have equal anchors, so a window whose anchor stands
+nowhere else need not be looked up; a second count is of the windows that are left, by 128-bit
+hashes. Runs of windows that stand elsewhere too are the spans that go.
+
+Both counts are sums by hash with partial sums in each task, so neither a passage that stands
 in a third of all documents nor thousands of copies of one text gather in one place. What the
-documents get back are the hashes that stand *nowhere* else, each of which has one owner.
+documents get back are the hashes that stand *nowhere* else, each of which has one owner. Texts
+that hold a good share of all rows as copies need nothing back: all their windows stand elsewhere.
 """
 
 from __future__ import annotations
@@ -23,12 +22,13 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillet.llm.common import gram_hashes, table, text_bytes, word_hashes, written
+from quillet.llm.common import gram_hashes, hot_keys, mixed, table, text_bytes, word_hashes, written
 
 WINDOW = 35
 _GRAM = 8
-_FOUND = "hash long, n int, owner long"
+_FOUND = "hash long, check long, n int, owner long"
 
 
 def anchor_positions(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +56,17 @@ class _Counted:
         self.copies[owner] = n + 1
         return n < 2
 
-    def add(self, hashes: np.ndarray, owner: int) -> None:
-        values, n = np.unique(hashes, return_counts=True)
-        self.parts.append((values, n, np.full(len(values), owner, dtype=np.int64)))
+    def add(self, hashes: np.ndarray, owner: int, checks: np.ndarray | None = None) -> None:
+        values, at, n = np.unique(hashes, return_index=True, return_counts=True)
+        checks = np.zeros(len(values), dtype=np.uint64) if checks is None else checks[at]
+        self.parts.append((values, checks, n, np.full(len(values), owner, dtype=np.int64)))
         self.size += len(values)
 
     def batch(self) -> pa.RecordBatch:
-        values, n, owners = (np.concatenate(x) for x in zip(*self.parts))
+        values, checks, n, owners = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(owners)], names=["hash", "n", "owner"]
+            [pa.array(values.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(owners)], names=["hash", "check", "n", "owner"]
         )
 
 
@@ -106,7 +107,7 @@ def _windows(window: int):
                     words = word_hashes(data.as_py())
                     held = _held(words, _as_hashes(lone), window)
                     if held.any():
-                        found.add(gram_hashes(words, window)[held], owner)
+                        found.add(gram_hashes(words, window)[held], owner, gram_hashes(mixed(words), window)[held])
                 if found.size > 100_000:
                     yield found.batch()
         if found.parts:
@@ -117,7 +118,7 @@ def _windows(window: int):
 
 def _lone(found: DataFrame) -> DataFrame:
     """For each owner the hashes that stand once in the whole corpus."""
-    once = found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).where("n = 1")
+    once = found.groupBy("hash", "check").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).where("n = 1")
     return once.groupBy("owner").agg(F.collect_list("hash").alias("lone"))
 
 
@@ -134,17 +135,16 @@ def covered(words: np.ndarray, lone_anchors: np.ndarray, lone_windows: np.ndarra
     return np.cumsum(out[:-1]) > 0
 
 
-def index(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """What the parse needs of the reference, for each distinct text that has enough words:
-    ``owner`` (the text's hash), its anchors and its windows that stand nowhere else."""
+def index(docs: DataFrame, hot: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each distinct text that has enough words: ``owner`` (the text's hash), its anchors and
+    its windows that stand nowhere else. ``hot``: texts that stand in a good share of all rows."""
     texts = docs.select(F.xxhash64("text").alias("owner"), text_bytes().alias("text"))
-    anchors = written(_lone(texts.mapInArrow(_anchors(window), _FOUND)))
-    both = texts.join(anchors.withColumnRenamed("lone", "lone_anchors"), "owner", "left")
-    found = both.select("owner", "text", "lone_anchors").mapInArrow(_windows(window), _FOUND)
-    windows = written(_lone(found))
-    return anchors.withColumnRenamed("lone", "lone_anchors").join(
-        windows.withColumnRenamed("lone", "lone_windows"), "owner", "full"
-    )
+    anchors = written(_lone(texts.mapInArrow(_anchors(window), _FOUND))).withColumnRenamed("lone", "lone_anchors")
+    rest = texts.join(F.broadcast(hot), "owner", "left_anti").join(anchors, "owner", "left")
+    copies = texts.join(F.broadcast(hot), "owner", "left_semi").withColumn("lone_anchors", F.lit(None).cast("array<long>"))
+    found = [df.select("owner", "text", "lone_anchors").mapInArrow(_windows(window), _FOUND) for df in (rest, copies)]
+    windows = written(_lone(found[0].unionByName(found[1]))).withColumnRenamed("lone", "lone_windows")
+    return anchors.join(windows, "owner", "full")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -155,13 +155,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_words, n_removed and kept_text (kept words joined by one blank) to the columns of
     ``docs``. Null and empty texts have no words and an empty kept_text; texts shorter than
     the window keep all words; repeated rows are copies of each other. Columns that clash
-    with the three added ones are replaced.
+    with the three added ones are replaced; an empty table gives no rows.
     """
     plain = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = plain.withColumn("owner__", F.xxhash64("text"))
-    joined = keyed.join(index(plain, window).withColumnRenamed("owner", "owner__"), "owner__", "left").drop("owner__")
-    schema = plain.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
-    names = plain.columns
+    packed = plain.select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("owner"))
+    hot = hot_keys(packed.where("text IS NOT NULL"), "owner")
+    known = index(plain, hot, window)
+    none = F.lit(None).cast("array<long>")
+    copies = packed.join(F.broadcast(hot), "owner", "left_semi").select("row", "text", none.alias("lone_anchors"), none.alias("lone_windows"))
+    blank = packed.where("text IS NULL").select("row", "text", none.alias("lone_anchors"), none.alias("lone_windows"))
+    rest = packed.where("text IS NOT NULL").join(F.broadcast(hot), "owner", "left_anti").join(known, "owner", "left").select("row", "text", "lone_anchors", "lone_windows")
+    joined = rest.unionByName(copies.where("text IS NOT NULL")).unionByName(blank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +178,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
             n, removed, kept = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                names=[*names, "n_words", "n_removed", "kept_text"],
+                [batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                names=["row", "n_words", "n_removed", "kept_text"],
             )
 
-    return joined.select(*names, "lone_anchors", "lone_windows").mapInArrow(run, schema)
+    added = StructType().add("row", packed.schema["row"].dataType).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    return joined.mapInArrow(run, added).select("row.*", "n_words", "n_removed", "kept_text")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
