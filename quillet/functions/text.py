@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: ASCII punctuation, and the marks stripped from a token's ends.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGES = ".,!?;:()[]{}"
+#: Marks stripped for n-gram statistics.
+MORE_EDGES = EDGES + "\"'-"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,9 +30,9 @@ def normal(text: Column) -> Column:
     return F.translate(F.array_join(words(text), " "), PUNCTUATION, "")
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, edges: str = EDGES) -> Column:
     """Words without marks at their ends; those of marks only go."""
-    return F.array_remove(F.transform(words(text), lambda w: F.btrim(w, F.lit(EDGES))), "")
+    return F.array_remove(F.transform(words(text), lambda w: F.btrim(w, F.lit(edges))), "")
 
 
 def ngrams(of: Column, n: int) -> Column:
@@ -53,8 +55,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def flags(text: Column) -> dict[str, Column]:
-    """Code blocks, lists, links and numbers of two digits or more in a text."""
-    found = {"has_code": r"```", "has_list": r"(?m)^\s*([-*]|[0-9]+\.)\s", "has_url": r"https?://", "has_numbers": r"[0-9]{2,}"}
+    """Code, lists, links and numbers of three digits or with decimals in a text."""
+    found = {"has_code": r"```|`[^`]+`", "has_list": r"(?m)^\s*[-*•]\s+|^\s*[0-9]+\.\s+", "has_url": r"https?://[^\s<>\"{}|\\^`\[\]]+", "has_numbers": r"[0-9]{3,}|[0-9]+\.[0-9]+"}
     return {name: F.coalesce(text.rlike(p), F.lit(False)) for name, p in found.items()}
 
 

@@ -8,9 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def last_wins(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: of several that of greatest ``order``, or else the greatest row. Null keys
+    are keys of their own, told apart by the row."""
+    fields = F.struct(*(c for c in rows.columns if c != key))
+    own = F.when(F.col(key).isNull(), F.md5(F.to_json(F.struct("*")).cast("binary")))
+    packed = rows.select(F.col(key).alias("key"), own.alias("own"), fields.alias("row"), (F.col(order) if order else fields).alias("at"))
+    one = packed.groupBy("key", "own").agg(F.max(F.struct("at", "row")).alias("last"))
+    return one.select(F.col("key").alias(key), "own", F.col("last.row").alias("row"))
+
+
 def _both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    left, right = (df.select(key, F.struct(*(c for c in df.columns if c != key)).alias(n)) for df, n in ((a, "one"), (b, "two")))
-    return left.join(right, key, "full_outer")
+    left, right = (last_wins(df, key).select(F.col(key).alias(f"{n}_key"), F.coalesce("own", F.lit("")).alias(f"{n}_own"), F.col("row").alias(n)) for df, n in ((a, "one"), (b, "two")))
+    same = F.col("one_key").eqNullSafe(F.col("two_key")) & (F.col("one_own") == F.col("two_own"))
+    return left.join(right, same, "full_outer").select(F.coalesce("one_key", "two_key").alias(key), "one", "two")
 
 
 def _conflict() -> Column:
@@ -18,7 +29,8 @@ def _conflict() -> Column:
 
 
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key and change (added, removed, modified, unchanged) of each key. Keys are unique."""
+    """key and change (added, removed, modified, unchanged) of each key. Of repeated keys in one
+    version the last row counts; rows without a key are told apart by their content."""
     change = F.when(F.col("one").isNull(), "added").when(F.col("two").isNull(), "removed").when(_conflict(), "modified").otherwise("unchanged")
     return _both(before, after, key).select(key, change.alias("change"))
 
@@ -42,3 +54,46 @@ def apply_patch(rows: DataFrame, key: str, removed: DataFrame, modified: DataFra
     kept = left.join(modified.select(key), key, "left_anti")
     changed = modified.join(left.select(key), key, "left_semi")
     return reduce(DataFrame.unionByName, (kept, changed, added))
+
+
+def diff_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row of counts: rows before and after, keys added, removed, modified and unchanged, net change."""
+    kinds = diff(before, after, key).agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "modified", "unchanged")))
+    sizes = [df.agg(F.count("*").alias(n)) for df, n in ((before, "total_before"), (after, "total_after"))]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), sizes, kinds).withColumn("net_change", F.col("total_after") - F.col("total_before"))  # one row each
+
+
+def _by_content(one: DataFrame, two: DataFrame, text: str) -> DataFrame:
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    sides = [df.groupBy(digest.alias("digest")).agg(F.max(F.struct(*df.columns)).alias(n)) for df, n in ((one, "one"), (two, "two"))]
+    return sides[0].join(sides[1], "digest", "full_outer")
+
+
+def merge_by_content(one: DataFrame, two: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of both versions, one for each text: the first version's, and of several the greatest row."""
+    return _by_content(one, two, text).select(F.coalesce("one", "two").alias("row")).select("row.*")
+
+
+def content_counts(one: DataFrame, two: DataFrame, text: str = "text") -> DataFrame:
+    """One row: distinct texts in all, of one version only, and of both."""
+    a, b = F.col("one").isNotNull(), F.col("two").isNotNull()
+    return _by_content(one, two, text).agg(F.count("*").alias("total"), F.count_if(a & ~b).alias("only_one"), F.count_if(b & ~a).alias("only_two"), F.count_if(a & b).alias("common"))
+
+
+def conflicts(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows differ, with both rows as structs."""
+    return _both(one, two, key).where(_conflict())
+
+
+def resolve(one: DataFrame, two: DataFrame, key: str, how: str = "keep_both") -> DataFrame:
+    """The union of two versions with conflicts resolved: keep_both and keep_first leave the first
+    version's row, keep_second takes the second's."""
+    if how not in ("keep_both", "keep_first", "keep_second"):
+        raise ValueError(f"unknown resolution {how!r}")
+    row = F.when(_conflict() & F.lit(how == "keep_second"), F.col("two")).otherwise(F.coalesce("one", "two"))
+    return _both(one, two, key).select(key, row.alias("row__")).select(key, "row__.*")
+
+
+def concatenated(versions: list[DataFrame]) -> DataFrame:
+    """All rows of several tables, each with its table's ordinal; missing columns are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("source_no", F.lit(i)) for i, df in enumerate(versions)))

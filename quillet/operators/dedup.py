@@ -21,10 +21,16 @@ def totals(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """The row of least ``order`` for each key. A group of copies is reduced in each task before
-    it is shuffled, so no key gathers its rows in one place."""
-    firsts = rows.groupBy(F.md5(F.coalesce(key, F.lit("")).cast("binary")).alias("k__")).agg(F.min(order).alias(order)).select(order)
-    return rows.join(firsts, order, "left_semi")
+    """One row of each key, that of least ``order`` (nulls first; of equal ones any). A group of
+    copies is reduced in each task before it is shuffled, so no key gathers its rows in one place."""
+    packed = rows.select(F.md5(F.coalesce(key, F.lit("")).cast("binary")).alias("k"), F.struct("*").alias("row"), F.struct(F.col(order).isNotNull(), F.col(order)).alias("at"))
+    return packed.groupBy("k").agg(F.min_by("row", "at").alias("row")).select("row.*")
+
+
+def remove(rows: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
+    """The rows that :func:`keep_first` leaves out are the duplicates: one row, how many of each."""
+    kept = keep_first(rows, key, order).agg(F.count("*").alias("kept"))
+    return rows.agg(F.count("*").alias("total")).join(F.broadcast(kept)).select("total", "kept", (F.col("total") - F.col("kept")).alias("removed"))  # one row each
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Roles of a question and of its answer.
+_ASKING, _ANSWERING = ("user", "human"), ("assistant", "bot", "ai")
+
+
 def qa_pairs(turns: DataFrame) -> DataFrame:
-    """Each conversation's first user turn and the first assistant turn after it; both not empty."""
-    user = turns.where("role IN ('user', 'human')").groupBy("conv_id").agg(F.min("turn").alias("at"), F.min_by("text", "turn").alias("question"))
-    later = turns.where("role IN ('assistant', 'bot', 'gpt')").join(user, "conv_id").where("turn > at")
-    pairs = later.groupBy("conv_id").agg(F.first("question").alias("question"), F.min_by("text", "turn").alias("answer"))
-    return pairs.where("question <> '' AND answer <> ''")
+    """Each conversation's first user turn with a text, and the first assistant turn with one after it."""
+    said = turns.where("text <> ''")
+    user = said.where(F.col("role").isin(*_ASKING)).groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
+    later = said.where(F.col("role").isin(*_ANSWERING)).join(user, "conv_id").where("turn > q.turn")
+    return later.groupBy("conv_id").agg(F.first("q.text").alias("question"), F.min_by("text", "turn").alias("answer"))
 
 
 def messages(turns: DataFrame) -> DataFrame:

@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.sources import shared
 
-def ordinals(rows: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
-    """``idx`` from 0 in order of a unique integer key, null keys left out.
 
-    Rows are numbered within blocks of ``width`` key values, and a running sum of the blocks'
-    counts gives each its start; only that sum, of a row a block, runs in one task."""
-    block = F.floor(F.col(key) / width)
-    dealt = rows.where(F.col(key).isNotNull()).withColumn("block__", block)
-    counts = dealt.groupBy("block__").agg(F.count("*").alias("n__"))
-    before = F.sum("n__").over(Window.orderBy("block__").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("block__", F.coalesce(before, F.lit(0)).alias("start__"))
-    place = F.row_number().over(Window.partitionBy("block__").orderBy(key)) - 1
-    return dealt.withColumn("place__", place).join(starts, "block__").withColumn("idx", F.col("start__") + F.col("place__")).drop("block__", "place__", "start__")
+def ordinals(rows: DataFrame, key: str) -> DataFrame:
+    """``idx`` from 0 in order of a key (null keys first; equal ones in any order).
+
+    Rows are dealt into ranges of the key and written with their range's number, so that it
+    stands; each range counts its own rows, and the ranges' running sums, a row for each
+    partition whatever the table's size, give each its start."""
+    dealt = shared.cut(rows.repartitionByRange(F.col(key).asc_nulls_first()).withColumn("range__", F.spark_partition_id()))
+    counts = dealt.groupBy("range__").agg(F.count("*").alias("n__"))
+    before = F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("range__", F.coalesce(before, F.lit(0)).alias("start__"))
+    place = F.row_number().over(Window.partitionBy("range__").orderBy(F.col(key).asc_nulls_first())) - 1
+    numbered = dealt.withColumn("place__", place).join(F.broadcast(starts), "range__")  # a row for each partition
+    return numbered.withColumn("idx", F.col("start__") + F.col("place__")).drop("range__", "place__", "start__")
 
 
 def page(rows: DataFrame, key: str, offset: int, size: int) -> DataFrame:
-    """``size`` rows from the ``offset``-th on."""
-    return ordinals(rows, key).where((F.col("idx") >= offset) & (F.col("idx") < offset + size))
+    """``size`` rows from the ``offset``-th on, with ``idx``; no more than the first
+    ``offset + size`` rows of each task are looked at."""
+    part = rows.orderBy(F.col(key).asc_nulls_first()).offset(offset).limit(size)
+    return part.withColumn("idx", (F.row_number().over(Window.orderBy(F.col(key).asc_nulls_first())) + offset - 1).cast("long"))  # of ``size`` rows
 
 
 def prefix_split(rows: DataFrame, key: str, ratio: float = 0.8) -> DataFrame:
     """``split``: train for the first floor(n * ratio) rows, validation for the others."""
-    n = rows.where(F.col(key).isNotNull()).agg(F.floor(F.count("*") * F.lit(ratio)).alias("cut__"))  # one row
+    n = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("cut__"))  # one row
     return ordinals(rows, key).join(F.broadcast(n)).withColumn("split", F.when(F.col("idx") < F.col("cut__"), "train").otherwise("validation")).drop("cut__")
 
 
@@ -39,3 +44,13 @@ def round_robin(rows: DataFrame, key: str, workers: int) -> DataFrame:
 def budget(rows: DataFrame, key: str, count: int, factor: float, cap: int) -> DataFrame:
     """The rows that a budget of min(int(count * factor), cap) calls reaches."""
     return ordinals(rows, key).where(F.col("idx") < min(int(count * factor), cap))
+
+
+def sample(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """Exactly ``size`` rows, or all if there are fewer, drawn by a seeded hash of the key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), key).limit(size)
+
+
+def pairs(rows: DataFrame, key: str) -> DataFrame:
+    """``pair`` from 0: rows taken two by two in order; an odd last one stands alone."""
+    return ordinals(rows, key).withColumn("pair", F.floor(F.col("idx") / 2))

@@ -30,18 +30,20 @@ def simpson(rows: DataFrame, field: str) -> DataFrame:
 
 
 def distinct_n(rows: DataFrame, text: str, n: int) -> DataFrame:
-    """Distinct n-grams over all n-grams of the corpus."""
-    counts = token_counts(rows, T.ngrams(T.tokens(F.col(text)), n))
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_grams"))
+    """One row: n-grams of the corpus, distinct ones, and their ratio. Grams are structs of words, made by
+    zipping a text's tokens with themselves shifted, so no string is built for them."""
+    shifted = T.let(T.tokens(F.col(text), T.MORE_EDGES), lambda w: F.arrays_zip(*(F.slice(w, k + 1, F.greatest(F.size(w) - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n))))
+    counts = rows.select(F.explode(shifted).alias("g")).select("g.*").groupBy(*(f"w{k}" for k in range(n))).agg(F.count("*").alias("n"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_grams"))
+    return sums.withColumn("ratio", F.round(F.when(F.col("total") > 0, F.col("distinct_grams") / F.col("total")).otherwise(0.0), 4))
 
 
 def length_distribution(rows: DataFrame, length: Column) -> DataFrame:
-    """Least, greatest, mean, exact quartiles and deviation of a length."""
+    """Least, greatest, mean, deviation, exact quartiles and ninth decile of a length."""
     return rows.select(length.alias("x")).agg(
         F.min("x").alias("least"), F.max("x").alias("greatest"), F.round(F.avg("x"), 6).alias("mean"),
-        F.round(F.stddev_samp("x"), 6).alias("deviation"), F.percentile("x", F.lit(0.25)).alias("p25"),
-        F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.75)).alias("p75"),
-    )
+        F.round(F.stddev_samp("x"), 6).alias("deviation"), F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9)))).alias("p"),
+    ).select("*", *(F.get("p", i).alias(f"p{q}") for i, q in enumerate((25, 50, 75, 90)))).drop("p")
 
 
 def conversation_stats(turns: DataFrame) -> DataFrame:

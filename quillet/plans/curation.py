@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import safety
 from quillet.functions import text as T
-from quillet.operators import conversion, metrics, order, quality, stats
+from quillet.operators import conversion, metrics, order, quality, similar, stats
 from quillet.streaming import events as E
 
 
@@ -38,12 +38,8 @@ def _history(spark, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark, sf_dir: str) -> DataFrame:
-    """The five vectors of greatest cosine to vector 0; the query is one row, broadcast."""
-    of = _vectors(spark, sf_dir)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    one = of.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    score = dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding")))
-    return of.where("vec_id <> 0").join(F.broadcast(one)).select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(5)
+    """The five vectors of greatest cosine to each whose id is divisible by 20."""
+    return similar.cosine_top(_vectors(spark, sf_dir), _vectors(spark, sf_dir).where("vec_id % 20 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
 #: Words that are no keywords.
@@ -66,7 +62,9 @@ def _keywords(spark, sf_dir: str) -> DataFrame:
 
 def _by_content(spark, sf_dir: str) -> DataFrame:
     """Texts of two versions, by content: removed, added or in both."""
-    sides = [_docs(spark, sf_dir).where(f"doc_id % {n} <> 0").where("text IS NOT NULL").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.max("doc_id").alias(c)) for n, c in ((10, "one"), (7, "two"))]
+    docs = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    two = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("+"), "text")).otherwise(F.col("text")))
+    sides = [df.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.max("doc_id").alias(c)) for df, c in ((docs, "one"), (two, "two"))]
     change = F.when(F.col("one").isNull(), "added").when(F.col("two").isNull(), "removed").otherwise("unchanged")
     return sides[0].join(sides[1], "digest", "full_outer").select("digest", "one", "two", change.alias("change"))
 
@@ -204,14 +202,14 @@ ORACLE_SQL = {
     "top_users": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "cost_estimate": "SELECT source, sum(t)::BIGINT AS n_tokens, round(sum(t / 1000 * 0.03::DOUBLE), 4) AS cost FROM (SELECT source, length(coalesce(text, '')) // 4 AS t FROM documents) GROUP BY 1",
     "lag_delta": "SELECT *, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS added FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL)",
-    "cosine_topk": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
-        FROM embeddings WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 5""",
+    "cosine_topk": """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank, vec_id, round(s, 6) AS score FROM
+        (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) QUALIFY rank <= 5""",
     "keywords": f"""WITH c AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({_WORDS}) AS word FROM documents) GROUP BY ALL),
         t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 20)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place, word, n FROM t WHERE word NOT IN ({_STOP}) AND length(word) > 2 QUALIFY place <= 5""",
     "semi_join": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
-    "diff_by_content": """WITH a AS (SELECT md5(text) AS digest, max(doc_id) AS one FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL GROUP BY 1), b AS (SELECT md5(text) AS digest, max(doc_id) AS two FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL GROUP BY 1)
+    "diff_by_content": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT md5(text) AS digest, max(doc_id) AS one FROM d GROUP BY 1), b AS (SELECT md5(CASE WHEN doc_id % 5 = 0 THEN '+' || text ELSE text END) AS digest, max(doc_id) AS two FROM d GROUP BY 1)
         SELECT digest, one, two, CASE WHEN one IS NULL THEN 'added' WHEN two IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a FULL JOIN b USING (digest)""",
     "toxicity_detect": _detect_sql(safety.THRESHOLDS["medium"]),
     "toxicity_filter": f"SELECT doc_id FROM ({_HIGH}) WHERE NOT is_toxic",

@@ -5,11 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine), under a temporary folder."""
+    """A new folder's path under ``spark.checkpoint.dir``. Where that is unset, under a temporary
+    folder, on a local master only: executors elsewhere would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{named or tempfile.mkdtemp(prefix='quillet-')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder and read again: their lineage ends here."""
+    path = folder(rows.sparkSession, "cut")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
