@@ -53,3 +53,47 @@ def history(counts: DataFrame, keys: list[str], order: str, n: str) -> DataFrame
     """Each count's change from the one before; null for the first."""
     before = F.lag(n).over(Window.partitionBy(*keys).orderBy(order))
     return counts.withColumn("added", F.col(n) - before)
+
+
+def within(log: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Rows of a log from ``start`` to ``end``, both included; rows whose time is no time are left out."""
+    when = F.try_to_timestamp(F.col(at).cast("string"))
+    return log.where((when >= F.lit(start).cast("timestamp")) & (when <= F.lit(end).cast("timestamp")))
+
+
+def histogram(log: DataFrame, field: str) -> DataFrame:
+    """Rows by value of a field; missing values are ``unknown``."""
+    return log.groupBy(F.coalesce(F.col(field).cast("string"), F.lit("unknown")).alias(field)).agg(F.count("*").alias("n"))
+
+
+def generation_totals(log: DataFrame) -> DataFrame:
+    """One row of a log of generation jobs: jobs, examples, tokens, cost, hours and examples a job."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n = F.count("*")
+    return log.agg(
+        n.alias("jobs"), total("examples_generated").alias("examples"), total("tokens_used").alias("tokens"), F.round(total("cost_estimate"), 2).alias("cost"),
+        F.round(total("duration_seconds") / 3600, 2).alias("hours"), F.when(n > 0, F.round(total("examples_generated") / n, 1)).otherwise(0.0).alias("examples_each"),
+    )
+
+
+def api_totals(log: DataFrame) -> DataFrame:
+    """One row of a log of calls: calls and mean response time; a missing time is 0."""
+    return log.agg(F.count("*").alias("calls"), F.round(F.coalesce(F.avg(F.coalesce("response_time_ms", F.lit(0.0))), F.lit(0.0)), 2).alias("response_time_ms"))
+
+
+def export_totals(log: DataFrame) -> DataFrame:
+    """One row of a log of exports: exports, successful ones and their percentage."""
+    n, good = F.count("*"), F.count_if(F.coalesce("success", F.lit(False)))
+    return log.agg(n.alias("exports"), good.alias("successful"), F.when(n > 0, F.round(100 * good / n, 1)).otherwise(0.0).alias("success_rate"))
+
+
+def check_totals(log: DataFrame) -> DataFrame:
+    """One row of a log of quality checks: checks, examples, issues and mean score."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return log.agg(F.count("*").alias("checks"), total("examples_checked").alias("examples"), total("issues_found").alias("issues"), F.round(F.coalesce(F.avg(F.coalesce("average_score", F.lit(0.0))), F.lit(0.0)), 2).alias("score"))
+
+
+def majority(rows: DataFrame, field: str, order: str) -> DataFrame:
+    """One row: the most frequent value of a field; of equally frequent ones that which comes first in ``order``."""
+    counts = rows.where(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counts.agg(F.max_by(field, F.struct("n", -F.col("first"))).alias(field))

@@ -54,3 +54,96 @@ def conversation_stats(turns: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"),
         F.sum(T.token_estimate(F.col("text"))).alias("n_tokens"),
     )
+
+
+def _spread(x: str) -> list[Column]:
+    return [F.min(x).alias(f"{x}_min"), F.max(x).alias(f"{x}_max"), F.round(F.avg(x), 2).alias(f"{x}_mean"), F.percentile(x, F.lit(0.5)).alias(f"{x}_median")]
+
+
+def content_stats(rows: DataFrame, turns: Column, text: Column) -> DataFrame:
+    """One row: least, greatest, mean and median of turns (of rows that have any), of characters and of estimated
+    tokens, and the tokens' sum."""
+    each = rows.select(F.when(F.size(turns) > 0, F.size(turns)).alias("turns"), F.length(text).alias("chars"), T.token_estimate(text).alias("tokens"))
+    return each.agg(*_spread("turns"), *_spread("chars"), *_spread("tokens"), F.sum("tokens").alias("tokens_total"))
+
+
+def quality_indicators(rows: DataFrame, score: Column, flagged: Column, metadata: Column) -> DataFrame:
+    """One row: rows, spread of the score where there is one, flagged rows and rows with metadata, in percent too."""
+    n = F.count("*")
+    share = lambda c: F.when(n > 0, F.round(100 * c / n, 2)).otherwise(0.0)
+    yes, have = F.count_if("flagged"), F.count_if("has_metadata")
+    each = rows.select(score.alias("score"), F.coalesce(flagged, F.lit(False)).alias("flagged"), F.coalesce(metadata.isNotNull(), F.lit(False)).alias("has_metadata"))
+    return each.agg(n.alias("n"), *_spread("score"), yes.alias("n_flagged"), share(yes).alias("flagged_percent"), have.alias("n_metadata"), share(have).alias("metadata_percent"))
+
+
+def compare_sizes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """One row: sizes of two tables, difference and ratio (0 if the first is empty)."""
+    sizes = one.agg(F.count("*").alias("one")).join(F.broadcast(two.agg(F.count("*").alias("two"))))  # one row each
+    return sizes.select("*", (F.col("two") - F.col("one")).alias("difference"), F.when(F.col("one") > 0, F.round(F.col("two") / F.col("one"), 2)).otherwise(0.0).alias("ratio"))
+
+
+def compare_diversity(one: DataFrame, two: DataFrame, items: Column, domain: str) -> DataFrame:
+    """One row: differences of vocabulary, type-token ratio and entropy, and which table is more diverse: dataset1,
+    dataset2, or similar where the blended scores lie within a twentieth."""
+    sides = []
+    for df, side in ((one, "1"), (two, "2")):
+        both = diversity(token_counts(df, items)).join(F.broadcast(simpson(df, domain)))  # one row each
+        sides.append(both.select(F.col("vocabulary").alias(f"v{side}"), F.round("ttr", 3).alias(f"t{side}"), F.round("entropy", 3).alias(f"e{side}"), F.coalesce("simpson", F.lit(0.0)).alias(f"d{side}")))
+    score = lambda s: 0.4 * F.col(f"t{s}") + 0.3 * F.col(f"e{s}") / 15 + 0.3 * F.col(f"d{s}")
+    apart = score("1") - score("2")
+    winner = F.when(F.abs(apart) < 0.05, "similar").when(apart > 0, "dataset1").otherwise("dataset2")
+    return sides[0].join(F.broadcast(sides[1])).select(
+        (F.col("v2") - F.col("v1")).alias("vocabulary_diff"), F.round(F.col("t2") - F.col("t1"), 3).alias("ratio_diff"), F.round(F.col("e2") - F.col("e1"), 3).alias("entropy_diff"), winner.alias("winner"),
+    )
+
+
+def message_stats(rows: DataFrame) -> DataFrame:
+    """One row over examples with ``questions`` and ``answers``: words, characters, how answers look and how long they
+    are, and the mean of answer words to question words of the examples that have a question."""
+    said = rows.select(F.explode(F.concat(F.transform("questions", lambda t: F.struct(F.lit(False).alias("answer"), t.alias("t"))), F.transform("answers", lambda t: F.struct(F.lit(True).alias("answer"), t.alias("t"))))).alias("m"))
+    said = said.select("m.answer", F.col("m.t").alias("t"), F.size(T.words(F.col("m.t"))).alias("n"))
+    of = F.col("answer")
+    flags = {name: F.count_if(of & c).alias(name) for name, c in T.flags(F.col("t")).items()}
+    languages = [F.count_if(of & (T.language(F.col("t")) == k)).alias(f"lang_{k}") for k in ("en", "ru", "zh", "mixed", "other")]
+    sums = said.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n_chars"), *flags.values(), *languages,
+        F.count_if(of & (F.col("n") == 0)).alias("empty"), F.count_if(of & F.col("n").between(1, 9)).alias("very_short"), F.count_if(of & (F.col("n") > 500)).alias("very_long"),
+    )
+    size = lambda c: F.aggregate(F.transform(c, lambda t: F.size(T.words(t))), F.lit(0), lambda a, b: a + b)
+    ratio = rows.where((F.size("answers") > 0) & (F.size("questions") > 0)).select(size("questions").alias("q"), size("answers").alias("a")).where("q > 0")
+    ratios = ratio.agg(F.round(F.coalesce(F.avg(F.col("a") / F.col("q")), F.lit(0.0)), 2).alias("qa_ratio"))
+    return rows.agg(F.count("*").alias("n_examples")).join(F.broadcast(sums)).join(F.broadcast(ratios))  # one row each
+
+
+def bleu(reference: Column, hypothesis: Column, most: int = 4) -> Column:
+    """BLEU of two token arrays: clipped precisions of 1-grams up to ``most``-grams (no longer than the hypothesis), 0 if
+    one is 0, their geometric mean, and the brevity penalty."""
+
+    def precision(n: int) -> Column:
+        return T.let(
+            F.struct(T.ngrams(reference, n).alias("r"), T.ngrams(hypothesis, n).alias("h")),
+            lambda g: F.aggregate(
+                F.transform(F.array_distinct(g["h"]), lambda x: F.least(F.size(F.filter(g["h"], lambda y: y == x)), F.size(F.filter(g["r"], lambda y: y == x)))), F.lit(0), lambda a, b: a + b
+            )
+            / F.size(g["h"]),
+        )
+
+    r, h = F.size(reference), F.size(hypothesis)
+    orders = F.least(F.lit(most), h)
+    logs = [F.when(h >= n, F.log(precision(n))) for n in range(1, most + 1)]  # the logarithm of 0 is null
+    none = F.lit(False)
+    for n, log in enumerate(logs, 1):
+        none = none | ((h >= n) & log.isNull())
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in logs), F.lit(0.0))
+    penalty = F.when(h >= r, 1.0).otherwise(F.exp(1 - r / h))
+    return F.when((r == 0) | (h == 0), 0.0).when(none, 0.0).otherwise(penalty * F.exp(total / orders))
+
+
+def self_bleu(rows: DataFrame, text: str, id_field: str, most: int = 4, size: int = 500) -> DataFrame:
+    """One row: the mean over ``size`` rows, drawn by a hash of the id, of each one's greatest BLEU against the others.
+    The sample is the measure's own; its pairs are ``size`` squared whatever the table's size."""
+    drawn = rows.orderBy(F.md5(F.col(id_field).cast("string").cast("binary")), id_field).limit(size)
+    tokens = drawn.select(F.col(id_field).alias("i"), T.tokens(F.col(text), T.MORE_EDGES).alias("h")).where(F.size("h") > 0)
+    others = F.broadcast(tokens.select(F.col("i").alias("j"), F.col("h").alias("r")))  # ``size`` rows at most
+    best = tokens.join(others, F.col("i") != F.col("j")).groupBy("i").agg(F.max(bleu(F.col("r"), F.col("h"), most)).alias("best"))
+    return best.agg(F.round(F.coalesce(F.avg("best"), F.lit(0.0)), 4).alias(f"self_bleu_{most}"))

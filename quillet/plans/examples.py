@@ -74,7 +74,7 @@ def _report(spark, sf_dir: str) -> DataFrame:
 def _filtered(spark, sf_dir: str) -> DataFrame:
     """Examples of one domain with a quality score; a missing one counts as 0."""
     score = F.coalesce("metadata.quality_score", F.lit(0.0))
-    return examples(spark, sf_dir).where((F.col("metadata.domain") == "web00") & (score >= 0.5) | (F.col("metadata.domain") != "web00") & (score >= 2)).select("id")
+    return examples(spark, sf_dir).where((F.col("metadata.domain") == "src3") & (score >= 0.5) | (F.col("metadata.domain") != "src3") & (score >= 2)).select("id")
 
 
 QUERIES = {
@@ -155,5 +155,5 @@ ORACLE_SQL = {
     "truncated": f"WITH {_EX}, t AS (SELECT id, coalesce(text, content, {_JOIN.format('conversation')}, {_JOIN.format('messages')}, prompt || ' ' || completion, '') AS t FROM ex) SELECT id, {_CUT.format('t', 60)} AS start FROM t",
     "chat_report": f"""WITH {_EX}, {_CHAT}, s AS (SELECT count(DISTINCT id) AS n, count(*) AS messages, count(*) FILTER (m.role = 'system') AS system, count(*) FILTER (m.role = 'user') AS user, count(*) FILTER (m.role = 'assistant') AS assistant,
         coalesce(sum(length(m.content) // 4), 0)::BIGINT AS tokens FROM turns) SELECT *, round(messages / n, 2) AS messages_each, round(tokens * 0.008::DOUBLE / 1000, 2) AS cost FROM s""",
-    "metadata_filter": f"WITH {_EX} SELECT id FROM ex WHERE (m_domain = 'web00' AND coalesce(m_score, 0) >= 0.5) OR (m_domain <> 'web00' AND coalesce(m_score, 0) >= 2)",
+    "metadata_filter": f"WITH {_EX} SELECT id FROM ex WHERE (m_domain = 'src3' AND coalesce(m_score, 0) >= 0.5) OR (m_domain <> 'src3' AND coalesce(m_score, 0) >= 2)",
 }

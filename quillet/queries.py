@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as T
 from quillet.operators import algebra, dedup, export, stats
-from quillet.plans import curation, examples
+from quillet.plans import curation, examples, reports
 
 FLAGSHIP = "exact_duplicates"
 
@@ -70,6 +70,7 @@ QUERIES = {
     "chunk_documents": lambda s, d: export.chunks(_docs(s, d)).select("doc_id", "chunk", "n_chunks", F.md5(F.col("piece").cast("binary")).alias("digest")),
     **curation.QUERIES,
     **examples.QUERIES,
+    **reports.QUERIES,
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')"
@@ -134,5 +135,5 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, text, len(starts) AS n_chunks, unnest(starts) AS pos FROM s)
         SELECT doc_id, (pos // 800)::BIGINT AS chunk, n_chunks, md5(substring(text, (pos + 1)::BIGINT, 1000)) AS digest FROM e""",
 }
-for _more in (curation, examples):
+for _more in (curation, examples, reports):
     ORACLE_SQL |= _more.ORACLE_SQL

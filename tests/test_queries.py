@@ -1,14 +1,16 @@
-"""Every query against its SQL in DuckDB on the smallest tables."""
+"""Every query against its SQL in DuckDB on the smallest tables; those without SQL against plain versions."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillet import queries
+from quillet.operators import algebra, collaboration, dedup, order, similar, stats
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "conversations", "events", "labels", "embeddings"):
@@ -17,5 +19,92 @@ def test_query_equals_sql(spark, name):
     columns = sorted(got.columns)
     want = con.execute(queries.ORACLE_SQL[name])
     assert sorted(c[0] for c in want.description) == columns
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = con.execute(f"SELECT {quoted} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_leaders_are_those_of_a_scan(spark):
+    import random
+
+    draw = random.Random(3)
+    edges = sorted({tuple(sorted(draw.sample(range(40), 2))) for _ in range(60)})
+    want = {}
+    for i in range(40):
+        if i not in want:
+            want[i] = i
+            want.update({b: i for a, b in edges if a == i and b not in want})
+    ids = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    got = similar.leaders(spark.createDataFrame(edges, "a long, b long"), ids).collect()
+    assert {r.id: r.leader for r in got} == want
+
+
+def test_bands_find_copies_and_near_copies(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base), (2, base), (3, base + " more"), (4, " ".join(f"v{i}" for i in range(200))), (5, None), (6, "two words"), (7, "two words")]
+    got = {r.doc_id: r.first for r in similar.lsh_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 1, 3: 1}
+
+
+def plain_bleu(r, h, most):
+    import math
+    from collections import Counter
+
+    if not r or not h:
+        return 0.0
+    logs = []
+    for n in range(1, min(most, len(h)) + 1):
+        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (r, h))
+        hit = sum((a & b).values())
+        if not hit:
+            return 0.0
+        logs.append(math.log(hit / sum(b.values())))
+    return (1.0 if len(h) >= len(r) else math.exp(1 - len(r) / len(h))) * math.exp(sum(logs) / len(logs))
+
+
+def test_self_bleu_is_that_of_all_pairs(spark):
+    texts = ["a b c d", "a b c e", "x y", "a b", "", "A, b! c d e f", "q"]
+    tokens = [[w.strip(".,!?;:()[]{}\"'-") for w in t.lower().split()] for t in texts]
+    tokens = [t for t in tokens if t]
+    best = [max(plain_bleu(r, h, 3) for j, r in enumerate(tokens) if j != i) for i, h in enumerate(tokens)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert stats.self_bleu(df, "text", "id", 3).first()[0] == round(sum(best) / len(best), 4)
+
+
+def test_keep_first_and_versions_with_null_and_repeated_keys(spark):
+    rows = [(1, "a"), (1, "b"), (None, "c"), (2, "a"), (None, None), (3, ""), (None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text or "") for r in dedup.keep_first(df, F.col("text")).collect()), key=repr)
+    assert kept == sorted([(1, "a"), (1, "b"), (None, "c"), (None, "")], key=repr)
+    assert dedup.keep_first(df.limit(0), F.col("text")).count() == 0
+    other = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (4, "n")], "doc_id long, text string")
+    changes = sorted(((r.doc_id, r.change) for r in algebra.diff(df, other, "doc_id").collect()), key=repr)
+    assert changes == sorted([(1, "unchanged"), (2, "removed"), (3, "removed"), (4, "added"), (None, "unchanged"), (None, "removed")], key=repr)
+    assert algebra.merge(df.limit(0), other, "doc_id").count() == 3
+
+
+def test_ordinals_hold_nulls_ties_and_sparse_keys(spark):
+    keys = [None, 5, 5, 1 << 60, -(1 << 60), None, 7]
+    got = order.ordinals(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()
+    assert sorted(r.idx for r in got) == list(range(7))
+    assert [r.k for r in sorted(got, key=lambda r: r.idx)] == [None, None, -(1 << 60), 5, 5, 7, 1 << 60]
+    assert order.ordinals(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_threads_leave_out_circles(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 5)]
+    got = collaboration.threads(spark.createDataFrame(rows, "comment_id long, parent_id long")).collect()
+    assert sorted((r.comment_id, r.root, r.depth) for r in got) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0)]
+
+
+def test_augmented_keeps_rows_and_repeats_itself(spark):
+    from quillet.operators import augment
+
+    rows = [(i, f"one two three four five {i} six seven eight nine ten") for i in range(20)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = ([tuple(r) for r in augment.augmented(df, copies=2).orderBy("doc_id", "augmented", "text").collect()] for _ in range(2))
+    assert first == second
+    plain = augment.augmented(df, copies=2).where("NOT augmented").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, plain))) == sorted(map(repr, rows))
+    copies = augment.augmented(df, copies=2).where("augmented").collect()
+    assert copies and all(r.text and (r.original_id, r.text) not in rows for r in copies)
