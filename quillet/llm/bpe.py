@@ -67,37 +67,39 @@ def _least_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: list, ids: np.ndarray) -> None:
-    """Merge the padded matrix ``rows``; put the ids of row ``i`` in ``out[ids[i]]``."""
+    """Merge the padded matrix ``rows``; put the ids of row ``i`` in ``out[ids[i]]``. ``rank`` holds at
+    each place the rank of the pair that begins there."""
+    rank = np.full(rows.shape, _NONE, dtype=np.int32)
     if rows.shape[1] > 1:
-        rank = pairs.rank[pairs.places(rows[:, :-1], rows[:, 1:])]
-        rank[np.arange(rows.shape[1] - 1)[None, :] >= lengths[:, None] - 1] = _NONE
+        rank[:, :-1] = pairs.rank[pairs.places(rows[:, :-1], rows[:, 1:])]
+        rank[np.arange(rows.shape[1])[None, :] >= lengths[:, None] - 1] = _NONE
     while True:
-        live = rank.min(axis=1) < _NONE if rows.shape[1] > 1 else np.zeros(len(rows), dtype=bool)
-        done = np.flatnonzero(~live)
-        for i, row, n in zip(ids[done].tolist(), rows[done], lengths[done].tolist()):
-            out[i] = row[:n].copy()
-        if not live.any():
-            return
-        if len(done):
+        live = rank.min(axis=1) < _NONE
+        if not live.all():
+            done = np.flatnonzero(~live)
+            for i, row, n in zip(ids[done].tolist(), rows[done], lengths[done].tolist()):
+                out[i] = row[:n]
+            if not live.any():
+                return
             rows, rank, lengths, ids = rows[live], rank[live], lengths[live], ids[live]
         r, c = _least_places(rank)
         rows[r, c] = pairs.merged[pairs.places(rows[r, c], rows[r, c + 1])]
         keep = np.arange(rows.shape[1])[None, :] < lengths[:, None]
         keep[r, c + 1] = False
-        place = np.cumsum(keep, axis=1, dtype=np.int32) - 1
-        lengths = place[:, -1] + 1
-        from_row, from_column = np.nonzero(keep)
-        to = place[from_row, from_column]
-        width = int(lengths.max())
-        closed = np.zeros((len(rows), width), dtype=np.int32)
-        closed[from_row, to] = rows[from_row, from_column]
-        ranks = np.full((len(rows), max(0, width - 1)), _NONE, dtype=np.int32)
-        inner = to < lengths[from_row] - 1
-        ranks[from_row[inner], to[inner]] = rank[from_row[inner], from_column[inner]]
-        at = place[r, c]
-        for who, where in ((r[at > 0], at[at > 0] - 1), (r[at < lengths[r] - 1], at[at < lengths[r] - 1])):
-            ranks[who, where] = pairs.rank[pairs.places(closed[who, where], closed[who, where + 1])]
-        rows, rank = closed, ranks
+        turn = np.arange(len(r)) - np.searchsorted(r, r)  # merges of the row before this one
+        lengths = lengths - np.bincount(r, minlength=len(rows))
+        filled = np.arange(int(lengths.max()))[None, :] < lengths[:, None]
+        closed = np.zeros(filled.shape, dtype=np.int32)
+        closed[filled] = rows[keep]
+        rows = closed
+        ranks = np.full(filled.shape, _NONE, dtype=np.int32)
+        ranks[filled] = rank[keep]
+        rank, at = ranks, c - turn
+        for who, where in ((r[at > 0], at[at > 0] - 1), (r, at)):
+            last = where >= lengths[who] - 1
+            rank[who[last], where[last]] = _NONE
+            who, where = who[~last], where[~last]
+            rank[who, where] = pairs.rank[pairs.places(rows[who, where], rows[who, where + 1])]
 
 
 def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
