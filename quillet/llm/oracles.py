@@ -44,9 +44,9 @@ def _both(p: str, q: str) -> str:
 
 OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
     each AS (SELECT r, lang, unnest(w) AS word FROM t),
-    counts AS (SELECT lang, word, count(*) AS n FROM each WHERE lang IS NOT NULL GROUP BY 1, 2),
+    counts AS (SELECT lang, word, count(*) AS n FROM each WHERE lang IS NOT NULL AND length(word) <= {quality.COMMON_CHARS} GROUP BY 1, 2),
     sizes AS (SELECT lang, sum(n) AS total, sum(sum(n)) OVER () AS whole FROM counts GROUP BY 1 QUALIFY total >= {quality.MIN_LANG_WORDS} AND total >= {quality.MIN_LANG_SHARE} * whole),
-    top AS (SELECT lang, word, n / total AS q FROM counts JOIN sizes USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {quality.COMMON}),
+    top AS (SELECT lang, word, n / (SELECT count(*) FROM each WHERE each.lang = counts.lang) AS q FROM counts JOIN sizes USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {quality.COMMON}),
     lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
     grams AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
     twice AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from quillet.llm.common import table, written
 
-#: Words of a language that make its reference.
-COMMON = 16
-#: A language with fewer words, or a smaller share of all words, is no reference. So there are
-#: 1000 references at most, whatever stands in ``lang``.
+#: Words of a language that make its reference: its most frequent ones of so many characters at most.
+COMMON, COMMON_CHARS = 16, 5
+#: A language with fewer of these words, or a smaller share of them, is no reference. So there
+#: are 1000 references at most, whatever stands in ``lang``.
 MIN_LANG_WORDS, MIN_LANG_SHARE = 1000, 0.001
 #: Histograms of fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 200, 100
@@ -40,15 +40,15 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """lang, word and share of the most frequent words of each reference language, as written."""
-    each = _packed(docs).where("lang IS NOT NULL").select("lang", F.explode(_words(F.col("text"))).alias("word"))
+    """lang, word and count of the most frequent short words of each reference language, as written."""
+    each = _packed(docs).where("lang IS NOT NULL").select("lang", F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") <= COMMON_CHARS)
     counts = written(each.groupBy("lang", "word").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     whole = sizes.agg(F.sum("total").alias("whole"))  # one row
     sizes = sizes.join(F.broadcast(whole)).where((F.col("total") >= MIN_LANG_WORDS) & (F.col("total") >= MIN_LANG_SHARE * F.col("whole")))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= COMMON)
-    return top.join(F.broadcast(sizes), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share"))  # 1000 languages at most
+    return top.join(F.broadcast(sizes), "lang").select("lang", "word", "n")  # 1000 languages at most
 
 
 def features(docs: DataFrame, common: list[str]) -> DataFrame:
@@ -145,8 +145,8 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     common = sorted({r["word"] for r in words.select("word").distinct().collect()})  # COMMON * 1000 words at most
     rows = features(docs, common)
     rows = written(rows if keep is None else rows.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in keep))))
-    sums = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"))
-    shares = words.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("words"))
+    sums = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"), F.sum("n_words").alias("total"))
+    shares = words.join(sums.select("lang", "total"), "lang").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n") / F.col("total")))).alias("words"))
     each = shares.join(sums, "lang").select("lang", F.transform("chars", lambda x: x / _total(F.col("chars"))).alias("chars"), "words")
     references = each.agg(F.collect_list(F.struct("lang", "chars", "words")).alias("references"))  # one row, 1000 entries at most
     p = F.transform("chars", lambda x: x / _total(F.col("chars")))
