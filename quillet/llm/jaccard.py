@@ -40,6 +40,8 @@ _HOT = 12
 _TURNS = 1
 #: A pair of the last round must meet in so many of the first columns it can first meet in.
 _MEETINGS = 1
+#: Edges that one task may hold.
+_FEW = 1_000_000
 #: Rows of a column that form a block in the last round.
 _BLOCK_ROWS = 2048
 #: 64-bit words of a set's bit map, which bounds from above what two sets share.
@@ -243,6 +245,15 @@ def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
 
+def _with_least(edges: DataFrame, least: DataFrame, key: str, n: int) -> DataFrame:
+    """Edges with the least neighbour ``m`` of their ``key``. Up to ``_FEW`` edges any hub is one
+    task's work; beyond, hubs are looked up in a broadcast."""
+    if n <= _FEW:
+        return edges.join(least.drop("n"), key)
+    least = written(least)
+    return join_hot(edges, least.drop("n"), key, hot=least.where(is_hot(F.col("n"), n)).select(key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for all nodes of edges ``a``, ``b``.
 
@@ -255,13 +266,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         n = now.count()
         both = now.unionAll(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: the node, hi: its neighbour
-        least = written(both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"), F.count("*").alias("n")))
-        hubs = least.where(is_hot(F.col("n"), 2 * n)).select("lo")
-        large = join_hot(both, least.drop("n"), "lo", hot=hubs).where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, "lo", 2 * n).where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
         large = written(large)
-        least = written(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
-        hubs = least.where(is_hot(F.col("n"), n)).select("hi")
-        joined = join_hot(large, least.drop("n"), "hi", hot=hubs)
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(large, least, "hi", n)
         small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionAll(joined.select(F.col("m").alias("lo"), "hi"))
         now = written(small.where("lo <> hi").distinct())
         last, total = total, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
@@ -327,12 +336,13 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         edges = written(edges.unionAll(_verified(more, grams, percent)))
         found = components(edges)
     rest = _open(multi, found)
+    large = written(rest.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > _BLOCK_ROWS))
     own = Window.partitionBy("class")
     rest = rest.withColumn("open", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("pos")).cast("long"))
     rest = rest.where(F.col("open") >= F.greatest(F.lit(1), level - 1))  # no pair needs fewer
     rest = rest.join(kept.select("class", "bits"), "class")
     rest = rest.select("shingle", "class", "n", "pos", "comp", "open", "rank", *(F.col("bits")[w].alias(f"bits{w}") for w in range(_WORDS)))
-    rest = _in_blocks(rest)
+    rest = _in_blocks(rest, large)
     cross = rest.mapInArrow(_cross(percent), "a long, b long, need long")
     cross = cross.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
     found = components(edges.unionAll(_verified(cross, grams, percent)))
@@ -350,15 +360,17 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
-def _in_blocks(rest: DataFrame) -> DataFrame:
-    """Rows of the columns, large columns dealt into blocks: a row goes to each pair (x, y) of
-    blocks that its own block is part of. So a column's pairs are spread over tasks, and a matrix
-    is never larger than two blocks."""
-    large = rest.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > _BLOCK_ROWS)
-    n = F.coalesce(F.ceil(F.col("m") / _BLOCK_ROWS), F.lit(1)).cast("long")
-    dealt = rest.join(large, "shingle", "left").withColumn("n_blocks", n).drop("m").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+def _in_blocks(rest: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the columns, ``large`` ones (with their number of rows, ``m``) dealt into blocks: a row
+    goes to each pair (x, y) of blocks that its own block is part of. So a column's pairs are
+    spread over tasks, and a matrix is never larger than two blocks."""
+    if large.isEmpty():
+        dealt = rest.withColumns({c: F.lit(0).cast("long") for c in ("x", "y", "block")})
+    else:
+        n = F.coalesce(F.ceil(F.col("m") / _BLOCK_ROWS), F.lit(1)).cast("long")
+        dealt = rest.join(large, "shingle", "left").withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+        dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     dealt = dealt.select("shingle", "x", "y", "block", *(c for c in rest.columns if c != "shingle"))
     return dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
 

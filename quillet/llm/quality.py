@@ -159,7 +159,8 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.withColumn("p", p).crossJoin(F.broadcast(references))  # by one row
     fits = (F.size("references") == 0) | ~known | F.exists("references", near)
-    return out.select("row.*", *ADDED, failed.alias("base_failed"), (~failed & fits).alias("kept"))
+    decided = out.select("row", *ADDED, failed.alias("base_failed"), (~failed & fits).alias("kept"))
+    return decided.select("row.*", *ADDED, "base_failed", "kept")  # whatever the row's columns are called
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
