@@ -67,8 +67,9 @@ def _least_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: list, ids: np.ndarray) -> None:
-    """Merge the padded matrix ``rows``; put the ids of row ``i`` in ``out[ids[i]]``. ``rank`` holds at
-    each place the rank of the pair that begins there."""
+    """Merge the padded matrix ``rows``, whose pieces have the numbers ``ids``; append what leaves it to
+    ``out`` as numbers, rows and lengths. ``rank`` holds at each place the rank of the pair that
+    begins there."""
     rank = np.full(rows.shape, _NONE, dtype=np.int32)
     if rows.shape[1] > 1:
         rank[:, :-1] = pairs.rank[pairs.places(rows[:, :-1], rows[:, 1:])]
@@ -76,9 +77,7 @@ def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: li
     while True:
         live = rank.min(axis=1) < _NONE
         if not live.all():
-            done = np.flatnonzero(~live)
-            for i, row, n in zip(ids[done].tolist(), rows[done], lengths[done].tolist()):
-                out[i] = row[:n]
+            out.append((ids[~live], rows[~live], lengths[~live]))
             if not live.any():
                 return
             rows, rank, lengths, ids = rows[live], rank[live], lengths[live], ids[live]
@@ -102,9 +101,9 @@ def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: li
             rank[who, where] = pairs.rank[pairs.places(rows[who, where], rows[who, where + 1])]
 
 
-def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
-    """Merge pieces given end to end in ``symbols``; returns an id array for each."""
-    out: list = [None] * len(lengths)
+def merge_flat(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Merge pieces given end to end in ``symbols``; returns their ids end to end, and how many each has."""
+    out: list = []
     starts = np.cumsum(lengths) - lengths
     lower, longest = 0, int(lengths.max()) if len(lengths) else 0
     bounds = [4, 8, 12, 16, 24, 48]
@@ -119,6 +118,18 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> lis
             inside = columns < n[:, None]
             rows = symbols[np.where(inside, starts[part][:, None] + columns, 0)].astype(np.int32)
             _merge_rows(rows, n, pairs, out, part)
-    for i in np.flatnonzero(lengths == 0):
-        out[i] = np.empty(0, dtype=np.int32)
-    return out
+    merged = np.zeros(len(lengths), dtype=np.int64)
+    for ids, _, n in out:
+        merged[ids] = n
+    starts, flat = np.cumsum(merged) - merged, np.empty(int(merged.sum()), dtype=np.int32)
+    for ids, rows, n in out:
+        columns = np.arange(rows.shape[1])[None, :]
+        inside = columns < n[:, None]
+        flat[(starts[ids][:, None] + columns)[inside]] = rows[inside]
+    return flat, merged
+
+
+def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
+    """The same as an id array for each piece."""
+    flat, merged = merge_flat(symbols, lengths, pairs)
+    return np.split(flat, np.cumsum(merged)[:-1]) if len(merged) else []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.bpe import PairTable, merge_all
+from quillet.llm.bpe import PairTable, merge_flat
 from quillet.llm.common import table
 from quillet.llm.wordtokens import in_parts
 
@@ -76,9 +76,10 @@ class ByteTokens:
             else:
                 ids[k] = (rank,)
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        merged = merge_all(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)], lengths, self.pairs)
-        for k, row in zip(todo, merged):
-            ids[k] = row.tolist()
+        flat, merged = merge_flat(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)], lengths, self.pairs)
+        flat, ends = flat.tolist(), np.cumsum(merged).tolist()
+        for k, start, end in zip(todo, [0, *ends], ends):
+            ids[k] = flat[start:end]
         for part in parts:
             all_ids = [i for k in part for i in ids[k]]
             yield np.array(all_ids, dtype="<u4").tobytes(), ",".join(map(str, all_ids))

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-from quillet.llm.bpe import PairTable, merge_all
+from quillet.llm.bpe import PairTable, merge_flat
 
 #: Unicode's White_Space. ``str.split()`` also cuts at the four controls 1C to 1F.
 _RUN = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -39,7 +39,7 @@ _LOADED: dict[str, WordTokens] = {}
 class WordTokens:
     """Encodes batches of texts; keeps up to ``kept`` runs with their ids, then starts afresh."""
 
-    def __init__(self, path: str, kept: int = 500_000) -> None:
+    def __init__(self, path: str, kept: int = 1_000_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -88,9 +88,8 @@ class WordTokens:
         symbols = self.inner[data]
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.last[data[ends]]
-        merged = merge_all(symbols, lengths, self.pairs)
-        data = np.concatenate(merged).astype("<u4").tobytes() if merged else b""
-        ends = np.cumsum([4 * len(x) for x in merged]).tolist()
+        flat, merged = merge_flat(symbols, lengths, self.pairs)
+        data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(merged)).tolist()
         ids = [data[a:b] for a, b in zip([0, *ends], ends)]
         for run, part in zip(new, parts):
             self.known[run] = ids[part] if isinstance(part, int) else b"".join([ids[p] for p in part])
