@@ -39,7 +39,7 @@ _LOADED: dict[str, WordTokens] = {}
 class WordTokens:
     """Encodes batches of texts; keeps up to ``kept`` runs with their ids, then starts afresh."""
 
-    def __init__(self, path: str, kept: int = 1_000_000) -> None:
+    def __init__(self, path: str, kept: int = 500_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as file:
@@ -111,7 +111,7 @@ class WordTokens:
         return [b"".join(map(self.known.__getitem__, r)) for r in runs]
 
 
-def in_parts(texts: list, size: int = 4_000_000):
+def in_parts(texts: list, size: int = 2_000_000):
     """Split a list of strings so that each part has about ``size`` characters."""
     part, n = [], 0
     for text in texts:
