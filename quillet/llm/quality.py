@@ -146,10 +146,10 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = features(docs, common)
     rows = written(rows if keep is None else rows.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in keep))))
     sums = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"), F.sum("n_words").alias("total"))
-    shares = words.join(sums.select("lang", "total"), "lang").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n") / F.col("total")))).alias("words"))
-    each = shares.join(sums, "lang").select("lang", F.transform("chars", lambda x: x / _total(F.col("chars"))).alias("chars"), "words")
+    shares = words.join(sums.select("lang", "total"), "lang").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", F.try_divide("n", "total")))).alias("words"))
+    each = shares.join(sums, "lang").select("lang", F.transform("chars", lambda x: F.try_divide(x, _total(F.col("chars")))).alias("chars"), "words")
     references = each.agg(F.collect_list(F.struct("lang", "chars", "words")).alias("references"))  # one row, 1000 entries at most
-    p = F.transform("chars", lambda x: x / _total(F.col("chars")))
+    p = F.transform("chars", lambda x: F.try_divide(x, _total(F.col("chars"))))
     judged_chars, judged_words = F.col("word_chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
 
     def near(r: Column) -> Column:
