@@ -65,4 +65,44 @@ OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS l
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ((SELECT count(*) FROM sizes) = 0 OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM sizes)) OR near) AS kept FROM f LEFT JOIN near USING (r)"""
 
-ORACLE_SQL = {"op2_byte_balanced_sharding": OP2, "op3_ngram_jaccard_join": OP3, "op6_distribution_divergence": OP6, "op8_substring_dedup": OP8}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP13 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    each AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM each),
+    o AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k),
+    kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped FROM o GROUP BY 1)
+    SELECT doc_id, n_lines, n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM d JOIN kept USING (r)"""
+
+OP11 = """WITH bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) AS r(i))),
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i, m, n FROM
+        (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+    c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda b: ('0x' || b)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM t), bits),
+    r AS (SELECT c.conv_id, 0 AS side, i, m, n FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT conv_id, 1, i, m, n FROM c JOIN t USING (conv_id) WHERE i > h),
+    s AS (SELECT conv_id, count(*) OVER w AS depth, string_agg(m, '') OVER w AS path, n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY side, i) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    p AS (SELECT conv_id, depth, md5(path) AS d, CASE WHEN depth > 0 THEN md5(left(path, length(path) - 64)) END AS parent, n, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM s),
+    v AS (SELECT depth, d, any_value(parent) AS parent, any_value(n) AS n, count(*) AS n_convs, min(conv_id) AS conv_id, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+    k AS (SELECT parent, count(*) AS n_children FROM v GROUP BY 1),
+    w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k ON k.parent = v.d),
+    b AS (SELECT p.d, sum((n_convs - 1) * w.n)::BIGINT AS saved_tokens, count_if(n_children = 0)::BIGINT AS n_leaves FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY 1)
+    SELECT w.conv_id, w.depth, above.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256 FROM w JOIN b USING (d) LEFT JOIN v AS above ON above.d = w.parent"""
+
+
+def _lloyd() -> str:
+    """Plain Lloyd, a pair of common tables for each round."""
+    near = "SELECT r, p, min(d * 16 + e) AS m FROM (SELECT r, x.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT AS d FROM x JOIN c{k} AS c ON c.p = x.p) GROUP BY 1, 2"
+    better = """SELECT c.p, c.e, coalesce(n.y, c.y) AS y FROM c{k} AS c LEFT JOIN (SELECT p, e, list(s ORDER BY i) AS y FROM
+        (SELECT x.p, m % 16 AS e, i, (sum(x[i])::BIGINT - ((sum(x[i])::BIGINT % count(*) + count(*)) % count(*))) // count(*) AS s FROM x JOIN a{k} USING (r, p), range(1, 9) AS q(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) AS n ON n.p = c.p AND n.e = c.e"""
+    rounds = ",\n    ".join(f"a{k} AS MATERIALIZED ({near.format(k=k)}),\n    c{k + 1} AS MATERIALIZED ({better.format(k=k)})" for k in range(6))
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda z: floor(4096 * z::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+    x AS MATERIALIZED (SELECT r, p, v[p * 8 + 1:p * 8 + 8] AS x FROM v, range(8) AS q(p)),
+    c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM x WHERE r <= 16),
+    {rounds},
+    a6 AS ({near.format(k=6)}),
+    o AS (SELECT r, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, sum(m // 16)::BIGINT AS error FROM a6 GROUP BY 1),
+    h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (r), h"""
+
+
+ORACLE_SQL = {"op2_byte_balanced_sharding": OP2, "op3_ngram_jaccard_join": OP3, "op6_distribution_divergence": OP6, "op8_substring_dedup": OP8, "op11_prefix_trie": OP11, "op12_heap_lloyd": _lloyd(), "op13_line_runs": OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillet.llm import chat, jaccard, neighbours, packing, pii, quality, sharding, substrings, tokens, toxicity
+from quillet.llm import chat, codebooks, jaccard, lines, neighbours, packing, pii, prefixes, quality, sharding, substrings, tokens, toxicity
 from quillet.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8,
     "op9_pii_surrogates": pii.op9,
     "op10_tool_call_linking": chat.op10,
+    "op11_prefix_trie": prefixes.op11,
+    "op12_heap_lloyd": codebooks.op12,
+    "op13_line_runs": lines.op13,
     "pipeline": pipeline,
 }
 

@@ -31,7 +31,8 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name_ in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{DATA}/{name_}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
