@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +16,13 @@ from quillet.sources import shared
 
 #: Vectors in a block, and queries that meet a block at a time, about.
 _BLOCK = 16_384
+_MARKS = re.compile(r"[^\w\s]")
 
 
 def cosine_top(rows: DataFrame, queries: DataFrame, k: int = 5, id_field: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the id and score of the ``k`` rows of greatest cosine to each query, itself
     left out. Exact: each block of queries meets each block of rows, every meeting gives its best
     ``k``, and these are merged. Vectors that are null or zero take no part."""
-    import numpy as np
-
     usable = lambda df: df.select(F.col(id_field).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
     left, right = usable(rows), usable(queries)
     n_left, n_right = (max(1, -(-df.count() // _BLOCK)) for df in (left, right))
@@ -46,34 +50,68 @@ def cosine_top(rows: DataFrame, queries: DataFrame, k: int = 5, id_field: str =
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", F.col("i").alias(id_field), "score")
 
 
-def word_shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of ``n`` lower-cased words, all but letters, digits, underscores and white space
-    deleted before; none if there are fewer words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", "")
-    return F.array_distinct(T.ngrams(F.array_remove(F.split(plain, r"\s+"), ""), n))
+def shingle_hashes(text: str | None, n: int = 3) -> np.ndarray:
+    """64-bit hashes of the distinct runs of ``n`` lower-cased words, all but letters, digits, underscores and
+    white space deleted before; none if there are fewer words."""
+    from xxhash import xxh3_64_intdigest
+
+    words = _MARKS.sub("", (text or "").lower()).split()
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64)
+    each = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    size = len(each) - n + 1
+    out = np.zeros(size, dtype=np.uint64)
+    for k in range(n):
+        out = _mixed(out + each[k : k + size])
+    return np.unique(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finisher of splitmix64, a permutation of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def function_seeds(n: int) -> np.ndarray:
+    """A seed for each of ``n`` hash functions x -> mixed(x ^ seed)."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
 
+def band_hashes(shingles: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    """A 64-bit hash of each band of ``per_band`` least values, one for each hash function. Long texts are taken
+    in pieces."""
+    least = np.full(bands * per_band, np.iinfo(np.uint64).max, dtype=np.uint64)
+    salts = function_seeds(len(least))[:, None]
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, _mixed(shingles[None, at : at + 4096] ^ salts).min(axis=1))
+    out = np.zeros(bands, dtype=np.uint64)
+    for column in least.reshape(bands, per_band).T:
+        out = _mixed(out + column)
+    return out.view(np.int64)
 
-def minhash(shingles: Column, bands: int, rows: int) -> Column:
-    """A hash for each band of ``rows`` least values, of as many hash functions as there are values;
-    null without shingles. Functions are affine in a 31-bit digest of the shingle."""
-    prime = (1 << 31) - 1
-    digests = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long") % prime)
 
-    def band(ds: Column):
-        def of(b: Column) -> Column:
-            least = lambda r: F.array_min(F.transform(ds, lambda d: (d * ((b * rows + r) * 1103515 + 12345 + 2 * r) + (b * rows + r) * 7919 + 1) % prime))
-            return F.md5(F.array_join(F.array(*(least(r).cast("string") for r in range(rows))), ",").cast("binary"))
+def band_rows(rows: DataFrame, text: str = "text", id_field: str = "doc_id", bands: int = 9, per_band: int = 13) -> DataFrame:
+    """id, band and hash: a row for each band of each row with enough words."""
+    kind = rows.schema[id_field].dataType.simpleString()
 
-        return of
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, band_hashes(s, bands, per_band)) for i, t in enumerate(batch.column(1).to_pylist()) if len(s := shingle_hashes(t))]
+            if found:
+                at = np.repeat([i for i, _ in found], bands)
+                hashes = np.concatenate([h for _, h in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(found))), pa.array(hashes)], names=[id_field, "band", "hash"])
 
-    return F.when(F.size(shingles) > 0, T.let(digests, lambda ds: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band(ds))))
+    return rows.select(id_field, text).mapInArrow(run, f"{id_field} {kind}, band int, hash long")
 
 
 def lsh_groups(rows: DataFrame, text: str = "text", id_field: str = "doc_id", bands: int = 9, per_band: int = 13) -> DataFrame:
     """For each row the least id before it that shares a band with it, if any, as ``first``: it would be
     found in an index that holds the rows before. Rows meet in a band's group, of which only the
-    least id is kept, so no group is ever gathered or paired."""
-    each = rows.select(id_field, F.posexplode(minhash(word_shingles(F.col(text)), bands, per_band)).alias("band", "hash"))
+    least id is kept, so no group is ever gathered or paired; it is joined back to a unique key, so that
+    adaptive execution can split a band that very many rows share."""
+    each = shared.cut(band_rows(rows, text, id_field, bands, per_band))
     least = each.groupBy("band", "hash").agg(F.min(id_field).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = each.join(least, ["band", "hash"]).where(F.col("first") < F.col(id_field))
     return found.groupBy(id_field).agg(F.min("first").alias("first"))
