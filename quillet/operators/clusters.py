@@ -80,10 +80,15 @@ def default_clusters(n: int) -> int:
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    out = np.zeros((len(batch), dim))
-    for row, (at, v) in enumerate(zip(batch.column("at"), batch.column("v"))):
-        values = np.asarray(v.values)
-        out[row, slice(len(values)) if not at.is_valid else np.asarray(at.values)] = values
+    """The rows' vectors as a matrix."""
+    out, v = np.zeros((len(batch), dim)), batch.column("v")
+    sizes = np.diff(np.asarray(v.offsets))
+    row = np.repeat(np.arange(len(batch)), sizes)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    given = np.asarray(batch.column("at").is_valid())[row] if len(row) else np.zeros(0, dtype=bool)
+    place = turn.copy()
+    place[given] = np.asarray(batch.column("at").flatten())
+    out[row, place] = np.asarray(v.flatten())
     return out
 
 
@@ -115,18 +120,19 @@ def _partial(centres: dict[int, np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, dim = next(iter(centres.values())).shape
-        n = {r: np.zeros(k, dtype=np.int64) for r in centres}
-        total = {r: np.zeros((k, dim), dtype=np.int64) for r in centres}
-        inertia = {r: np.zeros(k) for r in centres}
+        every = np.concatenate(list(centres.values()))  # all runs' centroids, for one product
+        n = np.zeros(len(every), dtype=np.int64)
+        total, inertia = np.zeros((len(every), dim), dtype=np.int64), np.zeros(len(every))
         for batch in _slices(batches):
             x = np.rint(_matrix(batch, dim) * GRAIN)
-            for r, c in centres.items():
-                d = _apart(x, c)
-                own = d.argmin(axis=1)
-                n[r] += np.bincount(own, minlength=k)
-                inertia[r] += np.bincount(own, weights=d[np.arange(len(d)), own], minlength=k)
-                np.add.at(total[r], own, x.astype(np.int64))
-        rows = [(r, c, int(n[r][c]), float(inertia[r][c]), total[r][c].tolist()) for r in centres for c in range(k)]
+            d = _apart(x, every).reshape(len(x), len(centres), k)
+            own = d.argmin(axis=2)
+            member = np.zeros((len(x), len(every)))
+            member[np.arange(len(x))[:, None], own + np.arange(len(centres)) * k] = 1.0
+            n += member.sum(axis=0).astype(np.int64)
+            inertia += (member * d.reshape(len(x), -1)).sum(axis=0)
+            total += (member.T @ x).astype(np.int64)  # whole numbers below 2**53, so exact in any order
+        rows = [(r, c, int(n[j]), float(inertia[j]), total[j].tolist()) for i, r in enumerate(centres) for c, j in enumerate(range(i * k, i * k + k))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["run", "cluster", "n", "inertia", "total"])
 
     return run
