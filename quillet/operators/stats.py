@@ -13,6 +13,13 @@ def token_counts(rows: DataFrame, items: Column) -> DataFrame:
     return rows.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
+def top_words(rows: DataFrame, text: str, id_field: str, k: int = 20) -> DataFrame:
+    """word and n of the ``k`` most frequent words, ties to the one that comes first, in order of id."""
+    each = rows.select(F.col(id_field).alias("id"), F.posexplode(T.words(F.col(text))).alias("pos", "word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    return counts.orderBy(F.desc("n"), "first").limit(k).select("word", "n")
+
+
 def diversity(counts: DataFrame) -> DataFrame:
     """n_tokens, vocabulary, type-token ratio (root ratio above 1000 tokens) and Shannon entropy
     in bits, from one pass over the counts."""
