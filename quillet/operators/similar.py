@@ -157,3 +157,14 @@ def leaders(edges: DataFrame, ids: DataFrame) -> DataFrame:
         settled, followers = state.where("leader IS NOT NULL"), state.where("leader <> id")
         open_ = open_.join(settled.select(F.col("id").alias("b")), "b", "left_anti").join(followers.select(F.col("id").alias("a")), "a", "left_anti")
         open_ = shared.cut(open_.select("a", "b"))
+
+
+def similar_groups(rows: DataFrame, percent: int = 80, text: str = "text", id_field: str = "doc_id") -> DataFrame:
+    """id and leader of every row: greedy groups of similar sets of normalised words, in order of id (:func:`leaders`). Rows of
+    equal sets follow the same leader, those without a word are one group. Ids are unique and not null; distinct sets are
+    paired and led, and each row then gets its set's leader, by a key that is unique on the other side."""
+    words = F.array_sort(F.array_distinct(F.array_remove(F.split(T.normal(F.col(text)), r"\s+"), "")))
+    keyed = shared.cut(rows.select(F.col(id_field), F.sha2(F.array_join(words, " "), 256).alias("k")))
+    sets = keyed.groupBy("k").agg(F.min(id_field).alias("id"))
+    led = leaders(jaccard_pairs(rows, percent, text, id_field), sets.select("id"))
+    return keyed.join(sets.join(led, "id").select("k", "leader"), "k").select(id_field, "leader")

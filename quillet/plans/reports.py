@@ -161,6 +161,9 @@ QUERIES = {
     "minhash_first": lambda s, d: similar.lsh_groups(_docs(s, d)),
     "jaccard_pairs": _jaccard,
     "jaccard_leaders": _leaders,
+    "jaccard_groups": lambda s, d: similar.similar_groups(_docs(s, d)),
+    "augment_paraphrase": lambda s, d: _docs(s, d).select("doc_id", _md5(augment.paraphrased(F.col("text"), F.col("doc_id"))).alias("digest")),
+    "augment_all_totals": lambda s, d: augment.augmented_totals(augment.augmented(_docs(s, d).select("doc_id", "text"), copies=2)),
     "self_bleu_2": lambda s, d: stats.self_bleu(_turns(s, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "text", "id", 2, 100),
 }
 
@@ -206,7 +209,20 @@ _SAID = f"""q AS (SELECT id, CASE k WHEN 2 THEN [messages[2].content] WHEN 3 THE
 _DIVERSITY = """(SELECT count(*) AS v, round(CASE WHEN sum(n) > 1000 THEN count(*) / sqrt(sum(n)) ELSE count(*) / sum(n) END, 6) AS t, round(log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n), 6) AS e FROM (SELECT count(*) AS n FROM (SELECT unnest({0}) AS w FROM {1}) GROUP BY w))"""
 _SIMPSON = "(SELECT round(1 - sum(n * n)::DOUBLE / (sum(n) * sum(n))::DOUBLE, 6) AS d FROM (SELECT count(*) AS n FROM {1} WHERE {0} IS NOT NULL GROUP BY {0}))"
 
+
+
+def _paraphrase_sql() -> str:
+    """One nested step a pattern, each with its own chance."""
+    order = ", ".join(f"{{'r': {_chance(f"'pattern:' || {i}", '4294967296')}, 'i': {i}}}" for i in range(len(augment.PARAPHRASES)))
+    rows = f"SELECT doc_id, text, lower(text) AS t, list_transform(list_sort([{order}])[1:{len(augment.PARAPHRASES) // 2}], lambda x: x.i) AS chosen FROM documents"
+    for i, (pattern, new) in enumerate(augment.PARAPHRASES):
+        first = "\\1" + new.replace("\\1", "\\2").replace("'", "''")
+        rows = f"SELECT doc_id, text, chosen, CASE WHEN list_contains(chosen, {i}) AND {_chance(f"'try:{i}'", '2')} = 0 THEN regexp_replace(t, '(?s)^(.*?){pattern}', '{first}') ELSE t END AS t FROM ({rows})"
+    return f"""SELECT doc_id, md5(coalesce(CASE WHEN t = lower(text) THEN text WHEN regexp_matches(text[1:1], '\\p{{Lu}}') THEN upper(t[1:1]) || t[2:] ELSE t END, '')) AS digest FROM ({rows})"""
+
+
 ORACLE_SQL = {
+    "augment_paraphrase": _paraphrase_sql(),
     "reviews_latest": f"WITH {_RV} SELECT dataset_id, example_id, review_id, status FROM la",
     "reviews_approved": f"WITH {_RV} SELECT dataset_id, example_id FROM la WHERE status = 'approved'",
     "review_summary": f"WITH {_RV}, n AS (SELECT dataset_id, count(*) AS n_reviews FROM rv GROUP BY 1) SELECT dataset_id, any_value(n_reviews) AS n_reviews, count(*) AS n_examples, {', '.join(f'''count(*) FILTER (status = '{x}') AS {x}''' for x in collaboration.STATES)} FROM la JOIN n USING (dataset_id) GROUP BY 1",
