@@ -42,11 +42,13 @@ def _both(p: str, q: str) -> str:
     return f"{_TERM.format(a=p, b=q)} + {_TERM.format(a=q, b=p)}"
 
 
-OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lower(lang), '{quality.REST}') AS lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
     each AS (SELECT r, lang, unnest(w) AS word FROM t),
-    counts AS (SELECT lang, word, count(*) AS n FROM each WHERE lang IS NOT NULL AND length(word) <= {quality.COMMON_CHARS} GROUP BY 1, 2),
-    sizes AS (SELECT lang, sum(n) AS total, sum(sum(n)) OVER () AS whole FROM counts GROUP BY 1 QUALIFY total >= {quality.MIN_LANG_WORDS} AND total >= {quality.MIN_LANG_SHARE} * whole),
-    top AS (SELECT lang, word, n / (SELECT count(*) FROM each WHERE each.lang = counts.lang) AS q FROM counts JOIN sizes USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {quality.COMMON}),
+    langs AS (SELECT lang, count(*) AS total, sum(count(*)) OVER () AS whole FROM each WHERE lang <> '{quality.REST}' GROUP BY 1 QUALIFY total >= {quality.MIN_LANG_WORDS} AND total >= {quality.MIN_LANG_SHARE} * (SELECT count(*) FROM each)),
+    belong AS (SELECT r, CASE WHEN lang IN (SELECT lang FROM langs) THEN lang ELSE '{quality.REST}' END AS lang FROM t),
+    counts AS (SELECT belong.lang, word, count(*) AS n FROM each JOIN belong USING (r) GROUP BY 1, 2),
+    sizes AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1 HAVING sum(n) >= {quality.MIN_LANG_WORDS}),
+    top AS (SELECT lang, word, n / total AS q FROM counts JOIN sizes USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {quality.COMMON}),
     lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
     grams AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
     twice AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
@@ -55,7 +57,7 @@ OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS l
         coalesce(n, 0) AS n_repeat_words, len(text) AS size, len(regexp_extract_all(text, '\p{{Lu}}')) AS upper, len(regexp_extract_all(text, '[.,;:?!''"()-]')) AS stops,
         len(regexp_extract_all(text, '[^\p{{L}}\t\n\x0B\f\r .,;:?!''"()-]')) AS marks FROM t JOIN lines USING (r) LEFT JOIN repeated USING (r)),
     c AS (SELECT r, unnest(range(5)) AS k, unnest([word_chars - upper - stops - marks, upper, stops, marks, size - word_chars]) AS n, size FROM f),
-    rc AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM c JOIN f USING (r) WHERE lang IN (SELECT lang FROM sizes) GROUP BY 1, 2),
+    rc AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM c JOIN belong USING (r) WHERE lang IN (SELECT lang FROM sizes) GROUP BY 1, 2),
     dc AS (SELECT r, lang, sqrt(greatest(0, sum({_both('p', 'q')}) / 2)) AS d FROM (SELECT r, rc.lang, n / size AS p, q FROM c JOIN rc USING (k) WHERE size > 0) GROUP BY 1, 2),
     own AS (SELECT r, word, count(*) AS n FROM each WHERE word IN (SELECT word FROM top) GROUP BY 1, 2),
     pw AS (SELECT f.r, top.lang, coalesce(own.n, 0) / n_words AS p, q FROM f JOIN top ON n_words > 0 LEFT JOIN own ON own.r = f.r AND own.word = top.word),
@@ -63,7 +65,7 @@ OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, lower(lang) AS l
     dw AS (SELECT r, lang, sqrt(greatest(0, (s + {_both('p', 'q')}) / 2)) AS d FROM sw),
     near AS (SELECT r, bool_or((word_chars < {quality.MIN_CHARS} OR dc.d <= {quality.MAX_CHARS}) AND (n_words < {quality.MIN_WORDS} OR dw.d <= {quality.MAX_WORDS})) AS near FROM f JOIN dc USING (r) JOIN dw USING (r) WHERE dc.lang = dw.lang GROUP BY 1)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ((SELECT count(*) FROM sizes) = 0 OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM sizes)) OR near) AS kept FROM f LEFT JOIN near USING (r)"""
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ((SELECT count(*) FROM sizes) = 0 OR near) AS kept FROM f LEFT JOIN near USING (r)"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -1,10 +1,11 @@
 """Operator 6, quality rules by divergence from language references. Built-in functions only.
 
 Each text has a histogram of character classes and one of common words. Every language of which
-the corpus holds enough is a reference: its 16 most frequent words, their shares, and the shares
-of the character classes, all counted over all its texts. A text is kept if, for some language,
-the Jensen-Shannon distances of both histograms stay under their limits; a histogram of too
-little text is not judged, nor is a text in a language without a reference.
+the corpus holds enough is a reference, and all other texts together are one more: its 16 most
+frequent words, their shares, and the shares of the character classes, all counted over all its
+texts. A text is kept if, for some reference, the Jensen-Shannon distances of both histograms
+stay under their limits, whatever its own language is said to be; a histogram of too little text
+is not judged.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from quillet.llm.common import table, written
 
-#: Words of a language that make its reference: its most frequent ones of so many characters at most.
-COMMON, COMMON_CHARS = 16, 5
-#: A language with fewer of these words, or a smaller share of them, is no reference. So there
-#: are 1000 references at most, whatever stands in ``lang``.
-MIN_LANG_WORDS, MIN_LANG_SHARE = 1000, 0.001
+#: Words of a language that make its reference: its most frequent ones.
+COMMON = 16
+#: A language with fewer words, or a smaller share of all, is no reference of its own; its texts, and those
+#: without a language, belong to ``REST``. So there are 1001 references at most, whatever stands in ``lang``.
+MIN_LANG_WORDS, MIN_LANG_SHARE, REST = 1000, 0.001, "und"
 #: Histograms of fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Greatest distances (from 0 to 1) of a text that is kept.
@@ -35,20 +36,29 @@ def _words(text: Column) -> Column:
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``row`` (all columns), ``text`` and ``lang``: whatever the columns are called, none clashes."""
-    lang = F.lower("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    lang = F.coalesce(F.lower("lang"), F.lit(REST)) if "lang" in docs.columns else F.lit(REST)
     return docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """lang, word and count of the most frequent short words of each reference language, as written."""
-    each = _packed(docs).where("lang IS NOT NULL").select("lang", F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") <= COMMON_CHARS)
+def _belonging(rows: DataFrame, langs: DataFrame) -> DataFrame:
+    """``rows`` with the language replaced by the reference that it counts for; ``langs``: 1000 at most."""
+    return rows.join(F.broadcast(langs.select("lang", F.col("lang").alias("ref"))), "lang", "left").withColumn("lang", F.coalesce("ref", F.lit(REST))).drop("ref")
+
+
+def common_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lang, word and count of the most frequent words of each reference, as written, and the languages that are
+    references of their own."""
+    each = _packed(docs).select("lang", F.explode(_words(F.col("text"))).alias("word"))
     counts = written(each.groupBy("lang", "word").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     whole = sizes.agg(F.sum("total").alias("whole"))  # one row
-    sizes = sizes.join(F.broadcast(whole)).where((F.col("total") >= MIN_LANG_WORDS) & (F.col("total") >= MIN_LANG_SHARE * F.col("whole")))
+    large = (F.col("total") >= MIN_LANG_WORDS) & (F.col("total") >= MIN_LANG_SHARE * F.col("whole")) & (F.col("lang") != REST)
+    langs = written(sizes.join(F.broadcast(whole)).where(large).select("lang"))
+    rest = _belonging(counts, langs).where(F.col("lang") == REST).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = counts.join(F.broadcast(langs), "lang", "left_semi").unionByName(rest)
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= COMMON)
-    return top.join(F.broadcast(sizes), "lang").select("lang", "word", "n")  # 1000 languages at most
+    return top.select("lang", "word", "n"), langs
 
 
 def features(docs: DataFrame, common: list[str]) -> DataFrame:
@@ -134,18 +144,19 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds to ``docs`` n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
-    kept: not base_failed, and near to a language reference; where no language has enough text,
-    or the row's own lang has not, only base_failed decides, and rows without a lang (or a table
-    without that column) are compared with all references. Null and empty texts fail. Repeated
+    kept: not base_failed, and near to a reference; where nothing has enough text to be one, only
+    base_failed decides. All rows are compared with all references, also those whose lang has no
+    reference of its own, is null, or is no column of the table. Null and empty texts fail. Repeated
     rows count as often as they stand. Columns with names of the added ones are replaced; an
     empty table gives no rows. ``keep``: the columns of ``docs`` that are returned, by default all.
     """
     docs = docs.drop(*ADDED, "base_failed", "kept")
-    words = written(common_words(docs))
+    words, langs = common_words(docs)
+    words = written(words)
     common = sorted({r["word"] for r in words.select("word").distinct().collect()})  # COMMON * 1000 words at most
     rows = features(docs, common)
     rows = written(rows if keep is None else rows.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in keep))))
-    sums = rows.where("lang IS NOT NULL").groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"), F.sum("n_words").alias("total"))
+    sums = _belonging(rows.select("lang", "chars", "n_words"), langs).groupBy("lang").agg(F.array(*(F.sum(F.col("chars")[i]) for i in range(5))).alias("chars"), F.sum("n_words").alias("total")).where(F.col("total") >= MIN_LANG_WORDS)
     shares = words.join(sums.select("lang", "total"), "lang").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", F.try_divide("n", "total")))).alias("words"))
     each = shares.join(sums, "lang").select("lang", F.transform("chars", lambda x: F.try_divide(x, _total(F.col("chars")))).alias("chars"), "words")
     references = each.agg(F.collect_list(F.struct("lang", "chars", "words")).alias("references"))  # one row, 1000 entries at most
@@ -155,10 +166,9 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def near(r: Column) -> Column:
         return (~judged_chars | (distance(F.col("p"), r["chars"]) <= MAX_CHARS)) & (~judged_words | (word_distance(F.col("found"), F.col("n_words"), r["words"]) <= MAX_WORDS))
 
-    known = F.coalesce(F.exists("references", lambda r: r["lang"] == F.col("lang")), F.lit(True))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.withColumn("p", p).crossJoin(F.broadcast(references))  # by one row
-    fits = (F.size("references") == 0) | ~known | F.exists("references", near)
+    fits = (F.size("references") == 0) | F.exists("references", near)
     decided = out.select("row", *ADDED, failed.alias("base_failed"), (~failed & fits).alias("kept"))
     return decided.select("row.*", *ADDED, "base_failed", "kept")  # whatever the row's columns are called
 

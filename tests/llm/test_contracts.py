@@ -296,3 +296,19 @@ def test_random_calls_stand_in_their_needs_order(spark, monkeypatch):
         for i, r in enumerate(found):
             if r.kind == "result" and r.state == "linked" and r.call_id in ranks:
                 assert found[i - 1].call_id == r.call_id and found[i - 1].kind == "call"
+
+
+def test_texts_decide_and_not_their_language(spark):
+    """A language of long words is a reference; junk goes whatever its lang says; rare and unnamed languages are judged."""
+    draw = np.random.default_rng(3)
+    syllables = ["lona", "mira", "peto", "savi", "dure", "kola"]
+    words = [a + b for a in syllables for b in syllables]
+    weights = 1 / np.arange(1, len(words) + 1)
+    text = lambda: " ".join(draw.choice(words, 300, p=weights / weights.sum()).tolist())
+    junk = lambda: " ".join("".join(draw.choice(list("Q#1$X%7&Z9@"), 8).tolist()) for _ in range(300))
+    rows = [(i, text(), "zz") for i in range(60)] + [(100, junk(), "zz"), (101, junk(), "xx"), (102, junk(), None), (103, text(), "xx"), (104, text(), None)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in (100, 101, 102)) and got[103] and got[104]
+    bare = spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang")
+    alone = {r.doc_id: r.kept for r in quality.judged(bare).collect()}
+    assert alone[0] and not alone[100]
