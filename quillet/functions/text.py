@@ -112,3 +112,19 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def filled(template: Column, values: dict[str, Column], defaults: dict[str, str] | None = None, marks: tuple[str, str] = ("{{", "}}")) -> Column:
+    """The template, a column, with each name between ``marks`` replaced by its value, or where that is null by its default;
+    a name without either stays as it is. With single marks, ``{name}``, the same for the plainer kind."""
+    out, given = template, defaults or {}
+    for name, value in values.items():
+        known = F.coalesce(value.cast("string"), F.lit(given.get(name)).cast("string"))
+        out = F.coalesce(F.replace(out, F.lit(marks[0] + name + marks[1]), known), out)
+    return out
+
+
+def missing(values: dict[str, Column], defaults: dict[str, str], required: list[str]) -> Column:
+    """The required names that have neither value nor default, in order."""
+    lacks = lambda n: values[n].isNull() if n in values else F.lit(True)
+    return F.array_compact(F.array(*(F.when(lacks(n), F.lit(n)) for n in required if n not in defaults)).cast("array<string>"))

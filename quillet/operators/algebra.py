@@ -97,3 +97,10 @@ def resolve(one: DataFrame, two: DataFrame, key: str, how: str = "keep_both") ->
 def concatenated(versions: list[DataFrame]) -> DataFrame:
     """All rows of several tables, each with its table's ordinal; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("source_no", F.lit(i)) for i, df in enumerate(versions)))
+
+
+def outcome(one: DataFrame, two: DataFrame, key: str, strategy: str = "union") -> DataFrame:
+    """One row about a merge: n_merged, n_conflicts and success, which a union or intersection has without conflicts only and a
+    preference always."""
+    found = merge(one, two, key, strategy).agg(F.count("*").alias("n_merged"), F.count_if("conflict").alias("n_conflicts"))
+    return found.withColumn("success", F.lit(True) if strategy.startswith("prefer") else F.col("n_conflicts") == 0)

@@ -127,3 +127,16 @@ def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a hash of a table's content that does not depend on the rows' order."""
     each = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.md5(F.coalesce(F.sum(each), F.lit(0)).cast("string").cast("binary")).alias("hash"), F.count("*").alias("n"))
+
+
+def version_history(versions: DataFrame) -> DataFrame:
+    """Each version beside the one before it of its dataset: examples_count_diff and is_same_content, null for the first."""
+    by_number = Window.partitionBy("dataset_id").orderBy("version_number")
+    before = lambda c: F.lag(c).over(by_number)
+    return versions.select("dataset_id", "version_number", "examples_count", (F.col("examples_count") - before("examples_count")).alias("examples_count_diff"), (F.col("examples_hash") == before("examples_hash")).alias("is_same_content"))
+
+
+def versions_compared(one: DataFrame, two: DataFrame) -> DataFrame:
+    """dataset_id, examples_count_diff and is_same_content of a version of each dataset in both tables."""
+    both = one.alias("a").join(two.alias("b"), "dataset_id")
+    return both.select("dataset_id", (F.col("b.examples_count") - F.col("a.examples_count")).alias("examples_count_diff"), (F.col("a.examples_hash") == F.col("b.examples_hash")).alias("is_same_content"))

@@ -68,3 +68,12 @@ def invalid_turns(turns: DataFrame) -> DataFrame:
     known = F.col("role").isin("system", "user", "assistant", "function")
     issue = F.when(F.col("role").isNull(), "missing_role").when(F.col("text").isNull(), "missing_content").when(~known, "unknown_role")
     return turns.select("conv_id", "turn", issue.alias("issue")).where("issue IS NOT NULL")
+
+
+def with_metadata(turns: DataFrame, fields: dict[str, str], source: str = "synthetic") -> DataFrame:
+    """page_content as :func:`documents` makes it, and ``metadata`` as JSON: the source, the id, and those of ``fields``
+    (name to column of the turns, the first that is not null counts) that have a value."""
+    of = {name: F.first(column, ignorenulls=True).alias(name) for name, column in fields.items()}
+    own = turns.groupBy("conv_id").agg(*of.values())
+    packed = F.to_json(F.struct(F.lit(source).alias("source"), F.col("conv_id").alias("id"), *fields))
+    return documents(turns).join(own.select("conv_id", packed.alias("metadata")), "conv_id")

@@ -97,3 +97,12 @@ def majority(rows: DataFrame, field: str, order: str) -> DataFrame:
     """One row: the most frequent value of a field; of equally frequent ones that which comes first in ``order``."""
     counts = rows.where(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counts.agg(F.max_by(field, F.struct("n", -F.col("first"))).alias(field))
+
+
+def coverage(rows: DataFrame, fields: list[str], k: int = 10) -> DataFrame:
+    """field, value and n: the ``k`` most frequent values of each field, ties to the smaller, nulls left out. The fields are
+    counted in one pass, with partial counts in each task."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    counts = rows.select(F.explode(each).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= k).drop("place")

@@ -61,3 +61,8 @@ def score(rows: DataFrame, text: str = "text", domain: str = "source", metadata:
     out = out.withColumn("consistency", F.lit(100.0 if T.format_of(rows.columns) != "unknown" else 60.0))
     overall = sum(w * F.col(n) for n, w in WEIGHTS.items())
     return out.select(*(F.round(n, 4).alias(n) for n in WEIGHTS), F.round(overall, 1).alias("overall"), T.grade(overall).alias("grade"))
+
+
+def sided(found: DataFrame) -> DataFrame:
+    """Adds ``side``, clean or toxic, to what :func:`detect` gives; a filter on it is either half of the table."""
+    return found.withColumn("side", F.when(F.col("is_toxic"), "toxic").otherwise("clean"))

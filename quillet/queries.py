@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text as T
 from quillet.operators import algebra, dedup, export, stats
-from quillet.plans import catalog, clusters, curation, evaluation, examples, privacy, quality_reports, reports, streams
+from quillet.plans import catalog, clusters, curation, details, evaluation, examples, privacy, quality_reports, reports, streams
 
 FLAGSHIP = "exact_duplicates"
 
@@ -68,7 +68,7 @@ QUERIES = {
     "apply_patch": _patched,
     "to_qa_pairs": lambda s, d: export.qa_pairs(_turns(s, d)).select("conv_id", F.md5(F.col("question").cast("binary")).alias("question"), F.md5(F.col("answer").cast("binary")).alias("answer")),
     "chunk_documents": lambda s, d: export.chunks(_docs(s, d)).select("doc_id", "chunk", "n_chunks", F.md5(F.col("piece").cast("binary")).alias("digest")),
-    **curation.QUERIES, **clusters.QUERIES, **streams.QUERIES, **quality_reports.QUERIES, **privacy.QUERIES, **evaluation.QUERIES, **catalog.QUERIES,
+    **curation.QUERIES, **clusters.QUERIES, **streams.QUERIES, **quality_reports.QUERIES, **privacy.QUERIES, **evaluation.QUERIES, **catalog.QUERIES, **details.QUERIES,
     **examples.QUERIES,
     **reports.QUERIES,
 }
@@ -135,5 +135,5 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, text, len(starts) AS n_chunks, unnest(starts) AS pos FROM s)
         SELECT doc_id, (pos // 800)::BIGINT AS chunk, n_chunks, md5(substring(text, (pos + 1)::BIGINT, 1000)) AS digest FROM e""",
 }
-for _more in (curation, examples, reports, clusters, streams, quality_reports, privacy, evaluation, catalog):
+for _more in (curation, examples, reports, clusters, streams, quality_reports, privacy, evaluation, catalog, details):
     ORACLE_SQL |= _more.ORACLE_SQL
