@@ -373,12 +373,14 @@ def replace_entities(docs: DataFrame, key: str, check: bool = True) -> DataFrame
         if longer == 40:
             raise ValueError(f"surrogates that stand for several entities: {[tuple(r) for r in met.limit(5).collect()]}")
         longer += 10
-    docs = docs.drop("n_entities")
+    # a row travels as one column, so that no name of a helper column can clash with its own
+    docs = docs.drop("n_entities").select(F.struct("*").alias("row"), "text")
     unsaid = F.coalesce(F.col("text").rlike(_UNGENDERED), F.lit(False))
-    if docs.where(unsaid).isEmpty():
-        return _replaced(docs.withColumn("genders__", _no_genders()), key, longer)
-    said = docs.where(~unsaid).withColumn("genders__", _no_genders())
-    return _replaced(said, key, longer).unionByName(_replaced(_with_genders(docs.where(unsaid), docs), key, longer))
+    none = docs.where(unsaid).isEmpty()
+    out = _replaced((docs if none else docs.where(~unsaid)).withColumn("genders__", _no_genders()), key, longer)
+    if not none:
+        out = out.unionByName(_replaced(_with_genders(docs.where(unsaid), docs), key, longer))
+    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_entities").select("row.*", "n_entities")
 
 
 #: The pipeline's and the query's key; a deployment passes its own.

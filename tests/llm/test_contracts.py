@@ -312,3 +312,13 @@ def test_texts_decide_and_not_their_language(spark):
     bare = spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang")
     alone = {r.doc_id: r.kept for r in quality.judged(bare).collect()}
     assert alone[0] and not alone[100]
+
+
+def test_surrogates_keep_every_column(spark):
+    rows = [(1, "Mail a@b.cd or Mr Jon Smith", 7), (2, None, 8), (3, "Dr Jon Smith and nothing else", None)]
+    names = ["found__", "new__", "names__", "genders__", "text__", "row", "n_entities"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int").select("*", *(F.lit(n).alias(n) for n in names))
+    got = {r.doc_id: r.asDict() for r in pii.replace_entities(df, "k").collect()}
+    plain = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(df.select("doc_id", "text"), "k").collect()}
+    assert all(set(r) == set(df.columns) and all(r[n] == n for n in names[:-1]) for r in got.values())
+    assert {i: (r["text"], r["n_entities"]) for i, r in got.items()} == plain and [got[i]["x"] for i in (1, 2, 3)] == [7, 8, None]
