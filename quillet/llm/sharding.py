@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import table, written
+from quillet.llm.common import join_hot, table, written
 
 #: Leading hexadecimal digits of the order that name a bucket. Groups too large to be kept whole
 #: are dealt to 256 parts of their bucket: 4096 * 257 totals of 32 bytes at most (34 MB), whatever
@@ -45,7 +45,7 @@ def shards(docs: DataFrame, n_shards: int) -> DataFrame:
     big = rows.groupBy("h").agg(F.sum("size").alias("group_size")).where(F.col("group_size") > largest)
     own = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10)
     deal = F.when(F.col("group_size").isNull(), 0).otherwise(1 + own.cast("int"))
-    dealt = rows.join(big, "h", "left").select(
+    dealt = join_hot(rows, big, "h", "left").select(
         "doc_id", "size", "text_crc32", "h", F.substring("h", 1, BUCKET_DIGITS).alias("bucket"), deal.alias("part")
     )
     place = Window.partitionBy("bucket", "part")
