@@ -2,7 +2,7 @@
 
 A lexicon trie is intersected with the Levenshtein automaton of each word: the product's states
 are sets of (trie node, edits so far), made when first met and kept, so a word costs one look-up
-a letter and most words die after two or three. The lexicon is learned from the labels: words of
+a letter and most words die after three or four. The lexicon is learned from the labels: words of
 which the toxic learning rows have many and the others hardly any. What a term says about the
 label, by how it was written (exactly, in lookalike characters, within some edits) and whether it
 stands in a quoting context, is counted over all labelled learning rows. A document's score joins
@@ -44,7 +44,7 @@ _HITS = "doc_id long, hits array<struct<term: string, kind: string, quoted: bool
 
 class Automaton:
     """All words within the allowed edits of a lexicon term. Terms under 5 letters allow none,
-    those of 9 or more two, others one; the first letter must be right."""
+    those of 9 or more two, others one, in any place."""
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -62,8 +62,8 @@ class Automaton:
                 self.allowed[node] = max(self.allowed[node], allowed)
             self.ends[node] = term
         self.terms = frozenset(self.ends.values())
-        self.states: list[dict[int, int]] = [{0: 0}]
-        self.numbers = {frozenset({(0, 0)}): 0}
+        self.states: list[dict[int, int]] = [self._skips({0: 0})]
+        self.numbers = {frozenset(self.states[0].items()): 0}
         self.steps: dict[tuple[int, str], int] = {}
 
     def _skips(self, state: dict[int, int]) -> dict[int, int]:
@@ -71,7 +71,7 @@ class Automaton:
         todo = list(state.items())
         while todo:
             node, edits = todo.pop()
-            if node and edits < self.allowed[node]:
+            if edits < self.allowed[node]:
                 for child in self.children[node].values():
                     if edits + 1 <= self.allowed[child] and edits + 1 < state.get(child, 9):
                         state[child] = edits + 1
@@ -81,10 +81,8 @@ class Automaton:
     def _step(self, number: int, letter: str) -> int:
         out: dict[int, int] = {}
         for node, edits in self.states[number].items():
-            moves = [(child, edits + (own != letter and node > 0)) for own, child in self.children[node].items() if node or own == letter]
-            if node:
-                moves.append((node, edits + 1))
-            for to, n in moves:
+            moves = [(child, edits + (own != letter)) for own, child in self.children[node].items()]
+            for to, n in [*moves, (node, edits + 1)]:
                 if n <= self.allowed[to] and n < out.get(to, 9):
                     out[to] = n
         out = self._skips(out)
@@ -106,7 +104,7 @@ class Automaton:
                 return None
         found = [
             (edits, self.ends[node]) for node, edits in self.states[number].items()
-            if node in self.ends and edits <= self.allowed[node] and (edits == 0 or edits <= self._own(self.ends[node]))
+            if node in self.ends and edits <= self._own(self.ends[node])
         ]
         return min(found)[1] if found else None
 

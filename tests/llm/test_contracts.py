@@ -105,6 +105,18 @@ def test_shards_are_balanced(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_a_text_of_half_the_rows_is_dealt_and_joined_in_parts(spark, monkeypatch):
+    taken = []
+    join = sharding.join_hot
+    monkeypatch.setattr(sharding, "join_hot", lambda left, *more: taken.append(join(left, *more)) or taken[-1])
+    rows = [(i, "the same text" if i % 2 else f"text {i % 300}") for i in range(6000)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    size = collections.Counter(r.shard for r in got for _ in range(r["size"]))
+    largest = max(r["size"] for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(6000)) and max(size.values()) - min(size.values()) <= 4 * largest
+    assert len(taken) == 1 and taken[0].where("group_size IS NOT NULL").count() == 6000  # every text here is a large group
+
+
 def test_hot_columns_in_blocks_give_the_same_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_BLOCK_ROWS", 3)
     monkeypatch.setattr(jaccard, "_FEW", 0)
@@ -202,17 +214,16 @@ def test_edits_are_those_of_levenshtein():
         return row[-1]
 
     draw = np.random.default_rng(4)
-    terms = ["stupid", "worthless", "scum", "pathetic", "disgusting"]
+    terms = ["stupid", "stupids", "worthless", "scum", "pathetic", "empathetic", "disgusting"]
     automaton = toxicity.Automaton(terms)
     for _ in range(2000):
         word = list(draw.choice(terms))
         for _ in range(int(draw.integers(0, 4))):
-            at = int(draw.integers(1, len(word) + 1))
+            at = int(draw.integers(0, len(word) + 1))
             word[at : at + int(draw.integers(0, 2))] = list(draw.choice(["", "a", "s", "t"]))
         word = "".join(word)
-        within = [t for t in terms if t[0] == word[:1] and distance(word, t) <= automaton._own(t)]
-        found = automaton.nearest(word)
-        assert (found is None) == (not within) and (found is None or found in within)
+        within = sorted((distance(word, t), t) for t in terms if distance(word, t) <= automaton._own(t))
+        assert automaton.nearest(word) == (within[0][1] if within else None)
 
 
 def test_labels_of_held_out_rows_change_nothing(spark):
