@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillet.sources import shared
 
+#: Rows that one task may sort and number.
+_FEW = 100_000
+
 
 def ordinals(rows: DataFrame, key: str) -> DataFrame:
     """``idx`` from 0 in order of a key (null keys first; equal ones in any order).
@@ -42,8 +45,10 @@ def round_robin(rows: DataFrame, key: str, workers: int) -> DataFrame:
 
 
 def budget(rows: DataFrame, key: str, count: int, factor: float, cap: int) -> DataFrame:
-    """The rows that a budget of min(int(count * factor), cap) calls reaches."""
-    return ordinals(rows, key).where(F.col("idx") < min(int(count * factor), cap))
+    """The rows that a budget of min(int(count * factor), cap) calls reaches. Up to ``_FEW`` each task keeps
+    no more rows than that; larger budgets number the table."""
+    n = max(0, min(int(count * factor), cap))
+    return page(rows, key, 0, n) if n <= _FEW else ordinals(rows, key).where(F.col("idx") < n)
 
 
 def sample(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:

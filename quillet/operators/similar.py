@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -117,19 +118,34 @@ def lsh_groups(rows: DataFrame, text: str = "text", id_field: str = "doc_id", ba
     return found.groupBy(id_field).agg(F.min("first").alias("first"))
 
 
+def _size_class(percent: int) -> Column:
+    """The class of a set of ``n``: of two sets that reach ``percent``, the larger one's class is the smaller
+    one's or the next. Classes are wider by a little than need be, so that rounding parts no pair."""
+    if not 0 < percent < 100:
+        return F.lit(0).cast("long") if percent <= 0 else F.col("n").cast("long")
+    return F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
+
+
 def jaccard_pairs(rows: DataFrame, percent: int, text: str = "text", id_field: str = "doc_id") -> DataFrame:
     """Ids a < b of rows whose sets of normalised words reach a similarity of ``percent`` hundredths; distinct
     sets only: of rows with the same set the least id stands for all. A set's words are ordered by
-    how rare they are; two sets that reach the bound share one of the first ``n - ceil(t n) + 1``."""
+    how rare they are; two sets that reach the bound share one of the larger's first ``n - ceil(t n) + 1`` and
+    of the smaller's first ``n - ceil(2 t n / (1 + t)) + 1``, and their sizes are of one class or of
+    neighbouring ones, so that a word many sets begin with is met by size."""
     sets = rows.select(F.array_sort(F.array_distinct(F.array_remove(F.split(T.normal(F.col(text)), r"\s+"), ""))).alias("words"), id_field)
     sets = shared.cut(sets.groupBy("words").agg(F.min(id_field).alias("id")).where(F.size("words") > 0).withColumn("n", F.size("words")))
     each = sets.select("id", "n", F.explode("words").alias("word"))
     counts = each.groupBy("word").agg(F.count("*").alias("m"))
     place = Window.partitionBy("id").orderBy("m", "word")
     first = each.join(counts, "word").withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    a, b = (first.select("word", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("place").alias(f"p_{i}")) for i in "ab")
-    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    met = a.join(b, "word").where("a < b").where((100 + percent) * (F.least("p_a", "p_b") + left) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    first = shared.cut(first.select("word", "id", "n", "place"))
+    side = lambda i: [F.col("id").alias(f"id_{i}"), F.col("n").alias(f"n_{i}"), F.col("place").alias(f"p_{i}")]
+    small = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).select("word", F.explode(F.array(_size_class(percent), _size_class(percent) + 1)).alias("class"), *side("s"))
+    large = first.select("word", _size_class(percent).alias("class"), *side("l"))
+    left = F.least(F.col("n_s") - F.col("p_s"), F.col("n_l") - F.col("p_l"))
+    near = (100 * F.col("n_s") >= percent * F.col("n_l")) & ((100 + percent) * (F.least("p_s", "p_l") + left) >= percent * (F.col("n_s") + F.col("n_l")))
+    met = small.join(large, ["word", "class"]).where((F.struct("n_s", "id_s") < F.struct("n_l", "id_l")) & near)
+    met = met.select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).distinct()
     words = lambda i: sets.select(F.col("id").alias(i), F.col("words").alias(f"w_{i}"))
     both = met.join(words("a"), "a").join(words("b"), "b")
     shared_words = F.size(F.array_intersect("w_a", "w_b"))

@@ -39,6 +39,29 @@ def test_leaders_are_those_of_a_scan(spark):
     assert {r.id: r.leader for r in got} == want
 
 
+@pytest.mark.parametrize("percent", [0, 34, 50, 75, 80, 100])
+def test_jaccard_pairs_are_those_of_brute_force(spark, percent):
+    import random
+
+    draw = random.Random(percent)
+    texts = [" ".join(["hot"] + draw.sample("abcdefghijklmnop", draw.choice([1, 2, 3, 4, 7, 8, 15, 16]))) for _ in range(150)] + ["hot", "hot", "", None]
+    sets = {}
+    for i, t in enumerate(texts):
+        if t:
+            sets.setdefault(frozenset(t.split()), i)
+    want = {tuple(sorted((i, j))) for a, i in sets.items() for b, j in sets.items() if i < j and a & b and 100 * len(a & b) >= percent * len(a | b)}
+    got = similar.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_budgets_reach_the_first_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "_FEW", few)
+    rows = spark.createDataFrame([(i,) for i in (9, 4, None, 7, 1)], "k long")
+    reached = lambda *limits: sorted((r.idx, r.k) for r in order.budget(rows, "k", *limits).collect())
+    assert reached(1, 2.9, 50) == [(0, None), (1, 1)] and len(reached(5, 3, 50)) == 5 and reached(5, 3, 0) == []
+
+
 def test_bands_find_copies_and_near_copies(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(1, base), (2, base), (3, base + " more"), (4, " ".join(f"v{i}" for i in range(200))), (5, None), (6, "two words"), (7, "two words")]
