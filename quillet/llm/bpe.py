@@ -5,9 +5,9 @@ leftmost pair of least rank, and with it, from left to right, all places of the
 do not overlap; closes the gaps and looks up the new neighbours. Rows without a known pair leave.
 
 The other places may go in the same round since a merge uncovers no pair of lower rank: where
-each token of a vocabulary is what its own bytes merge to (``tests/llm`` checks that of the rank
-files), its bytes have become that token before one of greater rank stands beside its rest. So
-pieces of any length, also single words of a megabyte, take one path.
+each token of a vocabulary is what its own bytes merge to, its bytes have become that token
+before one of greater rank stands beside its rest. ``closed`` tells whether that holds; where it
+does not, ``lone`` merges the leftmost place alone.
 """
 
 from __future__ import annotations
@@ -55,9 +55,11 @@ class PairTable:
         return at.reshape(shape)
 
 
-def _least_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _least_places(rank: np.ndarray, lone: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's least rank: of places that overlap the leftmost, then the
-    next that does not."""
+    next that does not; with ``lone`` the leftmost only."""
+    if lone:
+        return np.arange(len(rank)), rank.argmin(axis=1)
     hit = rank == rank.min(axis=1, keepdims=True)
     if (hit[:, 1:] & hit[:, :-1]).any():
         columns = np.arange(hit.shape[1])[None, :]
@@ -66,7 +68,7 @@ def _least_places(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(hit)
 
 
-def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: list, ids: np.ndarray) -> None:
+def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: list, ids: np.ndarray, lone: bool) -> None:
     """Merge the padded matrix ``rows``, whose pieces have the numbers ``ids``; append what leaves it to
     ``out`` as numbers, rows and lengths. ``rank`` holds at each place the rank of the pair that
     begins there."""
@@ -81,7 +83,7 @@ def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: li
             if not live.any():
                 return
             rows, rank, lengths, ids = rows[live], rank[live], lengths[live], ids[live]
-        r, c = _least_places(rank)
+        r, c = _least_places(rank, lone)
         rows[r, c] = pairs.merged[pairs.places(rows[r, c], rows[r, c + 1])]
         keep = np.arange(rows.shape[1])[None, :] < lengths[:, None]
         keep[r, c + 1] = False
@@ -101,8 +103,9 @@ def _merge_rows(rows: np.ndarray, lengths: np.ndarray, pairs: PairTable, out: li
             rank[who, where] = pairs.rank[pairs.places(rows[who, where], rows[who, where + 1])]
 
 
-def merge_flat(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
-    """Merge pieces given end to end in ``symbols``; returns their ids end to end, and how many each has."""
+def merge_flat(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable, lone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Merge pieces given end to end in ``symbols``; returns their ids end to end, and how many each has.
+    ``lone``: one place of each row in a round, for vocabularies that are not closed."""
     out: list = []
     starts = np.cumsum(lengths) - lengths
     lower, longest = 0, int(lengths.max()) if len(lengths) else 0
@@ -117,7 +120,7 @@ def merge_flat(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> tu
             columns = np.arange(n.max())[None, :]
             inside = columns < n[:, None]
             rows = symbols[np.where(inside, starts[part][:, None] + columns, 0)].astype(np.int32)
-            _merge_rows(rows, n, pairs, out, part)
+            _merge_rows(rows, n, pairs, out, part, lone)
     merged = np.zeros(len(lengths), dtype=np.int64)
     for ids, _, n in out:
         merged[ids] = n
@@ -133,3 +136,9 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> lis
     """The same as an id array for each piece."""
     flat, merged = merge_flat(symbols, lengths, pairs)
     return np.split(flat, np.cumsum(merged)[:-1]) if len(merged) else []
+
+
+def closed(symbols: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, pairs: PairTable) -> bool:
+    """Whether each of the ``tokens``, whose symbols are given end to end, is what these merge to."""
+    flat, merged = merge_flat(symbols, lengths, pairs, lone=True)
+    return bool((merged == 1).all() and (flat == tokens).all())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.bpe import PairTable, merge_flat
+from quillet.llm.bpe import PairTable, closed, merge_flat
 from quillet.llm.common import table
 from quillet.llm.wordtokens import in_parts
 
@@ -28,7 +28,8 @@ _LOADED: dict[tuple[str, str], "ByteTokens"] = {}
 
 
 class ByteTokens:
-    """Encoder and decoder of one rank file. Keeps up to ``kept`` units with their ids."""
+    """Encoder and decoder of one rank file. Keeps up to ``kept`` units with their ids. A file in
+    which some token is not what its own bytes merge to is merged one place at a time."""
 
     def __init__(self, path: str, pattern: str, kept: int = 400_000) -> None:
         import regex
@@ -48,6 +49,9 @@ class ByteTokens:
         left, right, rank = (np.array(x, dtype=np.int64) for x in zip(*pairs))
         self.pairs = PairTable(left, right, rank, rank)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        tokens = list(self.ranks)
+        raw = self.single[np.frombuffer(b"".join(tokens), dtype=np.uint8)]
+        self.lone = not closed(raw, np.array([len(t) for t in tokens]), np.array([self.ranks[t] for t in tokens]), self.pairs)
         self.find = regex.compile(pattern).findall
         self.kept = kept
         self.heads: dict[str, tuple[bytes, str]] = {}  # units at the start of a text
@@ -76,7 +80,7 @@ class ByteTokens:
             else:
                 ids[k] = (rank,)
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        flat, merged = merge_flat(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)], lengths, self.pairs)
+        flat, merged = merge_flat(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)], lengths, self.pairs, self.lone)
         flat, ends = flat.tolist(), np.cumsum(merged).tolist()
         for k, start, end in zip(todo, [0, *ends], ends):
             ids[k] = flat[start:end]

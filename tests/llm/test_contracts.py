@@ -177,6 +177,26 @@ def test_every_token_is_what_its_bytes_merge_to():
     assert all(len(x) == 1 and int(x[0]) == rank for x, rank in zip(found, coder.ranks.values()))
 
 
+def test_files_whose_tokens_do_not_merge_from_their_bytes(tmp_path):
+    """Ranks in any order: then one place merges in a round, and ids are still the library's."""
+    import tiktoken
+
+    lone = 0
+    for seed in range(20):
+        draw = np.random.default_rng(seed)
+        more = sorted({"".join(draw.choice(list("abc"), n)).encode() for n in draw.integers(2, 6, 12)}, key=lambda _: draw.random())
+        ranks = {t: i for i, t in enumerate([*(bytes([b]) for b in range(256)), *more])}
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in ranks.items()))
+        own = tiktoken.Encoding(str(seed), pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = tokens.ByteTokens(str(path), P.PATTERN)
+        lone += coder.lone
+        texts = ["".join(draw.choice(list("abc"), int(n))) for n in draw.integers(1, 60, 50)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in coder.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+    assert 0 < lone
+    assert not tokens.ByteTokens(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).lone
+
+
 def test_long_pieces_are_those_of_the_library():
     import tiktoken
 
