@@ -5,16 +5,20 @@ by a keyed surrogate of its own type and format:
 
 * numbers (phones, cards, social security numbers, accounts) pass a keyed Feistel network over
   their digits, a permutation of the digit strings of one length, and keep their punctuation, so
-  the same number written in two ways stays the same number; the letters of an account, but for
+  the same number written in two ways stays the same number; a phone keeps its country's code
+  (by the telephone union's lengths, after + or 00) or its leading 0; the letters of an account, but for
   the country's, are shifted by a key that depends on its digits and the letters before; check
   digits of cards and accounts are those of the new number where they were of the old;
 * addresses of the Internet protocol (both versions) pass a keyed permutation of each byte, or
-  group, that depends on those before it;
-* e-mail addresses, secrets and names get keyed digests spelled in their own script. Given and
+  group, that depends on those before it, inside their class: private, loopback, link-local,
+  multicast and public ones stay such; of version 6 the first group, which says the class, is kept;
+* e-mail addresses, secrets and names get keyed digests spelled in their own script. A value
+  after ``password=`` or the like is a secret where it has a digit. Given and
   family names are keyed apart, so a family keeps its name under any title; the given name has
   the gender that its title says or, under titles without one, that the same given name mostly has
   in the corpus. Where a text names a person with a title, mentions of that name, or of its parts,
-  without one are replaced too. Names that stand nowhere with a title are not found.
+  without one are replaced too. Phrases that introduce a person (``my name is``) count as titles;
+  names that stand nowhere after one or a title are not found.
 
 Permutations keep different entities apart by construction; for digests the operator checks the
 corpus and spells those that meet out at greater length. Equal entities get equal surrogates
@@ -26,11 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import table
+from quillet.llm.common import join_hot, table
 
 #: Types with their patterns; an entity has the first type that fits.
 _TITLES_M = r"Mr|Sir|Herr|Monsieur|Señor|[Κκ]ύριος|[Κκ]ος|[Гг]осподин|г-н"
 _TITLES_F = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|[Κκ]υρία|[Κκ]α|[Гг]оспожа|г-жа"
+#: Phrases that introduce a person, in five languages; they stand for a title that says no gender.
+_INTRO = r"[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|[Μμ]ε λένε|[Мм]еня зовут"
+_INTRODUCED = rf"(?:{_INTRO})(?= (?!(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof)[. ]))"
+_HEAD = rf"\A({_INTRO}|[\p{{L}}-]+\.?) "
+#: Names of a secret value, with its sign and quote; values that are secrets by themselves stand alone.
+_ASSIGNED = r"(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|(?:[Cc]lient[_-])?[Ss]ecret(?:[_-][Kk]ey)?|[Aa]pi[_-]?[Kk]ey|API_KEY|(?:[Aa]ccess[_-]|[Aa]uth[_-])?[Tt]oken)(?: ?= ?|: ?)[\"']?"
+_PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,2}"
+_MARKED = r"AKIA|ASIA|(?:sk|pk|rk)[-_]|gh[pousr]_|eyJ|xox[abeprs]-|AIza"
 #: Countries whose account numbers have letters or digits, by the number's whole length.
 _IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
@@ -43,19 +55,25 @@ _IBAN = "|".join(
 )
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
-    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+)(?![0-9A-Za-z])|(?:sk|pk|rk)[-_][0-9A-Za-z_-]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]*+)",
+    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+)(?![0-9A-Za-z])|(?:sk|pk|rk)[-_][0-9A-Za-z_-]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]*+|xox[abeprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-]))"
+    + rf"|(?<![0-9A-Za-z]){_ASSIGNED}(?!{_MARKED}|[0-9a-f]{{32}})(?=[^\s\"'<>,;&]{{0,127}}[0-9])[^\s\"'<>,;&]{{6,128}}+"
+    + rf"|{_PRIVATE_KEY}[0-9A-Za-z+/=]{{40,}}+(?:\s{{1,2}}[0-9A-Za-z+/=]{{40,}}+)*+(?:\s{{1,2}}[0-9A-Za-z+/=]++(?=\s{{0,2}}-----END|\z))?",
     "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{3,7}}(?: ?[0-9]{{1,3}})?(?![0-9A-Za-z]))",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{3})?(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9])00[1-9][0-9]{0,2}[ .-]\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])0[1-9][0-9]{1,3}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+    r"|(?<=(?:[Pp]hone|[Tt]el|[Cc]all|[Mm]obile|[Cc]ell|[Ff]ax)[:. ]{1,2})[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9])",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|{_INTRODUCED})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
 _NUMERIC = "|".join(f"(?:{TYPES[t]})" for t in ("ip", "ssn", "card", "phone"))
 PATTERN = "|".join(f"(?:{TYPES[t]})" for t in ("email", "secret", "iban")) + f"|(?=[0-9A-Fa-f:])(?:{TYPES['ip6']})|(?=[+(0-9])(?:{_NUMERIC})|(?:{TYPES['name']})"
+#: Codes of countries by the telephone union's plan: one, two or three digits.
+_COUNTRY = r"\A(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 #: Two names after a title that says no gender.
-_UNGENDERED = r"(?<!\p{L})(?:Dr|Prof)\.? \p{Lu}[\p{L}'-]++ \p{Lu}[\p{L}'-]"
+_UNGENDERED = rf"(?<!\p{{L}})(?:Dr|Prof|{_INTRODUCED})\.? \p{{Lu}}[\p{{L}}'-]++ \p{{Lu}}[\p{{L}}'-]"
 
 #: Given names by gender, in Latin, Greek and Cyrillic script.
 _GIVEN = {
@@ -105,26 +123,39 @@ def _mod_97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda n, c: F.pmod(n * F.when(c.rlike("[0-9]"), 10).otherwise(100) + of(c), F.lit(97)).cast("int"))
 
 
+def _country(x: Column) -> Column:
+    """The country's code of a phone that has one, else no text."""
+    value, digits = x["value"], x["digits"]
+    abroad = F.when(F.startswith(value, F.lit("+")), digits).when(F.startswith(value, F.lit("00")), F.substring(digits, F.lit(3), F.length(digits)))
+    return F.when(x["type"] == "phone", F.coalesce(F.regexp_extract(abroad, _COUNTRY, 1), F.lit(""))).otherwise("")
+
+
 def _permuted(key: str, items: Column) -> Column:
     """Entities (structs with ``value``, ``digits`` and ``type``) with their digits passed through
-    four rounds of a Feistel network, a stage each, so that no round is computed twice. The last
-    digit of a card is no part of it: it keeps its distance from the right check digit."""
-    same = ("value", "type", "n", "h0", "h1")
+    four rounds of a Feistel network, a stage each, so that no round is computed twice. A phone's
+    leading zeros and its country's code stay, and the code keys the rest. The last digit of a card is no part of it: it keeps its distance from the right check digit."""
+    same = ("value", "type", "head", "salt", "n", "h0", "h1")
+
+    def coded(x: Column) -> Column:
+        zeros = F.when(x["type"] == "phone", F.length(F.regexp_extract(x["value"], r"\A0{0,2}", 0))).otherwise(0)
+        return F.struct(x["value"].alias("value"), x["type"].alias("type"), x["digits"].alias("digits"), _country(x).alias("code"), zeros.alias("zeros"))
 
     def halves(x: Column) -> Column:
         whole = F.length(x["digits"])
-        n = whole - F.when(x["type"] == "card", 1).otherwise(0)
+        kept = x["zeros"] + F.length(x["code"])
+        n = whole - kept - F.when(x["type"] == "card", 1).otherwise(0)
         u = F.floor(n / 2).cast("int")
         off = F.when(x["type"] == "card", F.substring(x["digits"], whole, F.lit(1)).cast("int") - _luhn(F.substring(x["digits"], F.lit(1), n)))
         return F.struct(
-            x["value"].alias("value"), x["type"].alias("type"), n.alias("n"), F.substring(x["digits"], F.lit(1), u).alias("h0"), F.substring(x["digits"], u + 1, n - u).alias("h1"), off.alias("off"),
+            x["value"].alias("value"), x["type"].alias("type"), F.substring(x["digits"], F.lit(1), kept).alias("head"), F.concat(n.cast("string"), F.lit("+"), x["code"], F.lit(":")).alias("salt"),
+            n.alias("n"), F.substring(x["digits"], kept + 1, u).alias("h0"), F.substring(x["digits"], kept + u + 1, n - u).alias("h1"), off.alias("off"),
         )
 
     def turned(r: int):
         side, other = f"h{r % 2}", f"h{1 - r % 2}"
 
         def turn(x: Column) -> Column:
-            salted = F.concat(x["n"].cast("string"), F.lit(":"), x[other])
+            salted = F.concat(x["salt"], x[other])
             whole = F.rpad(F.lit("1"), F.length(x[side]) + 1, F.lit("0")).cast("decimal(20,0)")
             moved = F.pmod(x[side].cast("decimal(20,0)") + _number(key, f"digits{r}", salted), whole).cast("decimal(20,0)").cast("string")
             new = F.when(x[side] == "", x[side]).otherwise(F.lpad(moved, F.length(x[side]), F.lit("0")))
@@ -133,10 +164,10 @@ def _permuted(key: str, items: Column) -> Column:
         return turn
 
     def last(x: Column) -> Column:
-        both = F.concat(x["h0"], x["h1"])
+        both = F.concat(x["head"], x["h0"], x["h1"])
         return F.when(x["type"] == "card", F.concat(both, F.pmod(_luhn(both) + x["off"], F.lit(10)).cast("string"))).otherwise(both)
 
-    items = F.transform(items, halves)
+    items = F.transform(F.transform(items, coded), halves)
     for r in range(4):
         items = F.transform(items, turned(r))
     return F.transform(items, lambda x: F.when(x["n"] > 0, _refilled(x["value"], last(x))).otherwise(x["value"]))
@@ -159,40 +190,48 @@ def _refilled(e: Column, digits: Column) -> Column:
 
 
 def _ip(key: str, e: Column) -> Column:
-    parts = F.split(e, r"\.")
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(3)),
-            lambda i: F.pmod(
-                F.get(parts, i).cast("long") * (2 * F.pmod(_number(key, "ip*", F.array_join(F.slice(parts, F.lit(1), i), ".")), F.lit(128)) + 1)
-                + _number(key, "ip+", F.array_join(F.slice(parts, F.lit(1), i), ".")),
-                F.lit(256),
-            ).cast("string"),
-        ),
-        ".",
-    )
+    """Each byte permuted by a key that depends on those before it, inside the address's class."""
+    x = [F.get(F.split(e, r"\."), i).cast("long") for i in range(4)]
+    before = [F.substring_index(e, ".", i) for i in range(4)]
+    add = [_number(key, "ip+", b) for b in before]
+    free = [F.pmod(v * (2 * F.pmod(_number(key, "ip*", b), F.lit(128)) + 1) + k, F.lit(256)) for v, b, k in zip(x, before, add)]
+    #: first bytes of which no part has a class of its own
+    plain = F.array_except(F.sequence(F.lit(1), F.lit(223)), F.array(*map(F.lit, (10, 127, 169, 172, 192))))
+    place = F.array_position(plain, x[0].cast("int"))
+    first = F.when(place == 0, x[0]).otherwise(F.element_at(plain, (F.pmod(place - 1 + add[0], F.lit(218)) + 1).cast("int")).cast("long"))
+
+    def around(low: int, n: int) -> Column:
+        """The second byte, inside ``low`` and the n - 1 after it or outside of them."""
+        gap = F.when(x[1] >= low, n).otherwise(0)
+        moved = F.pmod(x[1] - gap + add[1], F.lit(256 - n))
+        inside = F.pmod(x[1] - low + add[1], F.lit(n)) + low
+        return F.when(x[1].between(low, low + n - 1), inside).otherwise(moved + F.when(moved >= low, n).otherwise(0))
+
+    second = F.when(x[0] == 172, around(16, 16)).when(x[0] == 192, around(168, 1)).when(x[0] == 169, around(254, 1)).otherwise(free[1])
+    return F.concat_ws(".", first.cast("string"), second.cast("string"), free[2].cast("string"), free[3].cast("string"))
 
 
 def _ip6(key: str, e: Column) -> Column:
-    """Each group shifted by a key that depends on the groups before, its length kept."""
+    """Each group but the first shifted by a key that depends on the groups before, its length
+    kept; ``::1`` stays."""
     parts = F.split(e, ":")
 
     def group(g: Column, i: Column) -> Column:
         shift = _number(key, "ip6", F.concat(F.length(g).cast("string"), F.lit(":"), F.lower(F.array_join(F.slice(parts, F.lit(1), i), ":"))))
         whole = F.element_at(F.array(*(F.lit(16**n) for n in range(1, 5))), F.length(g))
         moved = F.lower(F.conv(F.pmod(F.conv(g, 16, 10).cast("long") + shift, whole).cast("string"), 10, 16))
-        return F.when(g == "", g).otherwise(F.lpad(moved, F.length(g), F.lit("0")))
+        return F.when((g == "") | (i == 0) | (e == "::1"), g).otherwise(F.lpad(moved, F.length(g), F.lit("0")))
 
     return F.array_join(F.transform(parts, group), ":")
 
 
-def _email(key: str, e: Column, n: Column) -> Column:
+def _domain(key: str, domain: Column, longer: int) -> Column:
+    return F.concat(F.lit("host"), _digest(key, "domain", domain, 8 + longer), F.lit(".example.org"))
+
+
+def _email(key: str, e: Column, longer: int) -> Column:
     low = F.lower(e)
-    domain = F.substring_index(low, "@", -1)
-    return F.concat(
-        F.lit("u"), F.substring(_digest(key, "mail", low), F.lit(1), n),
-        F.lit("@host"), _digest(key, "domain", domain, 8), F.lit(".example.org"),
-    )
+    return F.concat(F.lit("u"), _digest(key, "mail", low, 10 + longer), F.lit("@"), _domain(key, F.substring_index(low, "@", -1), longer))
 
 
 def _account(key: str, e: Column, numbers: Column) -> Column:
@@ -217,20 +256,34 @@ def _account(key: str, e: Column, numbers: Column) -> Column:
 
 def _secret(key: str, e: Column, longer: int) -> Column:
     """Same prefix, same length, the dots of a token in place; all else from keyed digests, others
-    for each value of ``longer``."""
-    prefix = F.regexp_extract(e, r"\A(AKIA|ASIA|(?:sk|pk|rk)[-_]|gh[pousr]_|eyJ)", 1)
+    for each value of ``longer``. Values after a name have 16 digits at least."""
+    prefix = F.regexp_extract(e, rf"\A({_MARKED}|{_PRIVATE_KEY}|{_ASSIGNED})", 1)
     turn = f"+{longer}" if longer else ""
-    blocks = F.transform(F.array(_digest(key, f"secret{turn}", e)), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 64)), lambda i: F.sha2(F.concat(d, i.cast("string")), 256)), ""))
-    body = F.get(blocks, 0)
-    body = F.substring(body, F.lit(1), F.length(e) - F.length(prefix))
-    ends = F.transform(F.split(F.substring(e, F.length(prefix) + 1, F.length(e)), r"\."), lambda p: F.length(p))
-    upto = lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, b: a + b)
-    dotted = F.array_join(F.transform(ends, lambda n, i: F.substring(body, upto(i) + 1, n)), ".")
-    return F.concat(prefix, F.when(prefix.rlike("^A"), F.upper(body)).when(prefix == "eyJ", dotted).otherwise(body))
+
+    def parted(prefix: Column) -> Column:
+        rest, assigned = F.substring(e, F.length(prefix) + 1, F.length(e)), prefix.rlike("[=:]")
+        size = F.when(assigned, F.greatest(F.length(rest), F.lit(16))).otherwise(F.length(rest))
+        seed = _digest(key, f"secret{turn}", F.when(assigned, rest).otherwise(e))
+        return F.struct(prefix.alias("prefix"), rest.alias("rest"), size.alias("size"), seed.alias("seed"))
+
+    def spelled(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(x["size"] / 64)), lambda i: F.sha2(F.concat(x["seed"], i.cast("string")), 256))
+        return F.struct(x["prefix"].alias("prefix"), x["rest"].alias("rest"), F.substring(F.array_join(blocks, ""), F.lit(1), x["size"]).alias("body"))
+
+    def whole(x: Column) -> Column:
+        ends = F.transform(F.split(x["rest"], r"\."), lambda p: F.length(p))
+        upto = lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, b: a + b)
+        dotted = F.array_join(F.transform(ends, lambda n, i: F.substring(x["body"], upto(i) + 1, n)), ".")
+        return F.concat(x["prefix"], F.when(x["prefix"].isin("AKIA", "ASIA"), F.upper(x["body"])).when(x["prefix"] == "eyJ", dotted).otherwise(x["body"]))
+
+    steps = F.array(prefix)
+    for step in (parted, spelled, whole):
+        steps = F.transform(steps, step)
+    return F.get(steps, 0)
 
 
 def _title(e: Column) -> Column:
-    return F.regexp_extract(e, r"\A([\p{L}-]+\.?) ", 1)
+    return F.regexp_extract(e, _HEAD, 1)
 
 
 def _gender(title: Column) -> Column:
@@ -278,7 +331,7 @@ def surrogates(key: str, found: Column, longer: int = 0, genders: Column | None
     numbers = _permuted(key, F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["type"].alias("type"), digits(x).alias("digits"))))
     return F.zip_with(
         typed, numbers,
-        lambda x, number: F.when(x["type"] == "email", _email(key, x["value"], F.lit(10 + longer)))
+        lambda x, number: F.when(x["type"] == "email", _email(key, x["value"], longer))
         .when(x["type"] == "secret", _secret(key, x["value"], longer))
         .when(x["type"] == "iban", _account(key, x["value"], number))
         .when(x["type"] == "ip", _ip(key, x["value"]))
@@ -290,7 +343,7 @@ def surrogates(key: str, found: Column, longer: int = 0, genders: Column | None
 
 def found_in(text: Column) -> Column:
     """All entities of a text, in order. Texts that hold nothing an entity needs are passed by."""
-    any_ = F.rlike(text, F.lit("[0-9@]")) | F.rlike(text, F.lit(r"(?:AKIA|ASIA|[spr]k[-_]|gh[pousr]_)[0-9A-Za-z_-]{16}|eyJ|[a-f]{32}")) | F.rlike(text, F.lit(TYPES["name"]))
+    any_ = F.rlike(text, F.lit("[0-9@]")) | F.rlike(text, F.lit(r"(?:AKIA|ASIA|[spr]k[-_]|gh[pousr]_)[0-9A-Za-z_-]{16}|eyJ|[a-f]{32}|xox[abeprs]-|AIza|-----BEGIN")) | F.rlike(text, F.lit(TYPES["name"]))
     return F.when(any_, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -309,17 +362,18 @@ def entities(docs: DataFrame) -> DataFrame:
 def meets(docs: DataFrame, key: str, longer: int = 0) -> DataFrame:
     """The collision check: surrogates that stand for more than one entity of the corpus."""
     values = entities(docs).where("type IN ('email', 'secret', 'name', 'iban')").select("type", "value").distinct()
-    return (
-        values.select("type", _canonical(F.col("value")).alias("entity"), F.get(surrogates(key, F.array("value"), longer), 0).alias("surrogate"))
-        .groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1")
-    )
+    domain = F.lower(F.substring_index("value", "@", -1))
+    told = lambda kind, entity, new: F.struct(kind.alias("type"), entity.alias("entity"), new.alias("surrogate"))
+    own = told(F.col("type"), _canonical(F.col("value")), F.get(surrogates(key, F.array("value"), longer), 0))
+    both = F.when(F.col("type") == "email", F.array(own, told(F.lit("domain"), domain, _domain(key, domain, longer)))).otherwise(F.array(own))
+    return values.select(F.inline(both)).groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1")
 
 
 def _mentions(found: Column, new: Column) -> Column:
     """Names that a text has with a title, and the parts of those of two words, each with what
     stands for it in the surrogate; longer ones first."""
     both = F.filter(F.arrays_zip(found.alias("old"), new.alias("new")), lambda x: x["old"].rlike(rf"\A(?:{TYPES['name']})\z"))
-    both = F.transform(both, lambda x: F.struct(*(F.regexp_replace(x[c], r"\A[\p{L}-]+\.? ", "").alias(c) for c in ("old", "new"))))
+    both = F.transform(both, lambda x: F.struct(*(F.regexp_replace(x[c], _HEAD, "").alias(c) for c in ("old", "new"))))
     part = lambda n: F.transform(both, lambda x: F.struct(*(F.substring_index(x[c], " ", n).alias(c) for c in ("old", "new"))))
     sized = F.transform(F.concat(both, part(-1), part(1)), lambda x: F.struct((-F.length(x["old"])).alias("n"), x["old"].alias("old"), x["new"].alias("new")))
     return F.array_sort(F.array_distinct(sized))
@@ -336,7 +390,7 @@ def _unnamed(text: Column, mentions: Column) -> Column:
 def genders(docs: DataFrame) -> DataFrame:
     """``given`` and ``gender``, the one that a given name mostly has under titles that say one."""
     named = docs.select(F.explode(found_in(F.coalesce("text", F.lit("")))).alias("e")).where(F.col("e").rlike(rf"\A(?:{_TITLES_M}|{_TITLES_F})\.? [^ ]+ "))
-    given = F.substring_index(F.regexp_replace("e", r"\A[\p{L}-]+\.? ", ""), " ", 1)
+    given = F.substring_index(F.regexp_replace("e", _HEAD, ""), " ", 1)
     counts = named.select(given.alias("given"), F.when(_gender(_title(F.col("e"))) == "f", 1).otherwise(-1).alias("f")).groupBy("given").agg(F.sum("f").alias("f"))
     return counts.where("f <> 0").select("given", F.when(F.col("f") > 0, "f").otherwise("m").alias("gender"))
 
@@ -344,10 +398,10 @@ def genders(docs: DataFrame) -> DataFrame:
 def _with_genders(docs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Adds ``genders__``: the genders that the corpus knows of given names under other titles."""
     keyed = docs.withColumn("text__", F.md5(F.col("text").cast("binary")))
-    asked = F.transform(F.regexp_extract_all("text", F.lit(_UNGENDERED), F.lit(0)), lambda e: F.substring_index(F.regexp_replace(e, r"\A[\p{L}-]+\.? ", ""), " ", 1))
+    asked = F.transform(F.regexp_extract_all("text", F.lit(_UNGENDERED), F.lit(0)), lambda e: F.substring_index(F.regexp_replace(e, _HEAD, ""), " ", 1))
     wanted = keyed.select("text__", F.explode(asked).alias("given")).distinct()
     known = wanted.join(genders(corpus), "given").groupBy("text__").agg(F.map_from_entries(F.collect_list(F.struct("given", "gender"))).alias("genders__"))
-    return keyed.join(known, "text__", "left").drop("text__").withColumn("genders__", F.coalesce("genders__", _no_genders()))
+    return join_hot(keyed, known, "text__", "left").drop("text__").withColumn("genders__", F.coalesce("genders__", _no_genders()))
 
 
 def _replaced(docs: DataFrame, key: str, longer: int) -> DataFrame:
