@@ -54,6 +54,31 @@ def test_jaccard_pairs_are_those_of_brute_force(spark, percent):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_jaccard_pairs_of_near_copies_meet_few_times_and_in_small_blocks(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    base = [[f"w{b}x{i}" for i in range(60)] for b in range(3)]
+    sets = [frozenset(draw.sample(base[i % 3], 57 if i % 2 else 54) + ["hot"]) for i in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets)], "doc_id long, text string").repartition(3)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    monkeypatch.setattr(similar, "KNOWN", 10)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    got = similar.jaccard_pairs(rows, 80)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
+
+
+def test_prefixes_tell_words_of_one_hash_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    none = np.zeros(0, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 9]), pa.array([[7, 7, 5], [7, 7, 7]], pa.list_(pa.int64()))], names=["id", "words"])
+    found = pa.Table.from_batches(similar._prefixes(none, none, 80)(iter([batch]))).to_pylist()
+    words = {i: {r["word"] for r in found if r["id"] == i} for i in (4, 9)}
+    assert len(words[4]) == len(words[9]) == 3 and len(words[4] & words[9]) == 2
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_budgets_reach_the_first_rows(spark, monkeypatch, few):
     monkeypatch.setattr(order, "_FEW", few)
