@@ -79,6 +79,21 @@ def test_prefixes_tell_words_of_one_hash_apart():
     assert len(words[4]) == len(words[9]) == 3 and len(words[4] & words[9]) == 2
 
 
+def test_scripts_are_those_of_counted_letters_without_replacing_all_else(spark):
+    from quillet.functions import text as T
+
+    texts = ["Ёлка и ёж", "plain words", "中文字 a", "мир peace", "中 words words words", "é ü 12", "", None, "ab cd ёж йц ab"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", T.language(F.col("text")).alias("s"))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def plain(t):
+        cy, la, zh = (sum(any(a <= c <= b for a, b in r) for c in t or "") for r in (("ая", "АЯ", "ёё", "ЁЁ"), ("az", "AZ"), ("一鿿",)))
+        n = cy + la + zh
+        return "other" if not n else "zh" if zh > 0.3 * n else "ru" if cy > 0.5 * n else "en" if la > 0.5 * n else "mixed" if cy > 0.2 * n and la > 0.2 * n else "other"
+
+    assert [r.s for r in found.orderBy("i").collect()] == [plain(t) for t in texts]
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_budgets_reach_the_first_rows(spark, monkeypatch, few):
     monkeypatch.setattr(order, "_FEW", few)
