@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from quillet.functions import text as T
 from quillet.sources import shared
 
 #: Rows of which the seeds are drawn, at most, and rows turned into a matrix at a time.
-SEED_ROWS, SLICE = 2000, 4096
+SEED_ROWS, SLICE = 2000, 1024
 #: Components are held as whole multiples of 1 / GRAIN, so that sums do not depend on their order.
 GRAIN = float(1 << 20)
 
@@ -29,41 +29,76 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice of rows its terms, each with its uses and the rows that hold it."""
+    for batch in _slices(batches):
+        w = batch.column("w")
+        code = w.flatten().dictionary_encode()
+        names, code = code.dictionary, np.asarray(code.indices, dtype=np.int64)
+        row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(w.offsets)))
+        held = np.unique(row * len(names) + code) % max(1, len(names))
+        uses, holders = (np.bincount(x, minlength=len(names)).astype(np.int64) for x in (code, held))
+        yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(uses), pa.array(holders)], names=["term", "uses", "holders"])
+
+
 def vocabulary(rows: DataFrame, text: str, most: int, stopwords: list[str]) -> DataFrame:
     """term, place (from 0, in alphabetical order), idf: the ``most`` most frequent terms but stop words, ties
     to the first in the alphabet. idf is ln((1 + rows) / (1 + rows with the term)) + 1. Uses and holders
-    are sums with partial sums in each task; ``most`` rows are left."""
-    each = rows.select(terms(F.col(text)).alias("w"))
-    uses = each.select(F.explode("w").alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("holders"))
-    uses = uses.unionByName(each.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("holders")))
+    are counted by slices of rows, a row for each term of a slice, and added; ``most`` rows are left."""
+    uses = rows.select(terms(F.col(text)).alias("w")).mapInArrow(_told, "term string, uses long, holders long")
     counts = uses.where(~F.col("term").isin(list(stopwords))).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("holders").alias("holders"))
     top = counts.orderBy(F.desc("uses"), "term").limit(most)
     n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
     return top.crossJoin(n).select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"), (F.log((1 + F.col("n")) / (1 + F.col("holders"))) + 1).alias("idf"))
 
 
+def _weighed(names: pa.Array, idf: np.ndarray, field: str):
+    """Rows of terms as TF-IDF vectors over these names, each row where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            w = batch.column("w")
+            place = pc.index_in(w.flatten().cast(pa.string()), value_set=names)
+            known = np.asarray(place.is_valid())
+            row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(w.offsets)))[known]
+            cell, n = np.unique(row * max(1, len(names)) + np.asarray(place.drop_null(), dtype=np.int64), return_counts=True)
+            row, at = np.divmod(cell, max(1, len(names)))
+            weight = n * idf[at]
+            weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(batch)))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(at.astype(np.int32)), pa.array(weight))]
+            yield pa.RecordBatch.from_arrays([batch.column(field), *lists], names=[field, "at", "v"])
+
+    return run
+
+
+def _known(rows: DataFrame, text: str, id_field: str, most: int, stopwords: list[str]) -> tuple[DataFrame, pa.Table]:
+    """id and text of rows whose text is not blank, and their vocabulary: ``most`` rows at most, which go to every task."""
+    rows = rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S")).select(id_field, text)
+    return rows, vocabulary(rows, text, most, stopwords).toArrow().sort_by("place")
+
+
+def _vectors(rows: DataFrame, known: pa.Table, text: str, id_field: str) -> DataFrame:
+    names, idf = known["term"].combine_chunks().cast(pa.string()), known["idf"].to_numpy()
+    kind = rows.schema[id_field].dataType.simpleString()
+    return rows.select(id_field, terms(F.col(text)).alias("w")).mapInArrow(_weighed(names, idf, id_field), f"`{id_field}` {kind}, at array<int>, v array<double>")
+
+
 def tfidf(rows: DataFrame, text: str = "text", id_field: str = "doc_id", most: int = 1000, stopwords: list[str] = ()) -> DataFrame:
     """id, ``at`` and ``v``: the TF-IDF vector of each row over the ``most`` most frequent terms, of length 1.
 
     Blank and null texts are left out, before rows are counted; a row without any of the terms has
-    an empty vector. Ids are unique.
+    an empty vector. Ids are unique. Rows stay in their tasks: nothing but the vocabulary's counts is shuffled.
     """
-    rows = rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S")).select(F.col(id_field).alias("id"), text)
-    known = shared.cut(vocabulary(rows, text, most, stopwords))
-    found = rows.select("id", F.explode(terms(F.col(text))).alias("term")).join(F.broadcast(known), "term").groupBy("id", "place", "idf").agg(F.count("*").alias("n"))
-    each = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("n") * F.col("idf")).alias("w")))).alias("own"))  # ``most`` at most
-    norm = F.sqrt(F.aggregate("own", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    whole = rows.select("id").join(each.select("id", F.col("own.place").alias("at"), F.col("own.w").alias("w"), norm.alias("norm")), "id", "left")
-    none = lambda kind: F.array().cast(kind)
-    return whole.select(F.col("id").alias(id_field), F.coalesce("at", none("array<int>")).alias("at"), F.coalesce(F.transform("w", lambda w: w / F.col("norm")), none("array<double>")).alias("v"))
+    rows, known = _known(rows, text, id_field, most, stopwords)
+    return _vectors(rows, known, text, id_field)
 
 
 def weights(rows: DataFrame, text: str = "text", id_field: str = "doc_id", most: int = 1000, stopwords: list[str] = ()) -> DataFrame:
     """The same as id, term and weight: a row for each term of each row."""
-    vectors = tfidf(rows, text, id_field, most, stopwords)
-    plain = rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
-    names = vocabulary(plain, text, most, stopwords).select("place", "term")
-    each = vectors.select(id_field, F.explode(F.arrays_zip("at", "v")).alias("x")).select(id_field, F.col("x.at").alias("place"), F.col("x.v").alias("weight"))
+    rows, known = _known(rows, text, id_field, most, stopwords)
+    names = rows.sparkSession.createDataFrame(known.select(["place", "term"]))  # ``most`` rows
+    each = _vectors(rows, known, text, id_field).select(id_field, F.explode(F.arrays_zip("at", "v")).alias("x")).select(id_field, F.col("x.at").alias("place"), F.col("x.v").alias("weight"))
     return each.join(F.broadcast(names), "place").select(id_field, "term", "weight")
 
 
@@ -115,35 +150,84 @@ def seeds(sample: np.ndarray, k: int, run: int, seed: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _partial(centres: dict[int, np.ndarray]):
-    """A task's rows, sum and squared distances of each cluster of each run."""
+def _bytes(lists: pa.ListArray, kind: str, scale: float | None = None) -> pa.Array:
+    """A column of lists of numbers as one of bytes; null lists have none."""
+    values = np.asarray(lists.flatten())
+    values = (np.rint(values * scale) if scale else values).astype(kind)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of bytes, and how many of each row."""
+    size = np.dtype(kind).itemsize
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, ends[0]) if data is not None and ends[-1] > ends[0] else np.zeros(0, kind)
+    return values, np.diff(ends) // size
+
+
+def packed(points: DataFrame) -> tuple[DataFrame, str]:
+    """``at`` and ``v`` of points as bytes, values as whole multiples of 1 / GRAIN, and the type of these: float32 where it
+    holds them all exactly. Written once and read in every round, so a round decodes no arrays."""
+    most = points.agg(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))).first()[0] or 0.0
+    kind = "f4" if most * GRAIN <= 1 << 24 else "f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([_bytes(batch.column("at"), "i4"), _bytes(batch.column("v"), kind, GRAIN)], names=["at", "v"])
+
+    return shared.cut(points.select("at", "v").mapInArrow(run, "at binary, v binary")), kind
+
+
+def _partial(centres: dict[int, np.ndarray], kind: str):
+    """A task's number and sum of the rows of each cluster of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, dim = next(iter(centres.values())).shape
         every = np.concatenate(list(centres.values()))  # all runs' centroids, for one product
-        n = np.zeros(len(every), dtype=np.int64)
-        total, inertia = np.zeros((len(every), dim), dtype=np.int64), np.zeros(len(every))
+        long, turned = (every**2).sum(axis=1), np.ascontiguousarray(-2 * every.T)
+        first = np.arange(len(centres)) * k
+        n, total = np.zeros(len(every), dtype=np.int64), np.zeros((len(every), dim), dtype=np.int64)
         for batch in _slices(batches):
-            x = np.rint(_matrix(batch, dim) * GRAIN)
-            d = _apart(x, every).reshape(len(x), len(centres), k)
-            own = d.argmin(axis=2)
-            member = np.zeros((len(x), len(every)))
-            member[np.arange(len(x))[:, None], own + np.arange(len(centres)) * k] = 1.0
-            n += member.sum(axis=0).astype(np.int64)
-            inertia += (member * d.reshape(len(x), -1)).sum(axis=0)
-            total += (member.T @ x).astype(np.int64)  # whole numbers below 2**53, so exact in any order
-        rows = [(r, c, int(n[j]), float(inertia[j]), total[j].tolist()) for i, r in enumerate(centres) for c, j in enumerate(range(i * k, i * k + k))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["run", "cluster", "n", "inertia", "total"])
+            values, sizes = _numbers(batch.column("v"), kind)
+            at, placed = _numbers(batch.column("at"), "i4")
+            full = not len(at) and (sizes == dim).all()
+            if full:
+                x = values.reshape(len(batch), dim).astype(np.float64)
+            else:
+                row = np.repeat(np.arange(len(batch)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                place[np.repeat(placed > 0, sizes)] = at
+                x = np.zeros((len(batch), dim))
+                x[row, place] = values
+            label = (x @ turned + long).reshape(len(x), len(centres), k).argmin(axis=2) + first
+            n += np.bincount(label.ravel(), minlength=len(every))
+            if full:
+                member = np.zeros((len(x), len(every)))
+                member[np.arange(len(x))[:, None], label] = 1.0
+                total += (member.T @ x).astype(np.int64)  # whole numbers below 2**53, so exact in any order
+            else:
+                for i in range(len(centres)):  # only the components that there are
+                    total[i * k : i * k + k] += np.bincount((label[:, i] - i * k)[row] * dim + place, values, minlength=k * dim).reshape(k, dim).astype(np.int64)
+        own = [slice(i * k, i * k + k) for i in range(len(centres))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(centres)), pa.array([n[o].tobytes() for o in own]), pa.array([total[o].tobytes() for o in own])], names=["run", "n", "total"])
 
     return run
 
 
-def _added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """One cluster's sums over all tasks, a row for each."""
-    return pd.DataFrame({"run": [key[0]], "cluster": [key[1]], "n": [part["n"].sum()], "inertia": [part["inertia"].sum()], "total": [np.sum(np.stack(part["total"].to_numpy()), axis=0)]})
+_SUMS = "run long, n binary, total binary"
 
 
-_SUMS = "run long, cluster long, n long, inertia double, total array<long>"
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run's numbers and sums over all tasks, added as they come; all rows of a run are in one task."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = [np.frombuffer(row[c], dtype=np.int64) for c in ("n", "total")]
+            sums[row["run"]] = [a + b for a, b in zip(sums[row["run"]], part)] if row["run"] in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([s[i].tobytes() for s in sums.values()], pa.binary()) for i in range(2))], names=["run", "n", "total"])
 
 
 def kmeans(points: DataFrame, dim: int, k: int, runs: int = 10, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> np.ndarray:
@@ -152,7 +236,8 @@ def kmeans(points: DataFrame, dim: int, k: int, runs: int = 10, seed: int = 42,
     Seeds are drawn from at most SEED_ROWS rows, the first by a hash of id; each round assigns all
     rows and takes means, for all runs in one job, until a run's centroids move by no more than
     ``tolerance`` of the components' mean variance. A cluster that loses all rows keeps its
-    centroid. The run with the least sum of squared distances wins, the first of equal ones.
+    centroid. The run with the least sum of squared distances wins, the first of equal ones; that sum less the rows'
+    own squares, which are the same for all runs, follows from the clusters' sums.
     """
     name = points.columns[0]
     sample = points.orderBy(F.xxhash64(name), name).limit(SEED_ROWS).select("at", "v").toArrow()  # SEED_ROWS at most
@@ -162,15 +247,18 @@ def kmeans(points: DataFrame, dim: int, k: int, runs: int = 10, seed: int = 42,
     spread = tolerance * start.var(axis=0).mean()
     open_ = {r: seeds(start, k, r, seed) for r in range(runs)}
     done: dict[int, tuple[float, np.ndarray]] = {}
+    table, kind = packed(points)
     for turn in range(rounds):
-        partial = points.select("at", "v").mapInArrow(_partial(open_), _SUMS)
-        found = partial.groupBy("run", "cluster").applyInPandas(_added, _SUMS).toArrow().to_pylist()  # runs * k rows
+        partial = table.mapInArrow(_partial(open_, kind), _SUMS)
+        found = partial.repartition("run").mapInArrow(_added, _SUMS).toArrow().to_pylist()  # a row for each run
         moved = {r: c.copy() for r, c in open_.items()}
-        inertia = dict.fromkeys(open_, 0.0)
-        for row in sorted(found, key=lambda x: (x["run"], x["cluster"])):
-            inertia[row["run"]] += row["inertia"]
-            if row["n"]:
-                moved[row["run"]][row["cluster"]] = np.array(row["total"]) / row["n"]
+        inertia = {}
+        for row in found:
+            r, old = row["run"], open_[row["run"]]
+            n, total = (np.frombuffer(row[c], dtype=np.int64).astype(np.float64) for c in ("n", "total"))
+            total = total.reshape(k, dim)
+            inertia[r] = float((n * (old * old).sum(axis=1)).sum() - 2 * (total * old).sum())
+            moved[r][n > 0] = total[n > 0] / n[n > 0, None]
         for r in list(open_):
             if turn == rounds - 1 or ((moved[r] - open_[r]) ** 2).sum() <= spread:
                 done[r] = (inertia[r], moved[r])
@@ -291,7 +379,7 @@ def analysis(points: DataFrame, dim: int, k: int | None = None, least: int = 2,
     avg_cluster_size, largest_cluster_ratio and semantic_diversity, which is the mean silhouette moved to 0..1 (for
     vectors) or ``by`` "simpson" the clusters' Simpson index (for TF-IDF). Fewer than three rows are not
     clustered: no labelled rows, and zeros."""
-    points = shared.cut(points)
+    points = shared.cut(points.repartition(points.columns[0]))  # one file may be one task; a round is for all
     n = points.count()
     if n < 3:
         none = points.limit(0).select("*", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))

@@ -58,6 +58,31 @@ def plain_kmeans(x, k, runs, seed, rounds=300, tolerance=1e-4):
     return best[1] / K.GRAIN
 
 
+def test_rounds_read_rows_of_one_file_in_many_tasks(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.random((6000, 64)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/one")
+    labelled, _ = K.analysis(K.dense(spark.read.parquet(f"{tmp_path}/one")), 64, 3, runs=1, rounds=2)
+    assert len({r[0] for r in labelled.select(F.spark_partition_id()).collect()}) > 1
+
+
+def test_packed_values_keep_places_nulls_and_large_ones(spark):
+    rows = [(1, [3, 0], [0.25, -1.0]), (2, None, [1.5, 2.5, 0.0, 4.0]), (3, [], []), (4, [1], [0.125])]
+    for more, kind in (([], "f4"), ([(5, [2], [1e5 + 1 / 3])], "f8")):
+        table, got = K.packed(spark.createDataFrame(rows + more, "id long, at array<int>, v array<double>").coalesce(1))
+        assert got == kind
+        batch = table.toArrow().combine_chunks().to_batches()[0].slice(1)
+        values, sizes = K._numbers(batch.column("v"), kind)
+        assert sizes.tolist() == [4, 0, 1] + [1] * len(more) and (values / K.GRAIN)[:5].tolist() == [1.5, 2.5, 0.0, 4.0, 0.125]
+        assert [x.tolist() for x in K._numbers(batch.column("at"), "i4")] == [[1] + [2] * len(more), [0, 0, 1] + [1] * len(more)]
+        assert not more or values[5] == np.rint((1e5 + 1 / 3) * K.GRAIN)
+
+
+def test_tfidf_shuffles_no_rows(spark):
+    df = spark.createDataFrame(texts(40), "doc_id long, text string")
+    assert "Exchange" not in K.tfidf(df, most=6)._jdf.queryExecution().toString()
+
+
 def test_kmeans_and_silhouette_are_the_plain_ones(spark):
     draw = np.random.default_rng(2)
     centre = draw.standard_normal((5, 6)) * 3
