@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillet.functions import text as T
+
 #: The patterns of each category, looked for in lower-cased text.
 TOXIC = {
     "profanity": [r"\b(fuck|shit|damn|bitch|bastard|asshole|crap)\b", r"\b(idiot|moron|stupid|dumb)\b"],
@@ -46,10 +49,24 @@ ENTITIES = {
 }
 
 
-def category_counts(text: Column) -> dict[str, Column]:
-    """Matches of each category; 0 in null and blank texts."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return {name: reduce(Column.__add__, (F.regexp_count(lower, F.lit(f"(?Uid){p}")) for p in found)) for name, found in TOXIC.items()}
+def _ahead(pattern: str) -> str:
+    """A look at the next character that every match passes, before the pattern's border of a word, which costs many times as
+    much at each place of a text: the first letters of the pattern's words, or a digit."""
+    words = re.match(r"\\b\(([a-z |-]+)\)", pattern)
+    if words:
+        return f"(?=[{''.join(sorted({w[0] for w in words[1].split('|')}))}])"
+    return r"(?=\d)" if pattern.startswith(r"\b\d") else ""
+
+
+def _matches(lower: Column, pattern: str) -> Column:
+    count = F.regexp_count(lower, F.lit(f"(?Uid){_ahead(pattern)}{pattern}"))
+    return F.when(F.contains(lower, F.lit("@")), count).otherwise(0) if "@" in pattern else count
+
+
+def category_counts(text: Column) -> Column:
+    """Matches of each category as one struct, for which the text is lower-cased once; 0 in null and blank texts."""
+    each = lambda lower: F.struct(*(reduce(Column.__add__, (_matches(lower, p) for p in found)).alias(name) for name, found in TOXIC.items()))
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), each)
 
 
 def toxicity(counts: list[Column]) -> Column:

@@ -15,10 +15,10 @@ WEIGHTS = {"toxicity": 0.30, "deduplication": 0.25, "diversity": 0.25, "complete
 
 def detect(rows: DataFrame, text: str = "text", id_field: str = "doc_id", sensitivity: str = "medium") -> DataFrame:
     """Matches of each category, score and is_toxic of each row."""
-    counts = safety.category_counts(F.col(text))
-    each = rows.select(id_field, *(c.cast("long").alias(n) for n, c in counts.items()))
-    score = safety.toxicity([F.col(n) for n in counts])
-    return each.withColumn("score", F.round(score, 6)).withColumn("is_toxic", score >= safety.THRESHOLDS[sensitivity])
+    told = lambda c: F.struct(*(c[n].cast("long").alias(n) for n in safety.TOXIC), safety.toxicity([c[n] for n in safety.TOXIC]).alias("score"))
+    each = rows.select(id_field, T.let(safety.category_counts(F.col(text)), told).alias("found__"))  # one value, so that a filter on the score counts once
+    whole = each.select(id_field, *(F.col(f"found__.{n}").alias(n) for n in safety.TOXIC), F.col("found__.score").alias("whole__"))
+    return whole.select(id_field, *safety.TOXIC, F.round("whole__", 6).alias("score"), (F.col("whole__") >= safety.THRESHOLDS[sensitivity]).alias("is_toxic"))
 
 
 def toxicity_totals(found: DataFrame) -> DataFrame:

@@ -171,3 +171,36 @@ def test_augmented_keeps_rows_and_repeats_itself(spark):
     assert sorted(map(repr, map(tuple, plain))) == sorted(map(repr, rows))
     copies = augment.augmented(df, copies=2).where("augmented").collect()
     assert copies and all(r.text and (r.original_id, r.text) not in rows for r in copies)
+
+
+def test_threads_write_comments_with_a_root_once(spark, monkeypatch):
+    rows = [(i, None if i % 64 == 0 or i > 128 else i - 1) for i in range(1000)] + [(2000, 5000)]
+    written, cut = [], collaboration.shared.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(collaboration.shared, "cut", counted)
+    got = {r.comment_id: (r.root, r.depth) for r in collaboration.threads(spark.createDataFrame(rows, "comment_id long, parent_id long")).collect()}
+    assert got == {i: ((i, 0) if p is None or p == 5000 else (i - i % 64, i % 64)) for i, p in rows}
+    assert len(written) > 3 and sum(written) < 2 * len(rows)
+
+
+def test_toxicity_filter_counts_each_category_once(spark):
+    from quillet.operators import quality
+
+    df = spark.createDataFrame([(1, "You RACIST, racist"), (2, "mail me: a@b.org or 12345"), (3, None), (4, "ſtupid stupidity, kill  them, 123-45-6789")], "doc_id long, text string")
+    found = quality.detect(df, sensitivity="high")
+    got = {r.doc_id: r for r in found.collect()}
+    assert (got[1].hate_speech, got[2].pii, got[3].score, got[4].profanity, got[4].violence, got[4].pii) == (2, 1, 0.0, 1, 1, 1)
+    plan = found.where("NOT is_toxic").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("racist") == 1
+
+
+def test_drawn_places_are_sorted_without_an_expression(spark):
+    from quillet.operators import augment
+
+    for technique in (augment.swapped, augment.deleted, augment.inserted, augment.synonyms):
+        assert "comparefunc" not in str(spark.range(1).select(technique(F.lit("a b c d"), F.col("id")))._jdf.queryExecution().optimizedPlan().toString()).lower()
