@@ -71,9 +71,13 @@ _MARKS = ".,!?;:"
 
 def chance(id_: Column, salt, of: Column | int) -> Column:
     """A number from 0 to ``of`` - 1 that the row's id and the salt decide."""
+    return F.pmod(F.conv(_digits(id_, salt), 16, 10).cast("long"), of if isinstance(of, Column) else F.lit(of))
+
+
+def _digits(id_: Column, salt) -> Column:
+    """The eight digits that :func:`chance` reads; they sort as its numbers below 2**32 do."""
     salt = salt.cast("string") if isinstance(salt, Column) else F.lit(str(salt))
-    digest = F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), salt).cast("binary"))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), of if isinstance(of, Column) else F.lit(of))
+    return F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), salt).cast("binary")), 1, 8)
 
 
 def _words(text: Column) -> Column:
@@ -81,8 +85,8 @@ def _words(text: Column) -> Column:
 
 
 def _drawn(places: Column, id_: Column, salt: str, n: Column) -> Column:
-    """``n`` of an array of places, drawn without replacement."""
-    keyed = F.array_sort(F.transform(places, lambda i: F.struct(chance(id_, F.concat(F.lit(f"{salt}:"), i.cast("string")), 1 << 32).alias("r"), i.alias("i"))))
+    """``n`` of an array of places, drawn without replacement. ``sort_array`` compares rows by itself, ``array_sort`` by an expression."""
+    keyed = F.sort_array(F.transform(places, lambda i: F.struct(_digits(id_, F.concat(F.lit(f"{salt}:"), i.cast("string"))).alias("r"), i.alias("i"))))
     return F.transform(F.slice(keyed, F.lit(1), n), lambda x: x["i"])
 
 
@@ -119,7 +123,7 @@ def deleted(text: Column, id_: Column, ratio: float = 0.1) -> Column:
 
     def cut(words: Column) -> Column:
         keep = F.greatest(F.lit(1), F.floor(F.size(words) * F.lit(1 - ratio)).cast("int"))
-        kept = T.let(F.array_sort(_drawn(_places(words), id_, "delete", keep)), lambda k: F.array_join(F.transform(k, lambda i: F.get(words, i)), " "))
+        kept = T.let(F.sort_array(_drawn(_places(words), id_, "delete", keep)), lambda k: F.array_join(F.transform(k, lambda i: F.get(words, i)), " "))
         return F.when(F.size(words) >= 3, kept)
 
     return F.coalesce(T.let(_words(text), cut), text)
@@ -135,7 +139,7 @@ def inserted(text: Column, id_: Column, ratio: float = 0.1) -> Column:
             lambda j: F.struct(chance(id_, F.concat(F.lit("at:"), j.cast("string")), F.size(words)).alias("i"), j.alias("j"), F.get(words, chance(id_, F.concat(F.lit("word:"), j.cast("string")), F.size(words)).cast("int")).alias("w")),
         )
         own = F.transform(words, lambda w, i: F.struct(i.cast("long").alias("i"), F.lit(0).alias("j"), w.alias("w")))
-        return F.when(F.size(words) >= 3, F.array_join(F.transform(F.array_sort(F.concat(own, extra)), lambda x: x["w"]), " "))
+        return F.when(F.size(words) >= 3, F.array_join(F.transform(F.sort_array(F.concat(own, extra)), lambda x: x["w"]), " "))
 
     return F.coalesce(T.let(_words(text), more), text)
 
@@ -149,7 +153,7 @@ def swapped(text: Column, id_: Column, ratio: float = 0.1) -> Column:
 
         def moved(o: Column) -> Column:
             to = F.transform(o, lambda i, r: F.struct(F.when(r < n, F.get(o, r.bitwiseXOR(F.lit(1)))).otherwise(i).alias("to"), F.get(words, i).alias("w")))
-            return F.array_join(F.transform(F.array_sort(to), lambda x: x["w"]), " ")
+            return F.array_join(F.transform(F.sort_array(to), lambda x: x["w"]), " ")
 
         return F.when(F.size(words) >= 3, T.let(order, moved))
 
