@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,18 @@ def threads(comments: DataFrame) -> DataFrame:
     parent is missing are roots; those in a circle have none and are left out. Pointers double each
     round, so rounds follow the logarithm of the depth."""
     known = comments.select(F.col("comment_id").alias("parent_id"), F.lit(1).alias("there"))
-    own = comments.select("comment_id", "parent_id").join(known, "parent_id", "left")
-    now = shared.cut(own.select("comment_id", F.when(F.col("there") == 1, F.col("parent_id")).alias("up"), F.when(F.col("there") == 1, 1).otherwise(0).cast("long").alias("depth"), F.when(F.col("there").isNull(), F.col("comment_id")).alias("root")))
-    last = None
-    while (left := now.where("root IS NULL").count()) and left != last:
+    whole = comments.select("comment_id", "parent_id")
+    own = whole.where("parent_id IS NOT NULL").join(known, "parent_id", "left").select("comment_id", F.when(F.col("there") == 1, F.col("parent_id")).alias("up"))
+    own = own.unionByName(whole.where("parent_id IS NULL").select("comment_id", F.col("parent_id").alias("up")))
+    now = shared.cut(own.select("comment_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.col("comment_id")).alias("root")))
+    done, now, last = [now.where("root IS NOT NULL")], now.where("root IS NULL"), None
+    # those with a root stay where they were written: without an ``up`` they would all meet in one task
+    while (left := now.count()) and left != last:
         last = left
-        above = now.select(F.col("comment_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
-        now = shared.cut(
-            now.join(above, "up", "left").select(
-                "comment_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root")
-            )
-        )
-    return now.where("root IS NOT NULL").select("comment_id", "root", "depth")
+        above = reduce(DataFrame.unionByName, done, now).select(F.col("comment_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
+        turned = shared.cut(now.join(above, "up").select("comment_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("root2").alias("root")))
+        done, now = [*done, turned.where("root IS NOT NULL")], turned.where("root IS NULL")
+    return reduce(DataFrame.unionByName, done).select("comment_id", "root", "depth")
 
 
 def descendants(comments: DataFrame, of: DataFrame) -> DataFrame:
