@@ -28,37 +28,34 @@ class _Pairs(StatefulProcessor):
     def _timer(self, at: int) -> int:
         return -(-(at + self.timeout) // 1000)  # whole milliseconds, not before the time-out
 
-    def _close(self) -> tuple | None:
-        """Forget the open start."""
-        if not self.open.exists():
-            return None
-        at, name, used = self.open.get()
-        self.open.clear()
-        self.handle.deleteTimer(self._timer(at))
-        return at, name, used
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """State and timer are read before an agent's events of the batch and written after them, not at each event."""
         out = []
         events = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        before = state = self.open.get() if self.open.exists() else None
         for at, name, kind in zip(events["at"].tolist(), events["event_id"].tolist(), events["kind"].tolist()):
-            state = self.open.get() if self.open.exists() else None
             over = state is not None and at - state[0] > self.timeout
+            if state is not None and (kind == "start" or over):
+                if not state[2]:
+                    out.append((key[0], state[1], None, None, "timed out" if over else "restarted"))
+                state = None
             if kind == "start":
-                if state is not None:
-                    self._close()
-                    if not state[2]:
-                        out.append((key[0], state[1], None, None, "timed out" if over else "restarted"))
-                self.open.update((at, name, False))
-                self.handle.registerTimer(self._timer(at))
-            elif state is None or over:
-                if over:
-                    self._close()
-                    if not state[2]:
-                        out.append((key[0], state[1], None, None, "timed out"))
+                state = (at, name, False)
+            elif state is None:
                 out.append((key[0], None, name, 0.0, "no start"))
             else:
-                self.open.update((state[0], state[1], True))
+                state = (state[0], state[1], True)
                 out.append((key[0], state[1], name, (at - state[0]) / 1e6, "done"))
+        timers = [None if s is None else self._timer(s[0]) for s in (before, state)]
+        if timers[0] != timers[1]:
+            if before is not None:
+                self.handle.deleteTimer(timers[0])
+            if state is not None:
+                self.handle.registerTimer(timers[1])
+        if state is not None:
+            self.open.update(state)
+        elif before is not None:
+            self.open.clear()
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

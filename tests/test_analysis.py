@@ -248,3 +248,45 @@ def test_durations_pair_starts_and_ends(spark, tmp_path):
     got = durations.durations(spark, f"{tmp_path}/flat", "events.parquet", types, "signup", "purchase", files=1)
     want = [(7, 1, 2, 18000.0, "done"), (7, 1, 3, 21600.0, "done"), (8, None, 4, 0.0, "no start"), (8, 5, None, None, "restarted"), (8, 6, 10, 37 * 3600.0, "done"), (7, None, 11, 0.0, "no start"), (10, 12, None, None, "timed out"), (12, 14, None, None, "timed out")]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_an_agents_batch_reads_and_writes_its_state_once():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        value = (1_000_000, 7, False)
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+    pairs = durations._Pairs(3_600_000_000)
+    pairs.init(Handle())
+    events = pd.DataFrame([(2_000_000 + i * 1_000_000, 10 + i, "start" if i % 3 == 0 else "end") for i in range(300)], columns=["at", "event_id", "kind"])
+    out = pd.concat(list(pairs.handleInputRows((5,), iter([events]), None)))
+    assert out["status"].value_counts().to_dict() == {"done": 200, "restarted": 1} and pairs.open.value == (299_000_000, 307, True)
+    assert calls == ["exists", "get", ("delete", 3_601_000), ("register", 3_899_000), "update"]
