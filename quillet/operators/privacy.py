@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +17,40 @@ from quillet.functions import spans as S
 _SPANS = "array<struct<type: string, start: int, end: int, score: double>>"
 
 
+#: Characters of texts that stand as Python's strings at a time.
+_CHARS = 1 << 20
+
+
+def _found(texts: pa.Array, find: Callable[[str], list[S.Span]]) -> pa.Array:
+    """The spans of an array of texts. Texts become strings a few at a time and spans become numbers at once, so
+    memory follows the batch's bytes and not its spans."""
+    names: dict[str, int] = {}
+    ends, kinds, numbers, scores = array("i", [0]), array("i"), (array("i"), array("i")), array("d")
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
+    part = np.cumsum(np.asarray(sizes)) // _CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for low, high in zip(cuts, cuts[1:]):
+        for text in texts.slice(low, high - low).to_pylist():
+            for s in find(text):
+                kinds.append(names.setdefault(s.type, len(names)))
+                numbers[0].append(s.start)
+                numbers[1].append(s.end)
+                scores.append(s.score)
+            ends.append(len(kinds))
+    types = pa.DictionaryArray.from_arrays(pa.array(np.array(kinds, dtype=np.int32)), pa.array(list(names), pa.string())).cast(pa.string())
+    fields = [types, *(pa.array(np.array(n, dtype=np.int32)) for n in numbers), pa.array(np.array(scores, dtype=np.float64))]
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.StructArray.from_arrays(fields, names=["type", "start", "end", "score"]))
+
+
 def spans(text: Column, least: float = S.LEAST_SCORE, types: Iterable[str] = S.SENSITIVE, more: Iterable[Callable[[str], list[S.Span]]] = ()) -> Column:
     """The spans of a text as an array of type, start, end and score, in order and without overlaps; empty for null and
     empty texts. Positions count code points from 0. Patterns with check digits and context words do not
     fit into built-in functions, which give no positions; texts go to Python by Arrow, a batch at a time."""
     kinds, models = frozenset(types), tuple(more)
 
-    @F.pandas_udf(_SPANS)
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [s._asdict() for s in S.find(t, least, kinds, models)], na_action=None)
+    @F.arrow_udf(_SPANS)
+    def found(texts: pa.Array) -> pa.Array:
+        return _found(texts, lambda t: S.find(t, least, kinds, models))
 
     return found(text)
 

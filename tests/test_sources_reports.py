@@ -188,3 +188,23 @@ def test_messages_are_anonymised_one_by_one(spark):
     assert (got[3].text, got[3].n_changed) == ("<EMAIL_ADDRESS>", 1) and got[4].n_changed == 0 and got[5].output == "a@b.co"
     plain = privacy.anonymize_examples(df.select("id", "text")).orderBy("id").collect()
     assert [r.n_changed for r in plain] == [0, 1, 1, 0, 0] and set(plain[0].asDict()) == {"id", "text", "n_changed"}
+
+
+def test_spans_of_an_array_take_no_objects(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    from quillet.functions import spans as S
+    from quillet.operators import privacy as P
+
+    texts = ["mail a@b.org or c@d.org", None, "", "ü" * 30, "nothing", "x@y.com"]
+    monkeypatch.setattr(P, "_CHARS", 20)
+    got = P._found(pa.array(["cut off", *texts]).slice(1), S.find)
+    assert got.to_pylist() == [[s._asdict() for s in S.find(t)] for t in texts]
+    assert P._found(pa.array([], pa.string()), S.find).to_pylist() == []
+    many = [S.Span("EMAIL_ADDRESS", i, i + 1, 1.0) for i in range(100)]
+    tracemalloc.start()
+    assert len(P._found(pa.array(["t"] * 5000), lambda t: many)) == 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
