@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillet.functions.text import let
 from quillet.llm.common import join_hot, table
 
 #: Types with their patterns; an entity has the first type that fits.
@@ -247,11 +248,14 @@ def _account(key: str, e: Column, numbers: Column) -> Column:
         return F.when(c.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), moved, F.lit(1))).otherwise(c)
 
     shifted = F.concat(F.substring(numbers, 1, 2), F.array_join(F.transform(F.sequence(F.lit(1), F.length(tail)), at), ""))
-    new = F.when(letters == "", numbers).otherwise(shifted)
-    rest = F.substring(new, F.lit(5), F.length(new))
-    open_ = F.concat(F.substring(new, 1, 2), F.lit("00"), rest)
-    check = F.lpad((98 - _mod_97(open_)).cast("string"), 2, "0")
-    return F.when(_mod_97(e) == 1, F.concat(F.substring(new, 1, 2), check, rest)).otherwise(new)
+
+    def checked(new: Column) -> Column:
+        rest = F.substring(new, F.lit(5), F.length(new))
+        open_ = F.concat(F.substring(new, 1, 2), F.lit("00"), rest)
+        check = F.lpad((98 - _mod_97(open_)).cast("string"), 2, "0")
+        return F.when(_mod_97(e) == 1, F.concat(F.substring(new, 1, 2), check, rest)).otherwise(new)
+
+    return let(F.when(letters == "", numbers).otherwise(shifted), checked)
 
 
 def _secret(key: str, e: Column, longer: int) -> Column:
@@ -303,20 +307,24 @@ def _spelled(digest: Column, script: Column) -> Column:
 
 def _name(key: str, e: Column, longer: int, genders: Column) -> Column:
     """Title, given name (if there are two names) and family name, each name from its own key."""
-    title = _title(e)
-    rest = F.substring(e, F.length(title) + 2, F.length(e))
-    script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    first, last = F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
-    pick = _number(key, "given", first)
-    by_key = F.when(F.pmod(pick, F.lit(2)) == 0, "f").otherwise("m")
-    gender = F.coalesce(_gender(title), F.element_at(genders, first), by_key)
-    given = F.coalesce(
-        *(F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(pick / 2), F.lit(len(names))) + 1).cast("int"))) for (s, g), names in _GIVEN.items())
-    )
-    given = F.concat(given, _spelled(_digest(key, "first", first, 4 + longer), script))
-    family = _spelled(_digest(key, "family", last, 10 + longer), script)
-    family = F.concat(F.upper(F.substring(family, 1, 1)), F.substring(family, F.lit(2), F.length(family)))
-    return F.concat(title, F.lit(" "), F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
+
+    def parted(title: Column) -> Column:
+        rest = F.substring(e, F.length(title) + 2, F.length(e))
+        script = F.when(rest.rlike(r"\p{IsGreek}"), "greek").when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        first = F.substring_index(rest, " ", 1)
+        return F.struct(title.alias("title"), rest.alias("rest"), script.alias("script"), first.alias("first"), F.substring_index(rest, " ", -1).alias("last"), _number(key, "given", first).alias("pick"))
+
+    def whole(x: Column) -> Column:
+        by_key = F.when(F.pmod(x["pick"], F.lit(2)) == 0, "f").otherwise("m")
+        chosen = F.concat(x["script"], F.coalesce(_gender(x["title"]), F.element_at(genders, x["first"]), by_key))
+        given = F.coalesce(
+            *(F.when(chosen == s + g, F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(x["pick"] / 2), F.lit(len(names))) + 1).cast("int"))) for (s, g), names in _GIVEN.items())
+        )
+        given = F.concat(given, _spelled(_digest(key, "first", x["first"], 4 + longer), x["script"]))
+        family = let(_spelled(_digest(key, "family", x["last"], 10 + longer), x["script"]), lambda f: F.concat(F.upper(F.substring(f, 1, 1)), F.substring(f, F.lit(2), F.length(f))))
+        return F.concat(x["title"], F.lit(" "), F.when(x["rest"].contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
+
+    return let(let(_title(e), parted), whole)
 
 
 def _no_genders() -> Column:
@@ -325,7 +333,8 @@ def _no_genders() -> Column:
 
 def surrogates(key: str, found: Column, longer: int = 0, genders: Column | None = None) -> Column:
     """The surrogates of an array of entities; ``longer`` lengthens those made from digests.
-    ``genders``: f or m of given names, for titles that do not say."""
+    ``genders``: f or m of given names, for titles that do not say. Whatever an expression names more than once is a value
+    of its own (``let``), since each naming is a copy in the plan, and the driver holds the plan."""
     typed = F.transform(found, lambda e: F.struct(e.alias("value"), _type(e).alias("type")))
     digits = lambda x: F.when(x["type"].isin("phone", "card", "ssn", "iban"), _digits_of(x["value"])).otherwise("")
     numbers = _permuted(key, F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["type"].alias("type"), digits(x).alias("digits"))))
@@ -347,9 +356,8 @@ def found_in(text: Column) -> Column:
     return F.when(any_, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _canonical(e: Column) -> Column:
-    """One spelling for each entity: digits of numbers, lower-case addresses."""
-    kind = _type(e)
+def _canonical(e: Column, kind: Column) -> Column:
+    """One spelling for each entity of a type: digits of numbers, lower-case addresses."""
     return F.when(kind.isin("email", "ip6"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), _digits_of(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
 
 
@@ -364,8 +372,8 @@ def meets(docs: DataFrame, key: str, longer: int = 0) -> DataFrame:
     values = entities(docs).where("type IN ('email', 'secret', 'name', 'iban')").select("type", "value").distinct()
     domain = F.lower(F.substring_index("value", "@", -1))
     told = lambda kind, entity, new: F.struct(kind.alias("type"), entity.alias("entity"), new.alias("surrogate"))
-    own = told(F.col("type"), _canonical(F.col("value")), F.get(surrogates(key, F.array("value"), longer), 0))
-    both = F.when(F.col("type") == "email", F.array(own, told(F.lit("domain"), domain, _domain(key, domain, longer)))).otherwise(F.array(own))
+    own = told(F.col("type"), _canonical(F.col("value"), F.col("type")), F.get(surrogates(key, F.array("value"), longer), 0))
+    both = F.array_compact(F.array(own, F.when(F.col("type") == "email", told(F.lit("domain"), domain, _domain(key, domain, longer)))))
     return values.select(F.inline(both)).groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1")
 
 

@@ -236,3 +236,11 @@ def test_domains_that_meet_are_lengthened(spark, monkeypatch):
     monkeypatch.setattr(pii, "_digest", lambda key, kind, value, n=64: F.lit("0" * n) if kind == "domain" and n == 8 else plain(key, kind, value, n))
     assert [(r.type, r.n) for r in pii.meets(df, "k").collect()] == [("domain", 2)]
     assert pii.meets(df, "k", 10).isEmpty()
+
+
+def test_the_plan_of_surrogates_stays_small(spark):
+    from quillet.llm import pii
+
+    docs = spark.createDataFrame([(1, "Dr. Anna Berg, a@b.org")], "doc_id long, text string")
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (pii.meets(docs, "k"), pii.replace_entities(docs, "k", check=False))]
+    assert len(plans[0]) < 70_000 and len(plans[1]) < 130_000
