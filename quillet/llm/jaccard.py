@@ -44,6 +44,8 @@ _MEETINGS = 1
 _FEW = 1_000_000
 #: Rows of a column that form a block in the last round.
 _BLOCK_ROWS = 2048
+#: Pairs that the last round compares at once.
+_PAIRS = 1 << 16
 #: 64-bit words of a set's bit map, which bounds from above what two sets share.
 _WORDS = 16
 
@@ -193,8 +195,8 @@ def _cross(percent: int):
             if batch is not None:  # the last column may go on in the next batch
                 rest = [rows[starts[-1] :]]
                 starts, ends = starts[:-1], ends[:-1]
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                yield from _column_pairs(rows[s:e], percent)
+            if len(starts):
+                yield from _column_pairs(rows[: ends[-1]], starts, ends, percent)
 
     return run
 
@@ -210,39 +212,47 @@ def _suffix(n, percent: int):
     return least - np.minimum(LEVEL, least)
 
 
-def _column_pairs(column: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Columns: shingle, the two blocks met here and the row's own, class, n, pos, component, in how
+def _column_pairs(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the columns that begin and end at these rows, together: most columns hold a few rows, and a
+    column at a time would spend its time on calls. Of the pairs, ``_PAIRS`` and one row's are in memory.
+
+    Of a row: shingle, the two blocks met here and the row's own, class, n, pos, component, in how
     many open columns the class is and the place of this one among them, and the bit map.
 
     What two sets share outside their prefixes lies in the suffix of the one whose prefix ends
     first, so ``need`` of the prefix shingles must be shared for the bound to be in reach. The
     first of these have places that leave room for the others: only there a pair is named.
     """
-    _, x_block, y_block, block, cls, n, pos, comp, open_, rank = column[:, :10].T
-    bits = np.ascontiguousarray(column[:, 10:]).view(np.uint64)
-    two = x_block[0] != y_block[0]  # pairs inside a block are met where it is met with itself
-    if (comp == comp[0]).all():
-        return
+    _, x_block, y_block, block, cls, n, pos, comp, open_, rank = np.ascontiguousarray(rows[:, :10].T)
+    bits = rows[:, 10:].view(np.uint64)
+    two = x_block != y_block  # pairs inside a block are met where it is met with itself
     suffix = _suffix(n, percent)
-    for at in range(0, len(column), 512):
-        i = slice(at, at + 512)
-        ok = (comp[i, None] != comp[None, :]) & (np.arange(len(column))[None, :] > np.arange(at, at + len(cls[i]))[:, None])
-        if two:
-            ok &= block[i, None] != block[None, :]
-        ok &= _may_reach(n[i, None], n[None, :], pos[i, None], pos[None, :], percent)
-        x, y = np.nonzero(ok)
-        x += at
+    apart = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+    after = np.repeat(np.where(apart, ends, starts), ends - starts) - np.arange(len(rows)) - 1  # a row meets those after it
+    after = np.maximum(after, 0)
+    total = np.cumsum(after)
+    to = 0
+    while to < len(rows):
+        at, to = to, max(to + 1, int(np.searchsorted(total, total[to] - after[to] + _PAIRS, "right")))
+        met = after[at:to]
+        x = np.repeat(np.arange(at, to), met)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(met) - met, met)
+        ok = (comp[x] != comp[y]) & (~two[x] | (block[x] != block[y]))
+        x, y = x[ok], y[ok]
+        ok = _may_reach(n[x], n[y], pos[x], pos[y], percent)
+        x, y = x[ok], y[ok]
         need = -(-percent * (n[x] + n[y]) // (100 + percent)) - np.maximum(suffix[x], suffix[y])
-        early = np.minimum(open_[x] - rank[x], open_[y] - rank[y]) >= need - np.minimum(_MEETINGS, need)
-        early &= np.minimum(rank[x], rank[y]) + np.minimum(open_[x] - rank[x], open_[y] - rank[y]) >= need
-        x, y, need = x[early], y[early], need[early]
+        left = np.minimum(open_[x] - rank[x], open_[y] - rank[y])
+        ok = (left >= need - np.minimum(_MEETINGS, need)) & (np.minimum(rank[x], rank[y]) + left >= need)
+        x, y, need = x[ok], y[ok], need[ok]
         shared = np.minimum(
             n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64),
             n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64),
         )
         ok = (100 + percent) * shared >= percent * (n[x] + n[y])
-        a, b, need = cls[x][ok], cls[y][ok], np.minimum(_MEETINGS, need[ok])
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+        if ok.any():
+            a, b, need = cls[x][ok], cls[y][ok], np.minimum(_MEETINGS, need[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
 
 
 def _with_least(edges: DataFrame, least: DataFrame, key: str, n: int) -> DataFrame:

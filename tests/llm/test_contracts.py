@@ -127,6 +127,34 @@ def test_hot_columns_in_blocks_give_the_same_pairs(spark, monkeypatch):
     assert sorted(got) == sorted(jaccard.brute_force(rows))
 
 
+def test_small_columns_are_compared_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "_PAIRS", 500, raising=False)
+    draw, rows = np.random.default_rng(3), []
+    for shingle in range(400):
+        two = shingle % 7 == 0  # met by two blocks
+        for _ in range(int(draw.integers(1, 6)) if shingle else 90):
+            n, open_ = int(draw.integers(20, 30)), int(draw.integers(4, 16))
+            bits = np.random.default_rng(int(draw.integers(0, 3))).integers(-(2**62), 2**62, jaccard._WORDS).tolist()
+            rows.append([shingle, 0, int(two), int(draw.integers(0, 2)) * two, len(rows), n, int(draw.integers(0, 5)), int(draw.integers(0, 3)), open_, int(draw.integers(1, 5)), *bits])
+
+    def pair(x, y):
+        (_, _, _, bx, a, n, pos, cx, open_, rank), (_, _, _, by, b, m, pos2, cy, open2, rank2) = x[:10], y[:10]
+        if x[:3] != y[:3] or cx == cy or x[1] != x[2] and bx == by or not jaccard._may_reach(n, m, pos, pos2, 80):
+            return []
+        ones = [sum(((p & ~q) % 2**64).bit_count() for p, q in zip(i, j)) for i, j in ((x[10:], y[10:]), (y[10:], x[10:]))]
+        need, left = -(-80 * (n + m) // 180) - max(jaccard._suffix(n, 80), jaccard._suffix(m, 80)), min(open_ - rank, open2 - rank2)
+        fits = left >= need - min(1, need) and min(rank, rank2) + left >= need and 180 * min(n - ones[0], m - ones[1]) >= 80 * (n + m)
+        return [(min(a, b), max(a, b), min(1, need))] if fits else []
+
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=[str(i) for i in range(len(rows[0]))])
+    batches = list(jaccard._cross(80)(iter(table.to_batches(300))))
+    want = [p for i, x in enumerate(rows) for y in rows[i + 1 : i + 90] for p in pair(x, y)]
+    assert sorted(tuple(r.values()) for b in batches for r in b.to_pylist()) == sorted(want) and len(want) > 50
+    assert len(batches) < 40  # a batch a column before
+
+
 def test_copies_that_fill_a_table_are_found(spark, monkeypatch):
     from quillet.llm import common
 
