@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions import text as T
 
+#: N-grams that start in one piece of a row, n-grams that a task packs at once, and bytes of text a bucket.
+_PIECE, _CHUNK, _BUCKET_BYTES = 512, 1_000_000, 1 << 21
+
 
 def token_counts(rows: DataFrame, items: Column) -> DataFrame:
     """Occurrences of each item."""
@@ -36,12 +43,72 @@ def simpson(rows: DataFrame, field: str) -> DataFrame:
     return each.agg(F.round(1 - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")), 6).alias("simpson"))
 
 
+def _packed(n: int, buckets: int):
+    """Bucket, distinct n-grams of some rows as packed pairs of 64-bit hashes, and their occurrences (on one row
+    of each chunk). Rows hold word hashes; buckets are ranges of the first hash."""
+
+    def grams(words: pa.ListArray) -> np.ndarray:
+        ends = np.repeat(words.offsets[1:].to_numpy(), np.diff(words.offsets.to_numpy())) - words.offsets[0].as_py()
+        known = words.flatten()
+        m = max(len(known) - n + 1, 0)
+        out = np.zeros((m, 2), np.uint64)
+        for side in range(2):
+            hashes = known.field(side).to_numpy().view(np.uint64)
+            for k in range(n):
+                out[:, side] = (out[:, side] ^ (out[:, side] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : m + k]
+            out[:, side] ^= out[:, side] >> np.uint64(32)
+            out[:, side] *= np.uint64(0xBF58476D1CE4E5B9)
+        return out[np.arange(m) + n <= ends[:m]]
+
+    def packed(found: np.ndarray) -> pa.RecordBatch:
+        n_all, found = len(found), _distinct(found)
+        of = (found[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        data = [found[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(found)])]
+        counts = [n_all] + [0] * (len(starts) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int64)), pa.array(data, pa.binary()), pa.array(counts, pa.int64())], names=["bucket", "grams", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = [], 0
+        for batch in batches:
+            chunk.append(grams(batch.column(0)))
+            size += len(chunk[-1])
+            if size > _CHUNK:
+                yield packed(np.concatenate(chunk))
+                chunk, size = [], 0
+        if size:
+            yield packed(np.concatenate(chunk))
+
+    return run
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Distinct rows of pairs, in order."""
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    same = pairs[1:, 0] == pairs[:-1, 0]
+    if (same & (pairs[1:, 1] != pairs[:-1, 1])).any():  # first hashes of different pairs are equal
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        same = (pairs[1:] == pairs[:-1]).all(axis=1)
+    return pairs[np.append(True, ~same)] if len(pairs) else pairs
+
+
+def _counted(bucket: pa.Table) -> pa.Table:
+    """Occurrences and distinct n-grams of a bucket."""
+    found = np.frombuffer(b"".join(bucket.column("grams").to_pylist()), np.uint64).reshape(-1, 2)
+    return pa.table({"total": [sum(bucket.column("n").to_pylist())], "distinct_grams": [len(_distinct(found))]})
+
+
 def distinct_n(rows: DataFrame, text: str, n: int) -> DataFrame:
-    """One row: n-grams of the corpus, distinct ones, and their ratio. Grams are structs of words, made by
-    zipping a text's tokens with themselves shifted, so no string is built for them."""
-    shifted = T.let(T.tokens(F.col(text), T.MORE_EDGES), lambda w: F.arrays_zip(*(F.slice(w, k + 1, F.greatest(F.size(w) - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n))))
-    counts = rows.select(F.explode(shifted).alias("g")).select("g.*").groupBy(*(f"w{k}" for k in range(n))).agg(F.count("*").alias("n"))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_grams"))
+    """One row: n-grams of the corpus, distinct ones, and their ratio. Two grams are the same where their 128-bit
+    hashes are. Rows go to tasks as word hashes in pieces of bounded length, and grams are shuffled packed,
+    without repeats in a chunk, to as many buckets as the corpus has ``_BUCKET_BYTES``."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    hashed = F.transform(T.tokens(F.col(text), T.MORE_EDGES), lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b")))
+    starts = lambda w: F.sequence(F.lit(1), F.size(w) - n + 1, F.lit(_PIECE))
+    pieces = T.let(hashed, lambda w: F.when(F.size(w) >= n, F.transform(starts(w), lambda i: F.slice(w, i, F.lit(_PIECE + n - 1)))))
+    packed = rows.select(F.explode(pieces).alias("w")).mapInArrow(_packed(n, size // _BUCKET_BYTES + 1), "bucket long, grams binary, n long")
+    counts = packed.groupBy("bucket").applyInArrow(_counted, "total long, distinct_grams long")
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct_grams")))
     return sums.withColumn("ratio", F.round(F.when(F.col("total") > 0, F.col("distinct_grams") / F.col("total")).otherwise(0.0), 4))
 
 

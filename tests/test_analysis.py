@@ -7,10 +7,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import text as T
 from quillet.operators import clusters as K
-from quillet.operators import similar
+from quillet.operators import similar, stats
 from quillet.streaming import durations, index
 
 WORDS = ["alpha", "beta", "gamma", "delta", "The", "of", "épée", "x", "_id", "42"]
@@ -290,3 +293,25 @@ def test_an_agents_batch_reads_and_writes_its_state_once():
     out = pd.concat(list(pairs.handleInputRows((5,), iter([events]), None)))
     assert out["status"].value_counts().to_dict() == {"done": 200, "restarted": 1} and pairs.open.value == (299_000_000, 307, True)
     assert calls == ["exists", "get", ("delete", 3_601_000), ("register", 3_899_000), "update"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_grams_are_packed_across_pieces_and_chunks(spark, monkeypatch, n):
+    monkeypatch.setattr(stats, "_PIECE", 4)
+    monkeypatch.setattr(stats, "_CHUNK", 30)
+    monkeypatch.setattr(stats, "_BUCKET_BYTES", 400)
+    draw = np.random.default_rng(n)
+    texts = [" ".join(draw.choice(["a", "b", "(c)", "D.", "e", "...", "ab", "\t"], int(k))) for k in draw.integers(0, 40, 60)] + [None, "", " ", "a", "a b", "a b c"] + ["a b c d e"] * 9
+    words = [[w for w in (x.strip(T.MORE_EDGES) for x in (t or "").lower().split()) if w] for t in texts]
+    grams = [tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)]
+    got = stats.distinct_n(spark.createDataFrame([(t,) for t in texts], "text string"), "text", n).first()
+    assert (got.total, got.distinct_grams, got.ratio) == (len(grams), len(set(grams)), round(len(set(grams)) / len(grams), 4))
+    pairs = pa.array([[{"a": i % 5, "b": i % 5} for i in range(20)]] * 50, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    rows = pa.Table.from_batches(stats._packed(n, 2)(iter([pa.RecordBatch.from_arrays([pairs], names=["w"])])))
+    assert rows.num_rows <= 2 and sum(rows["n"].to_pylist()) == 50 * (21 - n)  # a row a bucket, not a row a gram
+    assert sum(len(x) for x in rows["grams"].to_pylist()) == 5 * 16
+
+
+def test_equal_first_hashes_are_told_apart():
+    pairs = np.array([[7, 1], [7, 2], [7, 1], [3, 1], [7, 2]], np.uint64)
+    assert stats._distinct(pairs).tolist() == [[3, 1], [7, 1], [7, 2]] and len(stats._distinct(pairs[:0])) == 0
