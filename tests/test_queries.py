@@ -68,6 +68,33 @@ def test_jaccard_pairs_of_near_copies_meet_few_times_and_in_small_blocks(spark,
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
 
 
+def test_jaccard_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    """Sets that share a few words of their prefixes only are not named, and large parts are dealt into blocks."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    sets = [draw.sample(range(20_000), 250) for _ in range(60)]
+    sets += [w[:230] + draw.sample(range(20_000, 30_000), 20) for w in sets[:10]]
+    none = np.zeros(0, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70)), pa.array([sorted(w) for w in sets], pa.list_(pa.int64()))], names=["id", "words"])
+    rows = pa.Table.from_batches(similar._packed(none, none, 80)(iter([batch])))
+    rows = rows.append_column("home", pa.array([True] * len(rows)))
+    named, met = set(), set()
+    for of, part in {(r["class"], r["part"]) for r in rows.select(["class", "part"]).to_pylist()}:
+        group = rows.filter(pa.array([r["class"] == of and r["part"] == part for r in rows.select(["class", "part"]).to_pylist()]))
+        named |= {(r["a"], r["b"]) for r in similar._met(80)(group).to_pylist()}
+        held = {r["id"]: set(r["words"]) for r in group.to_pylist()}
+        met |= {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    want = {(a, b) for a in range(70) for b in range(a + 1, 70) if 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert len(want) == 10 and want <= named and 10 * len(named) < len(met)
+    monkeypatch.setattr(similar, "PART", 100)
+    texts = spark.createDataFrame([(i, " ".join(f"w{x}" for x in w)) for i, w in enumerate(sets)], "doc_id long, text string")
+    assert sorted(map(tuple, similar.jaccard_pairs(texts, 80).collect())) == sorted(want)
+
+
 def test_prefixes_tell_words_of_one_hash_apart():
     import numpy as np
     import pyarrow as pa
