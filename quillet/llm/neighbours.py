@@ -88,8 +88,9 @@ class Codes:
         if depth < 1:
             return
         near = np.argpartition(-score, depth - 1, axis=1)[:, :depth].ravel()
-        bits = self.bits(sample)
-        apart = bits[np.repeat(np.arange(len(score)), depth)] ^ bits[near]
+        used, at = np.unique(np.append(np.arange(len(score)), near), return_inverse=True)
+        bits = np.concatenate([self.bits(sample[used[i : i + 1000]]) for i in range(0, len(used), 1000)])  # a tenth of the products at a time
+        apart = bits[np.repeat(at[: len(score)], depth)] ^ bits[at[len(score) :]]
         met = np.cumsum((apart.reshape(len(near), -1, self.width).sum(axis=2) <= 1), axis=1) > 0
         share = met.mean(axis=0)
         self.tables = int(min(MAX_TABLES, 8 * -(-(1 + int(np.argmax(share >= WANTED)) if share[-1] >= WANTED else MAX_TABLES) // 8)))
@@ -160,6 +161,18 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place")
 
 
+def _sample(classes: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the FIT_ROWS first of ``n`` classes by a hash of ``c``. Each task sends the first FIT_ROWS of its own rows to
+    the driver, so only rows below a bound of the hash are asked for, about a tenth more than FIT_ROWS over all tasks."""
+    place, share = F.xxhash64("c"), 1.1 * FIT_ROWS / max(1, n)
+    while True:
+        few = classes if share >= 1 else classes.where(place < F.lit(int(share * 2**64) - 2**63))
+        found = few.orderBy(place, "c").limit(FIT_ROWS).select("v").collect()
+        if share >= 1 or len(found) == FIT_ROWS:
+            return np.array([r["v"] for r in found])
+        share *= 2
+
+
 def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The search among usable vectors of one dimension: query_id, vec_id, score, the ``k`` best."""
     same = ["h1", "h2"]
@@ -171,8 +184,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     members = written(keyed(asked).select("vec_id", "v", *same))
     queries = written(members.groupBy(*same).agg(F.min("vec_id").alias("c"), F.first("v").alias("v")))
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(FIT_ROWS).select("v").collect()  # FIT_ROWS at most
-    codes = Codes(np.array([r["v"] for r in sample]), n, k)
+    codes = Codes(_sample(classes, n), n, k)
     n_blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("c"), F.lit(n_blocks))
 
@@ -184,7 +196,8 @@ def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     probes = probes.select(F.col("c").alias("q"), *(F.col(w).alias(f"q{w}") for w in words), F.posexplode("subs").alias("t", "value"))
     probes = probes.select("q", *(f"q{w}" for w in words), "t", F.explode(near).alias("value")).select(key(F.col("t"), F.col("value")).alias("key"), "q", *(f"q{w}" for w in words))
     apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"q{w}"))) for w in words))
-    met = index.join(probes, "key").where(apart <= codes.radius).select("q", "c", block.alias("block"))
+    # by its file's size, which the probes' number and width do not show, Spark would broadcast them through the driver
+    met = index.join(probes.hint("merge"), "key").where(apart <= codes.radius).select("q", "c", block.alias("block"))
     wanted = met.groupBy("block", "q").agg(F.collect_set("c").alias("wanted"))
 
     vectors = queries.select(F.col("c").alias("q"), "v")

@@ -196,6 +196,23 @@ def test_neighbours_with_copies_ties_and_dimensions(spark):
     assert set(got) == {*range(40), 100, 101, 200, 201}
 
 
+def test_neighbours_send_no_probes_and_few_sampled_rows_to_the_driver(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.standard_normal((3000, 8)))], "vec_id long, embedding array<double>").repartition(8)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(neighbours, "FIT_ROWS", 200)
+    few = df.select(F.col("vec_id").alias("c"), F.col("embedding").alias("v"))
+    want = few.orderBy(F.xxhash64("c"), "c").limit(200).select("v").collect()
+    asked, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: asked.append(plan(self)) or collect(self))
+    assert np.array_equal(neighbours._sample(few, 3000), np.array([r.v for r in want]))
+    assert len(asked) == 1 and "xxhash64" in asked[0].split("Filter")[1].split("\n")[0]
+    plans, cut = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda x: plans.append(plan(x)) or cut(x))
+    neighbours.search(df, df.where("vec_id % 20 = 0"), k=5)
+    assert any("strategy=merge" in p for p in plans)
+
+
 def test_every_token_is_what_its_bytes_merge_to():
     """So a merge uncovers no pair of lower rank, and all places of a pair may merge at once."""
     from quillet.llm.bpe import merge_all
