@@ -39,6 +39,16 @@ def test_leaders_are_those_of_a_scan(spark):
     assert {r.id: r.leader for r in got} == want
 
 
+def test_rounds_of_leaders_leave_one_state(spark, monkeypatch, tmp_path):
+    import uuid
+
+    monkeypatch.setattr(similar.shared, "folder", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    got = similar.leaders(edges, spark.createDataFrame([(i,) for i in range(10)], "id long")).collect()
+    assert {r.id: r.leader for r in got} == {i: i - i % 2 for i in range(10)}
+    assert len(list(tmp_path.iterdir())) <= 3
+
+
 @pytest.mark.parametrize("percent", [0, 34, 50, 75, 80, 100])
 def test_jaccard_pairs_are_those_of_brute_force(spark, percent):
     import random
