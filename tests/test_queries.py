@@ -49,6 +49,16 @@ def test_rounds_of_leaders_leave_one_state(spark, monkeypatch, tmp_path):
     assert len(list(tmp_path.iterdir())) <= 3
 
 
+def test_groups_leave_little_on_the_disk(spark, monkeypatch, tmp_path):
+    import uuid
+
+    monkeypatch.setattr(similar.shared, "folder", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    texts = ["a b c d e f g h i j", "A, b c d e f g h i k", "x y", "Y x!", None, " .", "a b c d e f g h i j l", "a b c d e f g h i"]
+    got = similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.leader for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 0, 7: 0}
+    assert len(list(tmp_path.iterdir())) <= 8
+
+
 @pytest.mark.parametrize("percent", [0, 34, 50, 75, 80, 100])
 def test_jaccard_pairs_are_those_of_brute_force(spark, percent):
     import random
